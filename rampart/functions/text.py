@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 # Separator used to read all groups of one regex match in a single pass. Lines
 # that contain it take the group-by-group path, so results never depend on it.
-_SEP = "\u0001\u001f"
+_SEP = "\u0001"
 _WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
@@ -46,7 +46,8 @@ def capture(c: Column, pattern: str, groups: int) -> Column:
     an array of one element means no match. The pattern is anchored here, so one
     regex pass yields every group.
     """
-    whole = rf"^[\s\S]*?(?:{pattern})[\s\S]*\z"
+    anchored = pattern.startswith(("^", "(?>^"))
+    whole = rf"{'' if anchored else '^[^]*?'}(?:{pattern})[^]*".replace("[^]", r"[\s\S]") + r"\z"
     replacement = _SEP + _SEP.join(f"${i}" for i in range(1, groups + 1))
     one_pass = F.split(F.regexp_replace(c, F.lit(whole), F.lit(replacement)), _SEP, -1)
     each = F.when(

@@ -35,10 +35,14 @@ def split_syslog(text: Column) -> Column:
     ``header_raw + message`` is always the original text.
     """
     pri = F.regexp_extract(text, r"^<(\d{1,3})>", 1)
-    new = F.when(pri != "", capture(text, _RFC5424, 8))
-    old = F.when(pri != "", capture(text, _RFC3164, 6))
+    by_version = text.rlike(r"^<\d{1,3}>\d{1,3} ")
+    new = F.when(by_version, capture(text, _RFC5424, 8)).otherwise(F.array().cast("array<string>"))
 
     def build(s: Column) -> Column:
+        old = F.when(~matched(s["new"]), capture(text, _RFC3164, 6)).otherwise(F.array().cast("array<string>"))
+        return let(F.struct(s["pri"].alias("pri"), s["new"].alias("new"), old.alias("old")), dress)
+
+    def dress(s: Column) -> Column:
         p = s["pri"].try_cast("int")
         base = [
             ("pri", s["pri"].try_cast("int").cast("string")),
@@ -49,7 +53,6 @@ def split_syslog(text: Column) -> Column:
             ("severity_name", F.get(_names(SEVERITIES), p % 8)),
         ]
         n, o = s["new"], s["old"]
-        is_new, is_old = matched(n), matched(o)
 
         def rfc5424() -> Column:
             tail = group(n, 8)
@@ -61,7 +64,8 @@ def split_syslog(text: Column) -> Column:
             for i, name in enumerate(["timestamp", "hostname", "app_name", "procid", "msgid"], start=3):
                 pairs += [(name, F.nullif(group(n, i), F.lit("-"))), (f"{name}_raw", group(n, i))]
             pairs += [("structured_data_raw", sd), ("header_raw", _head(text, message))]
-            return _result(F.map_concat(_entries(pairs), _structured(sd)), message)
+            plain = _entries(pairs)
+            return _result(F.when(sd.startswith("["), F.map_concat(plain, _structured(sd))).otherwise(plain), message)
 
         def rfc3164() -> Column:
             tag = F.nullif(group(o, 4), F.lit(""))
@@ -75,9 +79,9 @@ def split_syslog(text: Column) -> Column:
 
         message = F.regexp_replace(text, r"^<\d{1,3}>", "")
         bare = _result(_entries(base + [("format", F.lit("pri_only")), ("header_raw", _head(text, message))]), message)
-        return F.when(is_new, rfc5424()).when(is_old, rfc3164()).otherwise(bare)
+        return F.when(matched(n), rfc5424()).when(matched(o), rfc3164()).otherwise(bare)
 
-    parts = F.struct(pri.alias("pri"), new.alias("new"), old.alias("old"))
+    parts = F.struct(pri.alias("pri"), new.alias("new"))
     none = _result(F.lit(None).cast("map<string,string>"), text)
     return F.when(pri == "", none).otherwise(let(parts, build))
 
@@ -133,7 +137,7 @@ def sniff(text: Column) -> Column:
         .when(F.contains(head, F.lit("LEEF:")), "leef")
         .when(text.rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull(), "json")
         .when(count("\t") >= 3, "tsv")
-        .when(F.regexp_count(text, F.lit(r"[^\s=]+=")) >= 3, "kv")
+        .when(F.regexp_count(text, F.lit(r"[^\s=]=")) >= 3, "kv")
         .when(count(",") >= 8, "csv")
         .otherwise("unknown")
     )
