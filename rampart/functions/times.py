@@ -26,6 +26,17 @@ _WEEKDAY = "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? "
 _UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
+def floor_div(c: Column, n: int) -> Column:
+    """Floor division of whole numbers; nanoseconds do not fit a double exactly."""
+    by = F.lit(n).cast("bigint")
+    return F.call_function("div", c - F.pmod(c, by), by)
+
+
+def to_timestamp(ns: Column) -> Column:
+    """The UTC timestamp of nanoseconds, cut to microseconds."""
+    return F.timestamp_micros(floor_div(ns, 1000))
+
+
 def java_layout(fmt: str) -> str:
     """A strptime layout as a Spark datetime pattern."""
 
@@ -54,7 +65,7 @@ def _in_zone(ts: Column, tz: str | None) -> Column:
 def _yearless(text: Column, now_ns: Column, tz: str | None) -> Column:
     """``Oct 11 22:14:15`` bound to the year of ``now_ns``; one year back for 29 February
     in a common year or a moment after ``now_ns``."""
-    now = F.timestamp_micros(F.floor(now_ns / 1000).cast("bigint"))
+    now = to_timestamp(now_ns)
     year = F.year(now)
     at = lambda y: _in_zone(F.try_to_timestamp(F.concat_ws(" ", y.cast("string"), F.initcap(text)), F.lit("yyyy MMM d H:m:s")), tz)
     guess, prior = at(year), at(year - 1)
@@ -90,16 +101,16 @@ def event_date(time_ns: Column, ingest_ns: Column | None = None) -> Column:
     """UTC ``yyyy-MM-dd`` of an event, from the ingest time when it has none."""
     ns = F.nullif(time_ns, F.lit(0).cast("bigint"))
     ns = ns if ingest_ns is None else F.coalesce(ns, ingest_ns)
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ns / (86400 * NS)).cast("int")), "yyyy-MM-dd")
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), floor_div(ns, 86400 * NS).cast("int")), "yyyy-MM-dd")
 
 
 def hour_of_day(ns: Column) -> Column:
-    return F.pmod(F.floor(ns / (3600 * NS)), F.lit(24)).cast("int")
+    return F.pmod(floor_div(ns, 3600 * NS), F.lit(24)).cast("int")
 
 
 def day_of_week(ns: Column) -> Column:
     """0 = Monday .. 6 = Sunday (the epoch began on a Thursday)."""
-    return F.pmod(F.floor(ns / (86400 * NS)) + 3, F.lit(7)).cast("int")
+    return F.pmod(floor_div(ns, 86400 * NS) + 3, F.lit(7)).cast("int")
 
 
 def seconds(interval: str | int) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rampart.functions.times import NS
+from rampart.functions.times import NS, floor_div
 
 
 def latest_scores(df: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def anomaly_timeline(df: DataFrame, window_seconds: int, bucket_seconds: int) ->
     latest = latest_scores(df)
     newest = df.agg(F.max("event_time_ns").alias("_newest"))  # one row; every event is in latest too
     kept = latest.crossJoin(F.broadcast(newest)).filter(F.col("event_time_ns") >= F.col("_newest") - span)
-    bucket = (F.floor(F.col("event_time_ns") / width) * width).cast("bigint")
+    bucket = floor_div(F.col("event_time_ns"), width) * width
     return kept.groupBy(bucket.alias("bucket_ns")).agg(
         F.count("*").alias("scored"), F.count_if("is_anomaly").alias("anomalies"), F.max("anomaly_score").alias("max_score"), F.avg("anomaly_score").alias("mean_score"),
     ).orderBy("bucket_ns")

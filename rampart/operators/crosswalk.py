@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rampart.functions.ocsf import has, lookup, optional
-from rampart.functions.times import NS, event_date
+from rampart.functions.times import NS, event_date, to_timestamp
 from rampart.operators.enrich import ip_columns
 from rampart.operators.flatten import core_columns
 
@@ -50,7 +50,7 @@ def to_ecs(df: DataFrame) -> DataFrame:
     """Add ``ecs``: one nested ECS document per record, empty branches null."""
     class_uid = optional(df, "class_uid", "bigint")
     words = lambda i: F.coalesce(*[F.when(class_uid == u, F.array(*[F.lit(w) for w in spec[i]])) for u, spec in ECS_CLASSES.items()])
-    micros = F.timestamp_micros(F.floor(optional(df, "time", "bigint") / 1000).cast("bigint"))
+    micros = to_timestamp(optional(df, "time", "bigint"))
     fraction = F.when(optional(df, "time", "bigint") % NS >= 1000, F.date_format(micros, "'.'SSSSSS")).otherwise(F.lit(""))
     stamp = F.concat(F.date_format(micros, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
 

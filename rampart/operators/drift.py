@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rampart.functions.times import NS, floor_ns
+from rampart.functions.times import NS, floor_div
 
 SIGNAL_SCHEMA = (
     "source_id string, template_id string, window_index bigint, observed bigint, expected double, baseline_rate double, "
@@ -49,7 +49,7 @@ def advance(state: tuple[float, int] | None, observed: int, cfg: DriftConfig):
 def window_counts(df: DataFrame, window_minutes: float = 5.0) -> DataFrame:
     """Events per template and window: ``source_id, template_id, window_index, n``."""
     width = int(window_minutes * 60)
-    index = (floor_ns(F.col("time"), width) / (width * NS)).cast("bigint")
+    index = floor_div(F.col("time"), width * NS)
     return df.groupBy("source_id", "template_id", index.alias("window_index")).agg(F.count("*").alias("n"))
 
 

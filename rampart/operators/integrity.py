@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rampart.functions.text import let
+from rampart.functions.times import event_date, floor_div
 from rampart.operators.ordering import global_position
 from rampart.session import broadcast_if_small, checkpoint
 
@@ -160,10 +160,10 @@ def seal_batches(bronze: DataFrame, batch_size: int = 1000, sealed_at_ns: int |
     Batches of ``batch_size`` events in ingest order get a Merkle root; roots are chained. The
     index maps each event to ``(ledger, ledger_seq, leaf_index)``.
     """
-    day = F.date_format(F.timestamp_seconds(F.floor(F.col("ingest_time_ns") / 1_000_000_000)), "yyyy-MM-dd")
+    day = event_date(F.col("ingest_time_ns"))
     named = bronze.select(F.concat_ws("/", day, "source_id").alias("ledger"), "event_uid", "ingest_time_ns", F.lower("raw_hash").alias("raw_hash"))
     placed = global_position(named, ["ledger"], ["ingest_time_ns", "event_uid"], "_pos")
-    placed = placed.withColumns({"seq": F.floor(F.col("_pos") / batch_size).cast("bigint"), "leaf_index": (F.col("_pos") % batch_size).cast("bigint")})
+    placed = placed.withColumns({"seq": floor_div(F.col("_pos"), batch_size), "leaf_index": (F.col("_pos") % batch_size).cast("bigint")})
     roots = merkle_roots(placed, ["ledger", "seq"], [], positioned="leaf_index").withColumnRenamed("root", "batch_root")
     ends = placed.groupBy("ledger", "seq").agg(F.min_by("event_uid", "leaf_index").alias("first_event_uid"), F.max_by("event_uid", "leaf_index").alias("last_event_uid"))
     entries = checkpoint(roots.join(ends, ["ledger", "seq"]))  # one row per batch, read twice below

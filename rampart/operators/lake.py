@@ -6,7 +6,7 @@ from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rampart.functions.times import NS, event_date, floor_ns, seconds
+from rampart.functions.times import NS, event_date, floor_ns, seconds, to_timestamp
 from rampart.schemas import SILVER
 
 MAX_LIMIT = 10_000
@@ -153,7 +153,7 @@ def timeseries(df: DataFrame, interval: str, window: str) -> DataFrame:
     # the newest bucket comes from the small counted table, so the events are read once
     newest = counted.agg(F.max("bucket_ns").alias("_newest"))
     kept = counted.crossJoin(F.broadcast(newest)).filter(F.col("bucket_ns") >= F.col("_newest") - span * NS)
-    text = F.date_format(F.timestamp_seconds(F.col("bucket_ns") / NS), "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.date_format(to_timestamp(F.col("bucket_ns")), "yyyy-MM-dd'T'HH:mm:ss")
     return kept.select(text.alias("bucket"), "source_type", "events").orderBy("bucket", "source_type")
 
 

@@ -8,8 +8,10 @@ from rampart.functions.ip import canonical_ip, ip_bits, is_private
 from rampart.functions.text import strip
 from rampart.session import BROADCAST_ROWS, at_most, broadcast_if_small
 
-# Up to this many prefix lengths a size-checked table is probed once per length, map-side.
-INLINE_LENGTHS = 12
+# Tables of at most this many ranges become literals of the expression.
+LITERAL_RANGES = 64
+# Up to this many prefix lengths a size-checked table is broadcast and probed once per length.
+PROBED_LENGTHS = 12
 
 
 def with_prefixes(cidrs: DataFrame, cidr: str = "cidr") -> DataFrame:
@@ -28,19 +30,20 @@ def with_prefixes(cidrs: DataFrame, cidr: str = "cidr") -> DataFrame:
 def cidr_lookup_join(df: DataFrame, ip_col: str, cidrs: DataFrame, values: list[str], prefix: str = "", cidr: str = "cidr") -> DataFrame:
     """Each row with the ``values`` of the longest range holding its address (IPv4 and IPv6), else nulls.
 
-    A range test is an equality on the first digits of the address, so it is an equi join
-    per prefix length. A table proven small is broadcast and probed length by length without
-    moving the events. A larger one meets the distinct addresses only, and the result joins
-    back on the address with adaptive skew handling.
+    A few ranges become literals of one expression. Otherwise a range test is an equality on
+    the first digits of the address, so it is an equi join per prefix length: a table proven small
+    is broadcast and probed length by length without moving the events, a larger one meets the
+    distinct addresses only and the result joins back on the address with adaptive skew handling.
     """
     table = with_prefixes(cidrs, cidr)
     best = F.max_by(F.struct(*values), F.struct(F.col(cidr), *values))
     table = table.groupBy("_width", "_len", "_bits").agg(best.alias("_v"))
-    lengths = sorted((r["_width"], r["_len"]) for r in table.select("_width", "_len").distinct().collect())  # <= 162 rows
     names = [f"{prefix}{v}" for v in values]
-    if not lengths:
-        return df.withColumns({n: F.lit(None).cast(cidrs.schema[v].dataType) for n, v in zip(names, values)})
-    if len(lengths) <= INLINE_LENGTHS and at_most(table, BROADCAST_ROWS):
+    few = table.limit(LITERAL_RANGES + 1).collect()
+    if len(few) <= LITERAL_RANGES:
+        return _probe_literals(df, ip_col, few, values, names, [cidrs.schema[v].dataType for v in values])
+    lengths = sorted((r["_width"], r["_len"]) for r in table.select("_width", "_len").distinct().collect())  # <= 162 rows
+    if len(lengths) <= PROBED_LENGTHS and at_most(table, BROADCAST_ROWS):
         return _probe_inline(df, ip_col, table, lengths, values, names)
     ips = df.select(F.col(ip_col).alias("_ip")).filter(F.col("_ip").isNotNull()).distinct()
     keyed = ips.withColumn("_full", ip_bits(F.col("_ip"))).filter(F.col("_full").isNotNull())
@@ -53,6 +56,16 @@ def cidr_lookup_join(df: DataFrame, ip_col: str, cidrs: DataFrame, values: list[
     return joined.withColumns({n: F.col(f"_v.`{v}`") for n, v in zip(names, values)}).drop("_ip", "_v")
 
 
+def _probe_literals(df: DataFrame, ip_col: str, rows: list, values, names, types) -> DataFrame:
+    bits = F.col("_full")
+    tests = [((F.length(bits) == r["_width"]) & bits.startswith(r["_bits"]), r["_v"]) for r in sorted(rows, key=lambda r: -r["_len"])]
+    out = df.withColumn("_full", ip_bits(F.col(ip_col)))
+    at = F.coalesce(*[F.when(test, F.lit(i)) for i, (test, _) in enumerate(tests)], F.lit(None).cast("int"))
+    out = out.withColumn("_at", at)
+    pick = lambda v, kind: F.get(F.array(*[F.lit(hit[v]).cast(kind) for _, hit in tests]), F.col("_at")) if tests else F.lit(None).cast(kind)
+    return out.withColumns({n: pick(v, kind) for n, v, kind in zip(names, values, types)}).drop("_full", "_at")
+
+
 def _probe_inline(df: DataFrame, ip_col: str, table: DataFrame, lengths: list[tuple[int, int]], values, names) -> DataFrame:
     out = df.withColumn("_full", ip_bits(F.col(ip_col)))
     found = []
@@ -70,6 +83,17 @@ def _probe_inline(df: DataFrame, ip_col: str, table: DataFrame, lengths: list[tu
 HIT = "struct<indicator:string,ioc_type:string,ioc_source:string,confidence:string>"
 
 
+def ioc_counts(iocs: DataFrame) -> dict[str, int]:
+    """Indicators per kind (four rows), to decide once which are broadcast."""
+    return {r["ioc_type"]: r["count"] for r in iocs.groupBy("ioc_type").count().collect()}
+
+
+def _sized(df: DataFrame, kind: str, sizes: dict[str, int] | None) -> DataFrame:
+    if sizes is None:
+        return broadcast_if_small(df)
+    return F.broadcast(df) if sizes.get(kind, 0) <= BROADCAST_ROWS else df
+
+
 def _hits(iocs: DataFrame, kind: str) -> DataFrame:
     """One row per indicator of a kind; of repeated ones the last by source order stays."""
     rows = iocs.filter(F.col("ioc_type") == kind)
@@ -78,11 +102,11 @@ def _hits(iocs: DataFrame, kind: str) -> DataFrame:
     return rows.groupBy(F.col("indicator").alias("_key")).agg(F.max_by(hit, order).alias("_hit"))
 
 
-def ioc_ip_join(df: DataFrame, ip_col: str, iocs: DataFrame, out: str = "hit") -> DataFrame:
+def ioc_ip_join(df: DataFrame, ip_col: str, iocs: DataFrame, out: str = "hit", sizes: dict[str, int] | None = None) -> DataFrame:
     """Exact address match first, then the longest matching range."""
     exact = _hits(iocs, "ip").withColumnRenamed("_hit", "_exact")
     df = df.withColumn("_c", canonical_ip(F.col(ip_col)))
-    df = df.join(broadcast_if_small(exact), F.col("_c") == F.col("_key"), "left").drop("_key")
+    df = df.join(_sized(exact, "ip", sizes), F.col("_c") == F.col("_key"), "left").drop("_key")
     ranges = iocs.filter(F.col("ioc_type") == "cidr").withColumn("cidr", F.col("indicator"))
     columns = ["indicator", "ioc_type", "ioc_source", "confidence"]
     df = cidr_lookup_join(df, "_c", ranges, columns, prefix="_r_")
@@ -103,18 +127,27 @@ def ioc_domain_join(df: DataFrame, host_col: str, iocs: DataFrame, out: str = "h
 
     Distinct hosts are expanded to their suffixes and met with the indicators; events join back by host.
     """
-    hosts = df.select(F.col(host_col).alias("_host")).filter(F.col("_host").isNotNull()).distinct()
+    return join_hosts(df, {host_col: out}, iocs)
+
+
+def join_hosts(df: DataFrame, columns: dict[str, str], iocs: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+    """Domain matches of several host columns (host column -> hit column) from one pass over their distinct hosts."""
+    every = F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"`{c}`") for c in columns]))))
+    hosts = df.select(every.alias("_host")).distinct()
     tried = hosts.select("_host", F.posexplode(domain_suffixes(F.col("_host"))).alias("_depth", "_suffix"))
-    domains = broadcast_if_small(_hits(iocs, "domain"))
-    found = tried.join(domains, F.col("_suffix") == F.col("_key")).groupBy("_host").agg(F.min_by("_hit", "_depth").alias(out))
-    # only hosts that matched come back; they are broadcast when few
-    return df.join(broadcast_if_small(found), F.col(host_col) == F.col("_host"), "left").drop("_host")
+    domains = _sized(_hits(iocs, "domain"), "domain", sizes)
+    found = tried.join(domains, F.col("_suffix") == F.col("_key")).groupBy("_host").agg(F.min_by("_hit", "_depth").alias("_found"))
+    small = at_most(found, BROADCAST_ROWS)  # only hosts that matched come back
+    for host_col, out in columns.items():
+        named = found.select(F.col("_host").alias(f"_host_{out}"), F.col("_found").alias(out))
+        df = df.join(F.broadcast(named) if small else named, F.col(f"`{host_col}`") == F.col(f"_host_{out}"), "left").drop(f"_host_{out}")
+    return df
 
 
-def ioc_hash_join(df: DataFrame, hash_col: str, iocs: DataFrame, out: str = "hit") -> DataFrame:
+def ioc_hash_join(df: DataFrame, hash_col: str, iocs: DataFrame, out: str = "hit", sizes: dict[str, int] | None = None) -> DataFrame:
     """Case-insensitive digest match."""
     found = _hits(iocs, "hash").withColumnRenamed("_hit", out)
-    return df.join(broadcast_if_small(found), F.lower(strip(F.col(hash_col))) == F.col("_key"), "left").drop("_key")
+    return df.join(_sized(found, "hash", sizes), F.lower(strip(F.col(hash_col))) == F.col("_key"), "left").drop("_key")
 
 
 def geo_join(df: DataFrame, ip_col: str, geo: DataFrame, asn: DataFrame | None = None, prefix: str = "") -> DataFrame:

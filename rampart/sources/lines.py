@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rampart.functions.text import strip
+from rampart.functions.times import floor_div
 
 # binaryFile rows hold whole files, so byte-exact reading is for files up to this size
 EXACT_FILE_BYTES = 128 * 1024 * 1024
@@ -51,7 +52,7 @@ def stream_log_lines(spark: SparkSession, folder: str, max_files: int = 1000) ->
 
 def event_uid(ingest_ns: Column, *origin: Column) -> Column:
     """A time-ordered id in UUID version 7 layout: ingest milliseconds, then a hash of the origin."""
-    ms = F.lpad(F.lower(F.hex(F.floor(ingest_ns / 1_000_000).cast("bigint"))), 12, "0")
+    ms = F.lpad(F.lower(F.hex(floor_div(ingest_ns, 1_000_000))), 12, "0")
     digest = F.sha2(F.concat_ws("\n", *[F.coalesce(o.cast("string"), F.lit("")) for o in origin]), 256)
     part = lambda a, n: F.substring(digest, a, n)
     return F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), part(1, 3), F.lit("-8"), part(4, 3), F.lit("-"), part(7, 12))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rampart.definitions import Definition
+from rampart.functions.times import to_timestamp
 from rampart.operators.drift import SIGNAL_SCHEMA, DriftConfig, advance
 from rampart.operators.features import protocol_number
 from rampart.operators.flatten import to_silver
@@ -49,7 +50,7 @@ def run_stream(raw_events: DataFrame, lake: Lake, defs: list[Definition], checkp
 
 def dedup_stream(df: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Drop redelivered events (same id) within the watermark of the ingest time."""
-    stamped = df if "ingest_ts" in df.columns else df.withColumn("ingest_ts", F.timestamp_micros(F.floor(F.col("ingest_time_ns") / 1000).cast("bigint")))
+    stamped = df if "ingest_ts" in df.columns else df.withColumn("ingest_ts", to_timestamp(F.col("ingest_time_ns")))
     return stamped.withWatermark("ingest_ts", watermark).dropDuplicatesWithinWatermark(["event_uid"])
 
 
@@ -58,7 +59,7 @@ def stream_window_features(events: DataFrame, window: str = "5 minutes", waterma
     (which keeps the sets in state)."""
     distinct = (lambda c: F.size(F.collect_set(c))) if exact else F.approx_count_distinct
     amount = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
-    stamped = events.withColumn("event_ts", F.timestamp_micros(F.floor(F.col("time") / 1000).cast("bigint"))).withColumn("_proto", protocol_number(events))
+    stamped = events.withColumn("event_ts", to_timestamp(F.col("time"))).withColumn("_proto", protocol_number(events))
     grouped = stamped.filter(F.col("src_ip").isNotNull()).withWatermark("event_ts", watermark).groupBy(F.window("event_ts", window), "src_ip")
     return grouped.agg(
         F.count("*").alias("connection_count"), distinct("dst_ip").alias("distinct_dst_ips"), distinct("dst_port").alias("distinct_dst_ports"),
