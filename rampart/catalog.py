@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from rampart.definitions import Activity, Definition, Field, ordered
 
 # Protocol names and numbers as the sources write them.
@@ -282,9 +284,14 @@ def zeek_http() -> Definition:
                  required=("http_request", "src_endpoint.ip", "time", "class_uid", "category_uid"))
 
 
-def bundled() -> list[Definition]:
-    """All bundled definitions in match order."""
-    return ordered([
+@lru_cache(maxsize=1)
+def _bundled() -> tuple[Definition, ...]:
+    return tuple(ordered([
         fortigate(), panos("10", 47, "10.1"), panos("11", 51, "11.0"), asa(), iptables(), vpc_flow(),
         suricata_alert(), suricata_flow(), zeek_conn(), zeek_dns(), zeek_http(),
-    ])
+    ]))
+
+
+def bundled() -> list[Definition]:
+    """All bundled definitions in match order."""
+    return list(_bundled())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rampart.definitions import Activity, Definition, Field, ordered
 from rampart.functions import ocsf
+from rampart.functions.memo import memo
 from rampart.functions.coerce import SPARK_TYPES, coerce
 from rampart.functions.text import canonical_json
 from rampart.functions.times import parse_ts_ns
@@ -66,23 +67,35 @@ def match_column(defs: list[Definition], text: Column, parsed_field) -> Column:
 
 def prepare(df: DataFrame) -> DataFrame:
     """Add ``envelope``, ``message``, ``outer_format``, ``inner_format``, ``payload`` and ``json_flat``."""
-    out = df.withColumn("_cut", split_syslog(F.col("text"))).withColumn("outer_format", sniff(F.col("text")))
+    cut, outer, inner, flat = memo("prepare", [], lambda: (
+        split_syslog(F.col("text")), sniff(F.col("text")),
+        sniff_inner(F.col("outer_format"), F.col("message"), F.element_at(F.col("envelope"), "tag")), engines.flatten_json(F.col("payload")),
+    ))
+    out = df.withColumn("_cut", cut).withColumn("outer_format", outer)
     out = out.withColumn("envelope", F.col("_cut.envelope")).withColumn("message", F.col("_cut.message")).drop("_cut")
-    out = out.withColumn("inner_format", sniff_inner(F.col("outer_format"), F.col("message"), F.element_at(F.col("envelope"), "tag")))
+    out = out.withColumn("inner_format", inner)
     whole = F.col("inner_format").isin("cef", "leef")
     out = out.withColumn("payload", F.when(whole, F.col("text")).otherwise(F.col("message")))
-    return out.withColumn("json_flat", F.when(F.col("inner_format") == "json", engines.flatten_json(F.col("payload"))))
+    return out.withColumn("json_flat", F.when(F.col("inner_format") == "json", flat))
 
 
 def match_source(df: DataFrame, defs: list[Definition]) -> DataFrame:
     """Add ``source_type`` to lines in ``text``; expects :func:`prepare` columns or adds them."""
     out = df if "json_flat" in df.columns else prepare(df)
-    sniffed = _sniffed_field(F.col("inner_format"), F.col("payload"), F.col("json_flat"))
-    return out.withColumn("source_type", match_column(defs, F.col("text"), sniffed))
+
+    def build() -> Column:
+        sniffed = _sniffed_field(F.col("inner_format"), F.col("payload"), F.col("json_flat"))
+        return match_column(defs, F.col("text"), sniffed)
+
+    return out.withColumn("source_type", memo("match", defs, build))
 
 
 def sniffed_fields(df: DataFrame) -> Column:
     """Fields of the self-describing parse of each line, with its envelope; empty when there is none."""
+    return memo("sniffed", [], _sniffed_columns)
+
+
+def _sniffed_columns() -> Column:
     out = F.create_map().cast("map<string,string>")
     for fmt in ("kv", "cef", "leef"):
         out = F.when(F.col("inner_format") == fmt, engines.ENGINES[fmt](F.col("payload"), {})["fields"]).otherwise(out)
@@ -95,6 +108,11 @@ def sniffed_fields(df: DataFrame) -> Column:
 
 def parse_matched(df: DataFrame, defs: list[Definition]) -> DataFrame:
     """Add ``fields`` and ``parse_error`` by each row's own definition (envelope fields merged in)."""
+    parsed, merged = memo("parse", defs, lambda: _parse_columns(defs))
+    return df.withColumn("_p", parsed).withColumn("fields", merged).withColumn("parse_error", F.col("_p.error")).drop("_p")
+
+
+def _parse_columns(defs: list[Definition]) -> tuple[Column, Column]:
     text, message = F.col("text"), F.col("message")
     none = F.struct(F.lit(None).cast("map<string,string>").alias("fields"), F.lit(None).cast("string").alias("error"))
     out = none
@@ -112,7 +130,7 @@ def parse_matched(df: DataFrame, defs: list[Definition]) -> DataFrame:
         F.col("source_type").isin(with_env) & F.col("envelope").isNotNull(),
         F.map_concat(F.col("_p.fields"), envelope_fields(F.col("envelope"))),
     ).otherwise(F.col("_p.fields"))
-    return df.withColumn("_p", out).withColumn("fields", merged).withColumn("parse_error", F.col("_p.error")).drop("_p")
+    return out, merged
 
 
 # -- mapping ---------------------------------------------------------------------------
@@ -130,14 +148,29 @@ def _raw(f: Field) -> Column:
     return F.coalesce(*values) if len(values) > 1 else values[0]
 
 
-def _value(f: Field, kind: str) -> Column:
-    raw, default = _raw(f), F.lit(f.default)
-    if f.values is not None:
-        value = F.coalesce(ocsf.lookup(f.values, raw), default)
-    else:
-        value = coerce(raw, f.type, f.format, f.tz, F.col("ingest_time_ns"))
-        value = F.when(raw.isNull(), default).otherwise(value) if f.default is not None else value
-    return value.cast(kind)
+def _path_value(path: str, kind: str, defs: list[Definition]) -> Column:
+    """The value of one target path over all definitions.
+
+    Source texts are picked per definition first, so each typed reading (address, timestamp
+    layout) appears once in the plan however many definitions share it.
+    """
+    fields = [(d, f) for d in defs for f in d.fields if f.path == path]
+    readings: dict[tuple, dict[str, Field]] = {}
+    fixed: dict[str, Column] = {}
+    for d, f in fields:
+        if f.values is not None:
+            fixed[d.name] = F.coalesce(ocsf.lookup(f.values, _raw(f)).cast(kind), F.lit(f.default).cast(kind))
+        else:
+            readings.setdefault((f.type, f.format, f.tz), {})[d.name] = f
+            if f.default is not None:
+                fixed[d.name] = F.when(_raw(f).isNull(), F.lit(f.default).cast(kind))
+    parts = []
+    for (typ, fmt, tz), by_name in readings.items():
+        text = _per_source(defs, lambda d: _raw(by_name[d.name]) if d.name in by_name else None, "string")
+        parts.append(coerce(text, typ, fmt, tz, F.col("ingest_time_ns")).cast(kind))
+    parts.append(_per_source(defs, lambda d: fixed.get(d.name), kind))
+    parts.append(_per_source(defs, lambda d: F.lit(d.constants[path]).cast(kind) if path in d.constants else None, kind))
+    return F.coalesce(*parts)
 
 
 def path_types(defs: list[Definition]) -> dict[str, str]:
@@ -232,6 +265,12 @@ def map_fields(df: DataFrame, defs: list[Definition]) -> DataFrame:
     used for typed leftovers when present.
     """
     defs = ordered(defs)
+    json_names = [d.name for d in defs if d.engine == "json"] if "json_flat" in df.columns else []
+    values, derived, leftovers = memo("map", defs, lambda: _map_columns(defs, json_names), tuple(json_names))
+    return df.withColumns(values).withColumns(derived).withColumn("unmapped_json", leftovers)
+
+
+def _map_columns(defs: list[Definition], json_names: list[str]) -> tuple[dict[str, Column], dict[str, Column], Column]:
     types = path_types(defs)
     ids = {"class_uid": lambda d: d.class_uid, "category_uid": lambda d: d.category_uid}
     columns = {name: _per_source(defs, lambda d, get=get: F.lit(get(d)), "bigint") for name, get in ids.items()}
@@ -239,26 +278,18 @@ def map_fields(df: DataFrame, defs: list[Definition]) -> DataFrame:
     for path, kind in types.items():
         if path in columns or path == "type_uid":
             continue
-
-        def value(d: Definition, path=path, kind=kind):
-            mapped = [_value(f, kind) for f in d.fields if f.path == path]
-            constant = [F.lit(d.constants[path]).cast(kind)] if path in d.constants else []
-            return F.coalesce(*mapped, *constant) if mapped or constant else None
-
-        columns[path] = _per_source(defs, value, kind)
-    out = df.withColumns(columns)
+        columns[path] = _path_value(path, kind, defs)
     error = _per_source(defs, _mapping_error, "struct<reason:string,target:string,value:string>")
-    out = out.withColumns({
+    derived = {
         "mapping_error": error,
         "unmapped": _per_source(defs, unmapped_fields, "map<string,string>"),
         "mapping_version": _per_source(defs, lambda d: F.lit(d.version), "string"),
         "metadata.uid": F.col("event_uid"),
         "metadata.log_hash": F.col("raw_hash"),
         "metadata.version": F.lit(ocsf.VERSION),
-    })
-    json_names = [d.name for d in defs if d.engine == "json"] if "json_flat" in df.columns else []
-    return out.withColumn("unmapped_json", _unmapped_json(json_names) if json_names else
-                          F.regexp_replace(canonical_json(F.col("unmapped")), _NUMERIC_ENVELOPE, '"$1":$2'))
+    }
+    plain = F.regexp_replace(canonical_json(F.col("unmapped")), _NUMERIC_ENVELOPE, '"$1":$2')
+    return columns, derived, _unmapped_json(json_names) if json_names else plain
 
 
 # -- lines nobody claims -----------------------------------------------------------------

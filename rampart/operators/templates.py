@@ -83,9 +83,7 @@ def cluster_lines(lines: DataFrame, sim_th: float = SIMILARITY, chunk: int = CHU
         pieces = F.ceil(F.col("_n") / chunk).cast("int")
         cut = F.pmod(F.xxhash64(F.lit(round_no), "text"), pieces) if largest > chunk else F.lit(0)
         placed = level.join(broadcast_if_small(sizes), "bucket").withColumn("_piece", cut)
-        merged = placed.groupBy("bucket", "_piece").applyInPandas(
-            lambda key, pdf, fn=_greedy(sim_th): fn(pdf), "bucket string, text string, template string"
-        ).select("bucket", F.col("text").alias("template"), F.col("template").alias("_wider"))
+        merged = placed.groupBy("bucket", "_piece").applyInPandas(_greedy(sim_th), "bucket string, text string, template string").select("bucket", F.col("text").alias("template"), F.col("template").alias("_wider"))
         current = checkpoint(current.join(merged, ["bucket", "template"]).drop("template").withColumnRenamed("_wider", "template"))
         if largest <= chunk:
             break

@@ -55,9 +55,11 @@ def normalize(
     failed = F.when(F.col("parse_error").isNotNull(), "parse").when(F.col("mapping_error").isNotNull(), "map").when(invalid, "validate")
     detail = F.to_json(F.struct(
         F.col("source_type"), F.col("mapping_error.target").alias("target"), F.col("mapping_error.value").alias("value"),
-        F.when(failed == "validate", F.col("errors")).alias("errors"), F.when(failed == "map", F.col("fields")).alias("parsed_fields"),
+        F.when(F.col("_failed") == "validate", F.col("errors")).alias("errors"), F.when(F.col("_failed") == "map", F.col("fields")).alias("parsed_fields"),
     ))
-    df = df.withColumn("_failed", failed).withColumns({
+    # a filter on the outcome must not be pushed below: it would copy the whole mapping into the scan
+    here = F.spark_partition_id() >= 0
+    df = df.withColumn("_failed", F.when(here, failed)).withColumns({
         "status": F.when(F.col("_failed").isNotNull(), "dead").when(unknown_type(df), "template_only").otherwise("ok"),
         "reason": F.when(F.col("_failed") == "parse", F.col("parse_error")).when(F.col("_failed") == "map", F.col("mapping_error.reason"))
         .when(F.col("_failed") == "validate", "ocsf_validation_failed"),

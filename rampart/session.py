@@ -31,6 +31,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to ``spark`` and return it."""
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    try:  # call-site capture doubles the time to build wide plans
+        spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
+    except Exception:
+        pass
     return spark
 
 

@@ -111,7 +111,7 @@ def explode_payloads(df: DataFrame, kind: str, body: str = "body", payload_id: s
         is_list = F.ltrim("body").startswith("[")
         items = F.try_parse_json("body").try_cast("array<variant>")
         bad = F.when(is_list, items.isNull()).otherwise(F.exists(lines, lambda x: F.try_parse_json(x).isNull()))
-        values = F.when(is_list, F.transform(items, F.to_json)).otherwise(lines)
+        values = F.when(is_list, F.transform(items, lambda v: F.to_json(v))).otherwise(lines)
         pick = F.when(bad, F.array(none)).otherwise(values)
         return df.select("payload_id", F.posexplode(pick).alias("position", "raw"), none.alias("sourcetype"), F.when(bad, "invalid JSON").alias("error"))
     if kind == "hec":
