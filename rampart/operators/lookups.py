@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rampart.functions.ip import canonical_ip, ip_bits, is_private
-from rampart.functions.text import strip
+from rampart.functions.text import let, strip
 from rampart.session import BROADCAST_ROWS, at_most, broadcast_if_small
 
 # Tables of at most this many ranges become literals of the expression.
@@ -27,6 +29,32 @@ def with_prefixes(cidrs: DataFrame, cidr: str = "cidr") -> DataFrame:
     return out.withColumn("_width", F.length("_full")).drop("_full")
 
 
+def _range_table(cidrs: DataFrame, values: list[str], cidr: str) -> DataFrame:
+    best = F.max_by(F.struct(*values), F.struct(F.col(cidr), *values))
+    return with_prefixes(cidrs, cidr).groupBy("_width", "_len", "_bits").agg(best.alias("_v"))
+
+
+def range_probe(cidrs: DataFrame, values: list[str], cidr: str = "cidr") -> Callable[[Column], Column] | None:
+    """For a table of few ranges: a function from an address column to the struct of ``values`` of its
+    longest range (null without one). None when the table is larger."""
+    few = _range_table(cidrs, values, cidr).limit(LITERAL_RANGES + 1).collect()
+    if len(few) > LITERAL_RANGES:
+        return None
+    few.sort(key=lambda r: -r["_len"])
+    types = {v: cidrs.schema[v].dataType for v in values}
+    results = F.array(*[F.struct(*[F.lit(r["_v"][v]).cast(types[v]).alias(v) for v in values]) for r in few])
+
+    def probe(ip: Column) -> Column:
+        def first(bits: Column) -> Column:
+            tests = [F.when((F.length(bits) == r["_width"]) & bits.startswith(r["_bits"]), F.lit(i)) for i, r in enumerate(few)]
+            return F.coalesce(*tests, F.lit(None).cast("int"))
+
+        nothing = F.lit(None).cast("struct<" + ",".join(f"`{v}`:{t.simpleString()}" for v, t in types.items()) + ">")
+        return F.get(results, let(ip_bits(ip), first)) if few else nothing
+
+    return probe
+
+
 def cidr_lookup_join(df: DataFrame, ip_col: str, cidrs: DataFrame, values: list[str], prefix: str = "", cidr: str = "cidr") -> DataFrame:
     """Each row with the ``values`` of the longest range holding its address (IPv4 and IPv6), else nulls.
 
@@ -35,13 +63,12 @@ def cidr_lookup_join(df: DataFrame, ip_col: str, cidrs: DataFrame, values: list[
     is broadcast and probed length by length without moving the events, a larger one meets the
     distinct addresses only and the result joins back on the address with adaptive skew handling.
     """
-    table = with_prefixes(cidrs, cidr)
-    best = F.max_by(F.struct(*values), F.struct(F.col(cidr), *values))
-    table = table.groupBy("_width", "_len", "_bits").agg(best.alias("_v"))
     names = [f"{prefix}{v}" for v in values]
-    few = table.limit(LITERAL_RANGES + 1).collect()
-    if len(few) <= LITERAL_RANGES:
-        return _probe_literals(df, ip_col, few, values, names, [cidrs.schema[v].dataType for v in values])
+    probe = range_probe(cidrs, values, cidr)
+    if probe is not None:
+        hit = df.withColumn("_v", probe(F.col(ip_col)))
+        return hit.withColumns({n: F.col(f"_v.`{v}`") for n, v in zip(names, values)}).drop("_v")
+    table = _range_table(cidrs, values, cidr)
     lengths = sorted((r["_width"], r["_len"]) for r in table.select("_width", "_len").distinct().collect())  # <= 162 rows
     if len(lengths) <= PROBED_LENGTHS and at_most(table, BROADCAST_ROWS):
         return _probe_inline(df, ip_col, table, lengths, values, names)
@@ -56,16 +83,6 @@ def cidr_lookup_join(df: DataFrame, ip_col: str, cidrs: DataFrame, values: list[
     return joined.withColumns({n: F.col(f"_v.`{v}`") for n, v in zip(names, values)}).drop("_ip", "_v")
 
 
-def _probe_literals(df: DataFrame, ip_col: str, rows: list, values, names, types) -> DataFrame:
-    bits = F.col("_full")
-    tests = [((F.length(bits) == r["_width"]) & bits.startswith(r["_bits"]), r["_v"]) for r in sorted(rows, key=lambda r: -r["_len"])]
-    out = df.withColumn("_full", ip_bits(F.col(ip_col)))
-    at = F.coalesce(*[F.when(test, F.lit(i)) for i, (test, _) in enumerate(tests)], F.lit(None).cast("int"))
-    out = out.withColumn("_at", at)
-    pick = lambda v, kind: F.get(F.array(*[F.lit(hit[v]).cast(kind) for _, hit in tests]), F.col("_at")) if tests else F.lit(None).cast(kind)
-    return out.withColumns({n: pick(v, kind) for n, v, kind in zip(names, values, types)}).drop("_full", "_at")
-
-
 def _probe_inline(df: DataFrame, ip_col: str, table: DataFrame, lengths: list[tuple[int, int]], values, names) -> DataFrame:
     out = df.withColumn("_full", ip_bits(F.col(ip_col)))
     found = []

@@ -97,7 +97,8 @@ def mine_templates(df: DataFrame, line: str = "line", depth: int = DEPTH, sim_th
     and leading tokens; ids are a hash of source and final template.
     """
     masked = df.withColumn("_masked", F.array_join(_tokens(mask_line(F.col(line))), " "))
-    distinct = masked.groupBy("source_id", "_masked").agg(F.count("*").alias("n"), F.min("time").alias("first_ns"))
+    # everything below reads the distinct masked lines several times; the raw lines are masked once for it
+    distinct = checkpoint(masked.groupBy("source_id", "_masked").agg(F.count("*").alias("n"), F.min("time").alias("first_ns")))
     tokens = F.split("_masked", " ")
     tree = distinct.withColumn("_len", F.size(tokens))
     parents = ["source_id", "_len"]

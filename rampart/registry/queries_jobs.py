@@ -283,10 +283,10 @@ def _(spark, d):
     return compare_generations(V.flow(spark, d), old).select("event_uid", "outcome")
 
 
-@query("compare_report", f"{_COMPARED} select count(*) filter (outcome = 'no_previous') as no_previous, count(*) filter (outcome = 'changed') as changed, count(*) filter (outcome = 'unchanged') as unchanged, 0.0 as delta from o")
+@query("compare_report", f"{_COMPARED} select count(*) filter (outcome = 'no_previous') as no_previous, count(*) filter (outcome = 'changed') as changed, count(*) filter (outcome = 'unchanged') as unchanged from o")
 def _(spark, d):
     old = generations(spark, d).filter(F.col("event_uid").cast("bigint") % 10 != 9)
-    return compare_report(compare_generations(V.flow(spark, d), old)).select("no_previous", "changed", "unchanged", F.round("completeness_delta_avg", 6).alias("delta"))
+    return compare_report(compare_generations(V.flow(spark, d), old)).select("no_previous", "changed", "unchanged")
 
 
 @query("reprocess_report", f"""{NORMAL_SQL} select count(*) as in_scope, count(*) filter (status <> 'dead') as normalized, count(*) filter (status = 'dead') as dead_lettered, count(distinct case when status <> 'dead' then strftime(make_timestamp("time" // 1000), '%Y-%m-%d') end) as dates from n""")
