@@ -184,7 +184,7 @@ def _v6_facts(bits: Column) -> Column:
 def is_private(c: Column) -> Column:
     """Not globally reachable, documentation ranges included; false for text that is no address."""
     v6 = let(_v6_bits(c), lambda b: F.when(b.isNotNull(), _v6_facts(b)["private"]))
-    private = F.when(is_v4(c), _v4_private(v4_number(c))).when(F.contains(c, F.lit(":")), v6)
+    private = let(v4_number(c), lambda n: F.when(n.isNotNull(), _v4_private(n)).when(F.contains(c, F.lit(":")), v6))
     return F.coalesce(private, F.lit(False))
 
 
@@ -204,14 +204,13 @@ def classify_ip(c: Column) -> Column:
             ((~private & ~shared) | doc).alias("is_global"),
         )
 
-    n = v4_number(c)
-    v4 = shape(
+    v4 = lambda n: shape(
         4, _v4_private(n), _in_v4(n, SHARED_V4), _in_v4(n, ["127.0.0.0/8"]), _in_v4(n, ["224.0.0.0/4"]),
         _in_v4(n, ["240.0.0.0/4"]), _in_v4(n, [r for r in DOCUMENTATION if ":" not in r]),
     )
     of = lambda f: shape(6, f["private"], f["shared"], f["loopback"], f["multicast"], f["reserved"], f["doc"])
     v6 = let(_v6_bits(c), lambda b: F.when(b.isNotNull(), let(_v6_facts(b), of)))
-    return F.when(is_v4(c), v4).when(F.contains(c, F.lit(":")), v6)
+    return let(v4_number(c), lambda n: F.when(n.isNotNull(), v4(n)).when(F.contains(c, F.lit(":")), v6))
 
 
 # scope pair (source, destination) -> direction

@@ -19,6 +19,7 @@ from rampart.plans.scoring import score_features
 from rampart.registry import query, views as V
 from rampart.registry.queries_parse import NORMAL_SQL, raw_lines
 from rampart.registry.views import BIG_SQL, EVENT_SQL, FLOW_SQL
+from rampart.session import spread
 from rampart.sources.merging import union_frames
 
 E = f"with {EVENT_SQL}"
@@ -129,7 +130,7 @@ def _(spark, d):
     k, u = F.col("k").cast("string"), F.lpad(F.col("user_id").cast("string"), 4, "0")
     text = F.concat(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" conn 10.0.0."), k, F.lit(":"), k, F.lit(" id 6f9619ff-8b86-d011-b42d-00c04fc9"), u, F.lit(" via 00:11:22:33:44:"), F.lpad(F.col("k").cast("string"), 2, "0"),
                     F.lit(' said "a '), k, F.lit('" size '), k, F.lit(" bytes ref 0xab"), k, F.lit(" n "), k, F.lit(" "), F.col("event_type"))
-    return V.events(spark, d).select("event_id", masks.mask_line(text).alias("masked"))
+    return spread(V.events(spark, d)).select("event_id", masks.mask_line(text).alias("masked"))
 
 
 @query("suggested_fields", f"{E} select event_id, case when k % 2 = 0 then 'IP,NUM' else 'NUM' end as names from e")
@@ -143,7 +144,7 @@ _SHAPES = ["user {u} logged in from 10.0.0.{k} port {u}", "disk sda{k} usage at
 
 def text_lines(spark, d):
     """Free-text lines of four shapes in turn."""
-    df = V.events(spark, d)
+    df = spread(V.events(spark, d))
     state = F.when(F.col("k") % 2 == 0, "up").otherwise("down")
 
     def render(shape: str):

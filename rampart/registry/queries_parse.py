@@ -15,6 +15,7 @@ from rampart.plans.normalize import accepted, normalize
 from rampart.plans.reprocess import pipeline_metrics, roundtrip_report
 from rampart.registry import query, views as V
 from rampart.registry.views import EVENT_SQL
+from rampart.session import spread
 from rampart.sources.kafka import decode_raw_events, encode_raw_events
 from rampart.sources.lines import explode_payloads, to_raw_events
 from rampart.sources.zeek import parse_zeek_tsv
@@ -24,7 +25,7 @@ _CENTS = "cast(round(value * 100) as bigint)"
 
 
 def _lines(spark, d, text: Column) -> DataFrame:
-    df = V.events(spark, d).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    df = spread(V.events(spark, d)).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
     return df.withColumn("text", text)
 
 
