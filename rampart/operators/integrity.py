@@ -202,9 +202,9 @@ def verify_chain(ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
     )
 
 
-def ledger_status(ledger: DataFrame) -> DataFrame:
+def ledger_status(ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Entries, sealed events, last seal and whether the whole chain holds."""
-    checked = check_links(ledger)
+    checked = check_links(ledger, segment)
     return checked.agg(
         F.count("*").alias("entries"), F.coalesce(F.sum("leaf_count"), F.lit(0)).alias("events_sealed"),
         F.max("sealed_at_ns").alias("last_sealed_at_ns"), F.coalesce(F.bool_and("link_ok"), F.lit(True)).alias("chain_ok"),
@@ -217,7 +217,7 @@ def locate_leaves(bronze: DataFrame, index: DataFrame, ledger: DataFrame) -> Dat
     return bronze.join(index, "event_uid", "left").join(entries, ["ledger", "ledger_seq"], "left")
 
 
-def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame) -> DataFrame:
+def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Per event: ``hash_ok``, ``proof_ok`` (its recomputed hash is in the sealed root) and ``chain_ok``.
 
     The proof uses the recorded hashes of the sibling events and the recomputed hash of the event.
@@ -225,7 +225,7 @@ def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame) -> Dat
     placed = locate_leaves(verify_hashes(bronze), index, ledger).withColumn("recomputed_hash", F.sha2("raw", 256))
     sealed = placed.filter(F.col("ledger").isNotNull())
     proofs = merkle_proofs(sealed.select("event_uid", "ledger", "ledger_seq", "leaf_index", "raw_hash"), ["ledger", "ledger_seq"], "leaf_index").select("event_uid", "proof")
-    links = check_links(ledger).select("ledger", F.col("seq").alias("ledger_seq"), F.col("link_ok").alias("chain_ok"))
+    links = check_links(ledger, segment).select("ledger", F.col("seq").alias("ledger_seq"), F.col("link_ok").alias("chain_ok"))
     out = placed.join(proofs, "event_uid", "left").join(links, ["ledger", "ledger_seq"], "left")
     proof_ok = fold_proof(F.col("recomputed_hash"), F.col("proof")) == F.col("batch_root")
     out = out.withColumn("proof_ok", F.when(F.col("proof").isNotNull(), proof_ok))
@@ -233,12 +233,12 @@ def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame) -> Dat
     return out.select("event_uid", "hash_ok", "proof_ok", "chain_ok", "ledger", "ledger_seq", "leaf_index", "batch_root", "recomputed_hash", "proof", passed.alias("verified"))
 
 
-def event_proof(bronze: DataFrame, index: DataFrame, ledger: DataFrame, event_uid: str) -> DataFrame:
+def event_proof(bronze: DataFrame, index: DataFrame, ledger: DataFrame, event_uid: str, segment: int = SEGMENT) -> DataFrame:
     """The proof of one event: only its own batch is read."""
     spot = index.filter(F.col("event_uid") == event_uid).select("ledger", "ledger_seq")
     mine = index.join(F.broadcast(spot), ["ledger", "ledger_seq"], "left_semi")
     siblings = bronze.join(broadcast_if_small(mine.select("event_uid")), "event_uid", "left_semi")
-    return verify_events(siblings, mine, ledger).filter(F.col("event_uid") == event_uid)
+    return verify_events(siblings, mine, ledger, segment).filter(F.col("event_uid") == event_uid)
 
 
 def lineage(silver: DataFrame, bronze: DataFrame, index: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -43,10 +43,13 @@ def read_log_lines(spark: SparkSession, path: str, byte_exact: bool = False) ->
 
 
 def stream_log_lines(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """New files of a folder as a stream of lines; the checkpoint of the query resumes it."""
+    """New files of a folder as a stream of lines; the checkpoint of the query resumes it.
+
+    Row ids are added per micro-batch (``run_stream``): a stream has no row numbers of its own.
+    """
     reader = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files)
     df = reader.text(folder).select("value", F.col("_metadata.file_name").alias("source_id"), F.col("_metadata.file_path").alias("file_path"),
-                                    F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_id"))
+                                    F.col("_metadata.file_block_start").alias("block_start"))
     return _lines(df)
 
 

@@ -7,6 +7,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -32,8 +33,9 @@ def _kinds(dfs: list[DataFrame]) -> dict[str, set[str]]:
     return out
 
 
-def reconcile_types(dfs: list[DataFrame]) -> list[DataFrame]:
-    """Numbers are widened; a column whose types conflict becomes JSON text in every frame."""
+def reconcile_types(dfs: list[DataFrame], quote_text: bool = True) -> list[DataFrame]:
+    """Numbers are widened; a column whose types conflict becomes JSON text in every frame
+    (plain text where ``quote_text`` is off)."""
     kinds = _kinds(dfs)
 
     def fix(df: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def reconcile_types(dfs: list[DataFrame]) -> list[DataFrame]:
                 columns.append(ref.cast(wanted).alias(f.name))
             elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
                 columns.append(F.to_json(ref).alias(f.name))
-            elif isinstance(f.dataType, T.StringType):
+            elif isinstance(f.dataType, T.StringType) and quote_text:
                 quoted = F.to_json(F.array(ref))
                 columns.append(F.when(ref.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).alias(f.name))
             else:
@@ -54,9 +56,9 @@ def reconcile_types(dfs: list[DataFrame]) -> list[DataFrame]:
     return [fix(df) for df in dfs]
 
 
-def union_frames(dfs: list[DataFrame]) -> DataFrame:
+def union_frames(dfs: list[DataFrame], quote_text: bool = True) -> DataFrame:
     """All rows of all frames, columns matched by name, missing ones null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reconcile_types(dfs))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reconcile_types(dfs, quote_text))
 
 
 @dataclass
@@ -79,7 +81,7 @@ def _fs(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+def data_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     """Parquet files under a folder with their sizes."""
     path, fs = _fs(spark, folder)
     found, out = fs.listFiles(path, True), []
@@ -91,27 +93,33 @@ def _files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
-def _load(spark: SparkSession, files: list[str]) -> DataFrame:
-    """All files as one frame; files whose schemas conflict are read by schema and reconciled."""
+def load_files(spark: SparkSession, files: list[str], base: str | None = None) -> DataFrame:
+    """All files as one frame; files whose schemas conflict are read by schema and reconciled.
+
+    ``base`` is the table folder whose partition columns are wanted.
+    """
+    reader = lambda: spark.read.option("basePath", base) if base is not None else spark.read
     try:
-        return spark.read.option("mergeSchema", True).parquet(*files)
-    except PySparkException:
+        return reader().option("mergeSchema", True).parquet(*files)
+    except (PySparkException, Py4JJavaError) as exc:
+        if "CANNOT_MERGE" not in str(exc):
+            raise
         groups: dict[str, list[str]] = {}
         for f in files:
             groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
-        return union_frames([spark.read.parquet(*g) for g in groups.values()])
+        return union_frames([reader().parquet(*g) for g in groups.values()], quote_text=base is None)
 
 
 def compact(spark: SparkSession, path: str, date: str, source_type: str, target_bytes: int = TARGET_BYTES, min_files: int = 2) -> CompactionResult:
     """Rewrite one partition as files of about ``target_bytes``; nothing is removed before the new
     files are complete. Fewer than ``min_files`` files are left as they are."""
     folder = f"{path}/date={date}/source_type={source_type}"
-    files = _files(spark, folder)
+    files = data_files(spark, folder)
     size = sum(n for _, n in files)
     if len(files) < max(min_files, 1):
         rows = spark.read.parquet(*[f for f, _ in files]).count() if files else 0
         return CompactionResult(date, source_type, len(files), len(files), rows, size, size, False)
-    df = _load(spark, [f for f, _ in files])
+    df = load_files(spark, [f for f, _ in files])
     run = f"compact-{uuid.uuid4().hex}"
     staging = f"{path}/_staging/{run}"  # names with an underscore are invisible to readers
     df.repartition(max(1, -(-size // max(target_bytes, 1)))).write.option("compression", "zstd").parquet(staging)
@@ -124,7 +132,7 @@ def compact(spark: SparkSession, path: str, date: str, source_type: str, target_
     for name, _n in files:
         old, _ = _fs(spark, name)
         fs.delete(old, False)
-    after = _files(spark, f"{folder}/run={run}")
+    after = data_files(spark, f"{folder}/run={run}")
     return CompactionResult(date, source_type, len(files), len(after), rows, size, sum(n for _, n in after), True)
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.errors import AnalysisException
 
 from rampart import schemas
 from rampart.functions.times import event_date
 from rampart.session import broadcast_if_small
+from rampart.sources.merging import data_files, load_files
 
 
 def slug(c: Column) -> Column:
@@ -107,10 +107,10 @@ def read_silver(spark: SparkSession, path: str, columns: dict[str, str] | None =
     if columns is not None:
         declared = {**schemas.SILVER, **columns, "run": "string"}
         return spark.read.schema(schemas.ddl(declared)).parquet(path).drop("run")
-    try:
-        return spark.read.option("mergeSchema", True).parquet(path).drop("run")
-    except AnalysisException:
+    files = [name for name, _ in data_files(spark, path)]
+    if not files:
         return spark.createDataFrame([], schemas.ddl(schemas.SILVER))
+    return load_files(spark, files, path).drop("run")
 
 
 # -- dead letters ---------------------------------------------------------------------------------

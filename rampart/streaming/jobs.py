@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,13 +22,16 @@ from rampart.operators.templates import mine_templates
 from rampart.plans.normalize import accepted, dead_letters, normalize
 from rampart.plans.reprocess import Lake
 from rampart.plans.scoring import score_recent
+from rampart.sources.lines import stream_log_lines, to_raw_events
 from rampart.sources.tables import read_silver, write_anomalies, write_bronze, write_dead_letters, write_silver
 
 
 def land_batch(raw: DataFrame, batch_id: int, lake: Lake, defs: list[Definition], enrich: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """One micro-batch to bronze, silver and dead letters. Every table gets the batch as its run, so a
-    repeated batch replaces its own files."""
+    """One micro-batch of lines or raw events to bronze, silver and dead letters. Every table gets the
+    batch as its run, so a repeated batch replaces its own files."""
     run = f"batch-{batch_id:012d}"
+    if "event_uid" not in raw.columns:
+        raw = to_raw_events(raw.withColumn("row_id", F.monotonically_increasing_id()))
     raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     write_bronze(raw, lake.bronze, run=run)
     outcomes = normalize(raw, defs, enrich).persist(StorageLevel.DISK_ONLY)
@@ -40,6 +43,12 @@ def land_batch(raw: DataFrame, batch_id: int, lake: Lake, defs: list[Definition]
         raw.unpersist()
 
 
+def stream_lines_as_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a folder as a stream for :func:`run_stream`; ids are minted inside each micro-batch,
+    where row numbers are stable when a task is repeated."""
+    return stream_log_lines(spark, folder)
+
+
 def run_stream(raw_events: DataFrame, lake: Lake, defs: list[Definition], checkpoint: str,
                enrich: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None) -> DataStreamWriter:
     """The continuous pipeline over a stream of raw events; call ``.start()``. At least once from the
