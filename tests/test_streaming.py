@@ -62,11 +62,14 @@ def test_drift_state_carries_over_batches(spark, tmp_path):
     schema = "source_id string, template_id string, time bigint"
     cfg = DriftConfig(window_minutes=5)
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for w, n in enumerate([20, 20, 20, 20, 200, 20]):
-        spark.createDataFrame([("s", "t", (w * 300 + i) * NS) for i in range(n)], schema).coalesce(1).write.mode("append").parquet(path)
+    for first, counts in ((0, [20, 20, 20]), (3, [20, 200, 20])):
+        rows = [("s", "t", ((first + w) * 300 + i) * NS) for w, n in enumerate(counts) for i in range(n)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(schema).parquet(path)
-        q = jobs.stream_template_drift(stream, cfg).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).outputMode("append").start()
-        q.awaitTermination(90)
+        writer = jobs.stream_template_drift(stream, cfg).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "ck"))
+        q = writer.trigger(processingTime="200 milliseconds").outputMode("append").start()  # timers keep such a query running
+        q.processAllAvailable()
+        q.stop()
     rows = spark.read.json(out).collect()
     assert [(r["window_index"], r["observed"], r["direction"]) for r in rows] == [(4, 200, "spike")]
 
