@@ -190,6 +190,21 @@ ACTION_WORDS = ["allow", "allowed", "deny", "denied", "accept", "accepted", "dro
 FLOORS = {"ip": 0.75, "protocol": 0.9, "action": 0.75, "timestamp": 0.7, "port": 0.7, "bytes": 0.9, "interface": 0.6}
 
 
+def _rising_share(numbers: DataFrame, group: list[str]) -> DataFrame:
+    """``monotone``: the share of changing steps between neighbouring rows of a group that go up.
+
+    Rows are range-partitioned by (group, row); steps are taken inside each partition, and the one step
+    across each border from the partitions' end values, so a hot group spans many tasks.
+    """
+    n = max(int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    fixed = checkpoint(numbers.repartitionByRange(n, *group, "row").withColumn("_p", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, "_p").orderBy("row")
+    steps = fixed.select(*group, "_num", F.lag("_num").over(inside).alias("_prev"))
+    ends = fixed.groupBy(*group, "_p").agg(F.min_by("_num", "row").alias("_num"), F.max_by("_num", "row").alias("_last"))
+    borders = ends.select(*group, "_num", F.lag("_last").over(Window.partitionBy(*group).orderBy("_p")).alias("_prev"))
+    return steps.unionByName(borders).filter(F.col("_num") != F.col("_prev")).groupBy(*group).agg(F.avg((F.col("_num") > F.col("_prev")).cast("double")).alias("monotone"))
+
+
 def field_statistics(values: DataFrame, keys: list[str]) -> DataFrame:
     """Statistics per (keys, ``position``) of parameter values in ``value`` with ``mask_type``.
 
@@ -205,13 +220,10 @@ def field_statistics(values: DataFrame, keys: list[str]) -> DataFrame:
         "_action": F.coalesce(F.lower(F.btrim(v, F.lit("\"'"))).isin(ACTION_WORDS), F.lit(False)),
         "_ts": parse_ts_ns(v).isNotNull(),
     })
-    ordered = Window.partitionBy(*keys, "position").orderBy("row")
-    steps = flagged.filter(F.col("_num").isNotNull()).withColumn("_prev", F.lag("_num").over(ordered))
-    rise = steps.filter(F.col("_num") != F.col("_prev")).groupBy(*keys, "position").agg(F.avg((F.col("_num") > F.col("_prev")).cast("double")).alias("monotone"))
+    rise = _rising_share(flagged.filter(F.col("_num").isNotNull()).select(*keys, "position", "row", "_num"), [*keys, "position"])
     share = lambda c: F.avg(F.col(c).cast("double"))
     loose_ts = F.avg((F.col("_ts") & F.col("_num").isNull()).cast("double"))
-    w = Window.partitionBy(*keys, "position", "value").orderBy("row")
-    firsts = flagged.withColumn("_seen", F.row_number().over(w)).filter("_seen = 1")
+    firsts = flagged.groupBy(*keys, "position", "value").agg(F.min("row").alias("row"))
     rank = Window.partitionBy(*keys, "position").orderBy("row")
     examples = firsts.withColumn("_k", F.row_number().over(rank)).filter(F.col("_k") <= 5).groupBy(*keys, "position").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_k", "value"))), lambda x: x["value"]).alias("example_values"))
