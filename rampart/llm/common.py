@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -75,6 +77,14 @@ class Shared:
             pass
 
 
+def per_worker(name: str, build: Callable[[], object]) -> object:
+    """The object of that name in this Python worker, built once and kept between the worker's tasks."""
+    held = vars(sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")))
+    if name not in held:
+        held[name] = build()
+    return held[name]
+
+
 def broadcast_if_bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` (of rows of fixed width) with a broadcast hint if a count proves at most ``rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dart_minhash, quality
+import public_tokenizers
+
+from . import bpe, dart_minhash, decontaminate, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,14 +23,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 @query
 def op3_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, class_id of every document: the least doc_id of its class of near copies."""
     return dart_minhash.classes(table(spark, folder, "documents"))
 
 
+@query
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again: token count, digests of ids and of decoded bytes."""
+    ranks = bpe.load_ranks(vocabulary())
+    encoded = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 @query
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document."""
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.references(docs))
+
+
+@query
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets of every document."""
+    docs = table(spark, folder, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.model(docs)))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The best overlap of every leaking document with each benchmark item."""
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
