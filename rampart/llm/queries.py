@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import bpe, dart_minhash, decontaminate, quality, secrets
+from . import bpe, dart_minhash, decontaminate, main_text, quality, secrets, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,29 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: The rules of op2.
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+@query
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = main_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op3_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, class_id of every document: the least doc_id of its class of near copies."""
@@ -42,6 +65,13 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by token count, with suffix sums."""
+    encoded = bpe.encode(table(spark, folder, "documents"), bpe.load_ranks(vocabulary()), public_tokenizers.PATTERN)
+    return token_counts.histogram(encoded.select("n_tokens"))
+
+
 @query
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document."""

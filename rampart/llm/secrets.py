@@ -73,8 +73,8 @@ def model(docs: DataFrame, text: str = "text", params: SecretParams = SecretPara
     rest = F.when(any_base, F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, "\n"), ACCESS, "\n"), HEX, "\n")).otherwise(F.col("text"))
     strings = rows.select(F.lit(1).alias("kind"), F.explode(F.regexp_extract_all(rest, F.lit(f"{RUN}{{{params.train_least},}}"), F.lit(0))).alias("s")).unionByName(
         rows.filter(any_base).select(F.lit(0).alias("kind"), F.explode(values).alias("s")))
-    pairs = strings.select("kind", "s", F.explode(F.sequence(F.lit(1), F.length("s"))).alias("i"))
-    pairs = pairs.select("kind", F.when(F.col("i") == 1, F.concat(F.lit("^"), F.substring("s", 1, 1))).otherwise(F.substring("s", F.col("i") - 1, F.lit(2))).alias("pair"))
+    letters_of = strings.select("kind", F.array_remove(F.split("s", ""), "").alias("chars"))
+    pairs = letters_of.select("kind", F.explode(F.transform("chars", lambda c, i: F.concat(F.coalesce(F.get("chars", i - 1), F.lit("^")), c))).alias("pair"))
     counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
     letters = set(ALPHABET)
     for r in pairs.filter(F.col("pair").rlike(f"^[{RUN[1:-1].replace('-', '')}^-]{RUN}$")).groupBy("kind", "pair").count().collect():
@@ -94,10 +94,9 @@ def model(docs: DataFrame, text: str = "text", params: SecretParams = SecretPara
 def _score(s: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of a string's characters."""
     cells = F.expr("array(" + ",".join(f"{x!r}D" for x in table) + ")")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))
     summed = F.aggregate(
-        F.sequence(F.lit(1), F.length(s)), F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum")),
-        lambda acc, i: F.struct(place(i).alias("before"), (acc["sum"] + F.element_at(cells, acc["before"] * _SIZE + place(i) + 1)).alias("sum")),
+        F.array_remove(F.split(s, ""), ""), F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum")),
+        lambda acc, c: F.struct(F.instr(F.lit(ALPHABET), c).alias("before"), (acc["sum"] + F.element_at(cells, acc["before"] * _SIZE + F.instr(F.lit(ALPHABET), c) + 1)).alias("sum")),
         lambda acc: acc["sum"] / F.length(s),
     )
     return summed
