@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import bpe, dart_minhash, decontaminate, main_text, quality, secrets, token_counts, url_filter
+from . import bpe, dart_minhash, decontaminate, licenses, main_text, quality, secrets, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,6 +65,15 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License passages of every document."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+SQL["op5_licenses"] = licenses.oracle_sql()
+
+
 @query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by token count, with suffix sums."""
@@ -90,3 +99,11 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """The best overlap of every leaking document with each benchmark item."""
     return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page archived, read back and indexed. Pages have no capture time: second page_id of 2020 stands for it."""
+    pages = table(spark, folder, "pages")
+    index = warc.archive(pages, ts=F.coalesce("page_id", F.lit(0)) + 1_577_836_800)
+    return index.select(F.when(F.col("record") != "", F.col("record")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "ts")
