@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.llm import bpe, dart_minhash, decontaminate, quality, secrets
+from rampart.llm import bpe, dart_minhash, decontaminate, quality, secret_scan
 from rampart.llm.common import Shared
 
 #: SQL can express neither the dart signatures nor the trained models; tests/llm holds brute-force versions.
@@ -32,9 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced, and n_chars follows."""
-    return secrets.redact(docs, secrets.model(docs))
+    return secret_scan.redact(docs, secret_scan.model(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
-    ("secret_scan", secret_scan),
+    ("secrets", secrets),
     ("tokenize", tokenize),
 ]
 

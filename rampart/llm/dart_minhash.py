@@ -30,14 +30,15 @@ _ENDS = [0.0, 2.0**-16, 2.0**-12, 2.0**-8, 2.0**-4, *(2.0**i for i in range(0, 6
 @dataclass(frozen=True)
 class DartParams:
     """``bands`` x ``rows`` coordinates. A pair of similarity s meets in a band with probability
-    1 - (1 - s^rows)^bands: 0.9996 at 0.8. ``agreement`` of the coordinates must agree before two members of
-    different classes are verified: four standard deviations below what a pair of similarity 0.8 has."""
+    1 - (1 - s^rows)^bands: 0.9996 at 0.8. Members of different classes are first compared by ``fine`` one-bit
+    coordinates: ``agreement`` of them must agree, 3.3 standard deviations below the mean of a pair of similarity 0.8."""
 
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 20
     rows: int = 5
-    agreement: float = 0.64
+    fine: int = 2048
+    agreement: float = 0.878
 
     @property
     def coordinates(self) -> int:
@@ -161,25 +162,57 @@ def _sketches(params: DartParams):
                 part = batch.slice(start, n)
                 start += n
                 empty = ~has
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1], mask=pa.array(empty)).cast(pa.list_(t)) for x, t in ((key.view(np.int64), pa.int64()), ((kept >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "key", "bands", "marks"])
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), params.bands, mask=pa.array(empty)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bands], names=["id", "key", "bands"])
 
     return run
 
 
+def _fine_sketches(params: DartParams):
+    """One bit of each of ``fine`` coordinates, packed in 64-bit words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, start = batch.column(1).to_pylist(), 0
+            for first, last in by_chars(texts, 200_000):
+                owner, element, count = shingles(texts[first:last], params.shingle)
+                kept = signatures(owner, element, count, last - first, params.fine)
+                words = np.packbits((mix(kept) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                part = batch.slice(start, last - first)
+                start += last - first
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), words.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), bits], names=["key", "bits"])
+
+    return run
+
+
+def _counted(text: str, span: int) -> tuple[np.ndarray, np.ndarray]:
+    _, element, count = shingles([text], span)
+    order = np.argsort(element)
+    return element[order], count[order]
+
+
+def _weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    both = np.minimum(x[1][i], y[1][j]).sum()
+    whole = x[1].sum() + y[1].sum() - both
+    return float(both / whole) if whole else 0.0
+
+
 def weighted_jaccard(a: str, b: str, span: int) -> float:
     """Sum of the least over sum of the largest counts of the two texts' shingles."""
-    owner, element, count = shingles([a, b], span)
-    x = dict(zip(element[owner == 0].tolist(), count[owner == 0].tolist()))
-    y = dict(zip(element[owner == 1].tolist(), count[owner == 1].tolist()))
-    both = sum(min(n, y[e]) for e, n in x.items() if e in y)
-    return both / (sum(x.values()) + sum(y.values()) - both) if x or y else 0.0
+    return _weighted_jaccard(_counted(a, span), _counted(b, span))
 
 
 def _verified(params: DartParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, of_hub = None, None
         for batch in batches:
-            ok = [weighted_jaccard(a.as_py(), b.as_py(), params.shingle) >= params.similarity for a, b in zip(batch.column(2), batch.column(3))]
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = a.as_py(), b.as_py()
+                if a != hub:  # a hub comes many times in a row
+                    hub, of_hub = a, _counted(a, params.shingle)
+                ok.append(_weighted_jaccard(of_hub, _counted(b, params.shingle)) >= params.similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -194,36 +227,59 @@ def near_copies(docs: DataFrame, shared: Shared, params: DartParams = DartParams
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(quoted(docs, id_col).alias("id"), text_key(quoted(docs, text).cast("string")).alias("key"), quoted(docs, text).cast("string").alias("text")).filter("text is not null")
-    sketched = rows.mapInArrow(_sketches(params), f"id {kind}, key binary, bands array<long>, marks array<int>")
-    texts = shared.save(sketched.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "texts")
-    # members of every bucket of at least two texts, with the bucket's least text
+    sketched = rows.mapInArrow(_sketches(params), f"id {kind}, key binary, bands array<long>")
+    texts = shared.save(sketched.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")), "texts")
     members = texts.filter("bands is not null").select("key", F.posexplode("bands").alias("band", "value"))
-    buckets = members.groupBy("band", "value").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("band", "value", "least")
-    shared_bucket = members.join(buckets, ["band", "value"])
-    joined = shared.save(shared_bucket, "members")
-    links = _links(docs, shared, params, id_col, text, texts, joined.filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+    sizes = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnsRenamed({"band": "of_band", "value": "of_value"})
+    joined = shared.save(members.join(sizes, (F.col("band") == F.col("of_band")) & (F.col("value") == F.col("of_value"))).select("band", "value", "key", "n"), "members")
+    # the hub of a bucket is the text with the most company in all its buckets: of a group of variants, the one they stem from
+    company = joined.groupBy("key").agg(F.sum("n").alias("company"))
+    ranked = shared.save(joined.join(company.withColumnRenamed("key", "its"), F.col("key") == F.col("its")).select("band", "value", "key", "company"), "ranked")
+    hubs = ranked.groupBy("band", "value").agg(F.max(F.struct("company", "key")).alias("hub")).select(F.col("band").alias("of_band"), F.col("value").alias("of_value"), F.col("hub.key").alias("hub"))
+    stars = ranked.join(hubs, (F.col("band") == F.col("of_band")) & (F.col("value") == F.col("of_value"))).filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    links = _links(docs, shared, params, id_col, text, texts, stars, "stars")
     roots = components(links, shared, "stars")
-    # buckets whose members are still of several classes: every pair across classes that agrees enough is verified too
-    labelled = joined.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("band", "value", "key", F.coalesce("root", "key").alias("root"))
-    mixed = labelled.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "value")
-    rest = shared.save(labelled.join(mixed, ["band", "value"]).join(texts.select("key", "marks"), "key"), "rest")
+    # buckets whose members are still of several classes: pairs across classes that agree enough are verified too
+    labelled = shared.save(joined.join(roots.select(F.col("node").alias("its"), "root"), F.col("key") == F.col("its"), "left").select("band", "value", "key", F.coalesce("root", "key").alias("root")), "labelled")
+    mixed = labelled.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select(F.col("band").alias("of_band"), F.col("value").alias("of_value"))
+    rest = shared.save(labelled.join(mixed, (F.col("band") == F.col("of_band")) & (F.col("value") == F.col("of_value")), "left_semi"), "rest")
     if not rest.isEmpty():
-        x, y = (rest.select("band", "value", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "marks"))) for side in "xy")
-        agree = F.aggregate(F.zip_with("marks_x", "marks_y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-        across = x.join(y, ["band", "value"]).filter((F.col("root_x") < F.col("root_y")) & (agree >= int(params.agreement * params.coordinates)))
-        more = _links(docs, shared, params, id_col, text, texts, across.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), "across")
-        roots = components(links.unionByName(more), shared, "all")
-    return texts.select("key", "rep", "rows").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", "rows", F.coalesce("root", "key").alias("root"))
+        held = _texts_of(docs, shared, id_col, text, texts, rest.select("key").distinct(), "rest-texts")
+        bits = shared.save(held.mapInArrow(_fine_sketches(params), "key binary, bits array<long>"), "bits")
+        marked = rest.join(bits.withColumnRenamed("key", "its"), F.col("key") == F.col("its")).drop("its")
+        x, y = (marked.select("band", "value", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "bits"))) for side in "xy")
+        differ = sum(F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range(params.fine // 64))
+        across = x.join(y, ["band", "value"]).filter((F.col("root_x") < F.col("root_y")) & (differ <= int((1 - params.agreement) * params.fine)))
+        more = _links(docs, shared, params, id_col, text, texts, across.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), "across", held)
+        if not more.isEmpty():
+            roots = _regrouped(roots, more, shared)
+    return texts.select("key", "rep", "rows").join(roots.select(F.col("node").alias("its"), "root"), F.col("key") == F.col("its"), "left").select("key", "rep", "rows", F.coalesce("root", "key").alias("root"))
+
+
+def _regrouped(roots: DataFrame, more: DataFrame, shared: Shared) -> DataFrame:
+    """``roots`` after ``more`` links: the classes are joined, not the texts."""
+    a, b = (roots.select(F.col("node").alias(f"node_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
+    ends = more.join(a, F.col("a") == F.col("node_a"), "left").join(b, F.col("b") == F.col("node_b"), "left")
+    above = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), shared, "more")
+    moved = roots.join(above.select(F.col("node").alias("its"), F.col("root").alias("above")), F.col("root") == F.col("its"), "left").select("node", F.coalesce("above", "root").alias("root"))
+    return moved.unionByName(above.join(roots.select("node"), "node", "left_anti"))
+
+
+def _texts_of(docs: DataFrame, shared: Shared, id_col: str, text: str, texts: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``key``, ``text`` of the texts with these keys. Only they are moved, one row of each."""
+    needed = keys.join(texts.select(F.col("key").alias("its"), F.col("rep").alias("wanted")), F.col("key") == F.col("its")).select("its", "wanted")
+    have = docs.select(quoted(docs, id_col).alias("rep"), text_key(quoted(docs, text).cast("string")).alias("key"), quoted(docs, text).cast("string").alias("text")).filter("text is not null")
+    found = have.join(needed, (F.col("key") == F.col("its")) & F.col("rep").eqNullSafe(F.col("wanted")), "left_semi")
+    return shared.save(found.groupBy("key").agg(F.first("text").alias("text")), name)
 
 
-def _links(docs: DataFrame, shared: Shared, params: DartParams, id_col: str, text: str, texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs whose texts are similar enough. Only the texts in some pair are moved, one row of each."""
+def _links(docs: DataFrame, shared: Shared, params: DartParams, id_col: str, text: str, texts: DataFrame, pairs: DataFrame, name: str, held: DataFrame | None = None) -> DataFrame:
+    """The pairs whose texts are similar enough."""
     pairs = shared.save(pairs, f"{name}-candidates")
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(texts.select("key", "rep"), "key")
-    have = docs.select(quoted(docs, id_col).alias("rep"), text_key(quoted(docs, text).cast("string")).alias("key"), quoted(docs, text).cast("string").alias("text")).filter("text is not null")
-    found = have.join(needed.withColumnRenamed("rep", "wanted").withColumnRenamed("key", "its"), (F.col("key") == F.col("its")) & F.col("rep").eqNullSafe(F.col("wanted")), "left_semi")
-    held = shared.save(found.groupBy("key").agg(F.first("text").alias("text")), f"{name}-texts")
-    both = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    if held is None:
+        held = _texts_of(docs, shared, id_col, text, texts, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), f"{name}-texts")
+    with_b = pairs.join(held.select(F.col("key").alias("its"), F.col("text").alias("text_b")), F.col("b") == F.col("its")).drop("its")
+    both = with_b.join(held.select(F.col("key").alias("its"), F.col("text").alias("text_a")), F.col("a") == F.col("its"))
     return shared.save(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(params), "a binary, b binary"), f"{name}-links")
 
 

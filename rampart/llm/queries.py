@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import bpe, dart_minhash, decontaminate, licenses, main_text, quality, secrets, token_counts, url_filter, warc
+from . import bpe, dart_minhash, decontaminate, licenses, main_text, quality, secret_scan, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,7 +92,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets of every document."""
     docs = table(spark, folder, "documents")
-    return secrets.digest(secrets.scan(docs, secrets.model(docs)))
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.model(docs)))
 
 
 @query
