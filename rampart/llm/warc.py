@@ -8,6 +8,7 @@ the runs with a tree of losers, which gives the capture histories in one global
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -71,9 +72,9 @@ def _record() -> Column:
 
 
 def write_archives(found: DataFrame, path: str, files: int) -> None:
-    """Writes ``captures`` as about ``files`` WARC files below ``path``; Spark's committer keeps a retried task from leaving records twice."""
+    """Writes ``captures`` as about ``files`` gzipped WARC files below ``path``; Spark's committer keeps a retried task from leaving records twice."""
     dealt = found.repartition(max(1, files), F.xxhash64("digest", "id", "url"))
-    dealt.select(_record().alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).text(path)
+    dealt.select(_record().alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -113,7 +114,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
             entries = []
-            for offset, headers, block in read_records(content.as_py()):
+            for offset, headers, block in read_records(gzip.decompress(content.as_py())):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
                 size = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
