@@ -2,15 +2,17 @@
 
 A passage and a template whose sizes differ too much cannot reach the threshold, so only templates within the
 bounds are candidates. Counting shared bigrams is a join with the table of all templates' bigrams, which is fixed.
+Bigrams count as often as they occur, so a passage's size is its words less one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import quoted
+from .decontaminate import words_of
 
 #: Licence notices and texts, as published; a licence may have several passages.
 TEMPLATES: list[tuple[str, str]] = [
@@ -66,22 +68,17 @@ class LicenseParams:
     threshold: float = 0.8
 
 
-def bigrams(text: Column) -> Column:
-    """The different bigrams of a text's words: lower-case runs of letters, digits and dots inside numbers."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+(?:\.[0-9]+)*|[\p{L}\p{N}]+"), F.lit(0))
-    return _pairs(words)
-
-
-def _pairs(words: Column) -> Column:
-    n = F.size(words)
-    return F.when(n > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))
-
-
 def template_frame(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """template number, license, size, bigram: one row per bigram of each template."""
+    """template number, license, template_size, pair (hash of a bigram), n: one row per different bigram of each template."""
     rows = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(body).alias("body")) for i, (name, body) in enumerate(templates)))
-    sized = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", "t.license", bigrams(F.col("t.body")).alias("pairs"))
-    return sized.select("template", "license", F.size("pairs").alias("template_size"), F.explode("pairs").alias("pair"))
+    words = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", "t.license", words_of(F.col("t.body")).alias("words"))
+    return _bigrams(words.withColumn("template_size", F.size("words") - 1)).groupBy("template", "license", "template_size", "pair").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bigrams(frame: DataFrame) -> DataFrame:
+    """Rows of ``frame`` (with ``words``) for every two words in a row, with their hash ``pair``."""
+    at = frame.filter(F.size("words") > 1).select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 2)).alias("at"))
+    return at.withColumn("pair", F.xxhash64(F.get("words", F.col("at")), F.get("words", F.col("at") + 1))).drop("words", "at")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,7 +87,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(quoted(docs, id_col).alias("id"), F.monotonically_increasing_id().alias("row"), quoted(docs, text).cast("string").alias("text")).filter("text is not null")
     lines = rows.select("id", "row", F.posexplode(F.split("text", r"\r?\n")).alias("number", "passage")).select("id", "row", F.lit("line").alias("unit"), "number", "passage")
     blank = r"\n[\x20\t\r]*\n\s*"
-    blocks = rows.filter(F.col("text").rlike(r"\S[^\n]*\n[^\n]*\S")).select("id", "row", F.posexplode(F.split("text", blank)).alias("number", "passage"))
+    blocks = rows.filter(F.col("text").contains("\n")).select("id", "row", F.posexplode(F.split("text", blank)).alias("number", "passage"))
     blocks = blocks.filter(F.trim("passage").contains("\n")).select("id", "row", F.lit("block").alias("unit"), "number", "passage")
     whole = rows.filter(F.col("text").rlike(blank)).select("id", "row", F.lit("text").alias("unit"), F.lit(0).alias("number"), F.col("text").alias("passage"))
     return lines.unionByName(blocks).unionByName(whole)
@@ -102,16 +99,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
     Of equal coefficients the earlier template counts. Null texts, and passages of fewer than two words, match
     nothing. Rows are told apart, so a repeated row gives repeated results.
     """
-    spark = docs.sparkSession
-    table = template_frame(spark, templates)  # fixed: about 30 templates of 100 bigrams at most
+    table = template_frame(docs.sparkSession, templates)  # fixed: about 30 templates of 100 bigrams at most
     sizes = [r[0] for r in table.select("template_size").distinct().collect()] or [1]
-    t = params.threshold
-    low, high = min(sizes) * t / (2 - t), max(sizes) * (2 - t) / t
-    sized = passages(docs, id_col, text).select("id", "row", "unit", "number", bigrams(F.col("passage")).alias("pairs")).withColumn("size", F.size("pairs")).filter(F.col("size").between(low, high))
-    each = sized.select("id", "row", "unit", "number", "size", F.explode("pairs").alias("pair"))
-    shared = each.join(F.broadcast(table), "pair").filter((F.col("size") >= F.col("template_size") * (t / (2 - t))) & (F.col("size") <= F.col("template_size") * ((2 - t) / t)))
-    dice = shared.groupBy("row", "unit", "number", "id", "size", "template", "license", "template_size").agg((2 * F.count(F.lit(1))).alias("twice"))
-    scored = dice.select("*", (F.col("twice") / (F.col("size") + F.col("template_size"))).alias("dice")).filter(F.col("dice") >= t)
+    ratio = params.threshold / (2 - params.threshold)
+    sized = passages(docs, id_col, text).select("id", "row", "unit", "number", words_of(F.col("passage")).alias("words")).withColumn("size", F.size("words") - 1)
+    each = _bigrams(sized.filter(F.col("size").between(min(sizes) * ratio, max(sizes) / ratio)))
+    fits = (F.col("size") >= F.col("template_size") * ratio) & (F.col("size") * ratio <= F.col("template_size"))
+    shared = each.join(F.broadcast(table), "pair").filter(fits)
+    same = ["row", "unit", "number", "id", "size", "template", "license", "template_size"]
+    both = shared.groupBy(*same, "pair", "n").agg(F.count(F.lit(1)).alias("m")).groupBy(*same).agg((2 * F.sum(F.least("m", "n"))).alias("twice"))
+    scored = both.select("*", (F.col("twice") / (F.col("size") + F.col("template_size"))).alias("dice")).filter(F.col("dice") >= params.threshold)
     best = scored.groupBy("row", "unit", "number", "id").agg(F.max(F.struct("dice", (-F.col("template")).alias("order"), "license")).alias("best"))
     return best.select(F.col("id").alias(id_col), "unit", "number", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
 
@@ -120,19 +117,18 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, params: LicensePara
     """DuckDB SQL for ``scan`` of ``documents``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quote(name)}, {quote(body)})" for i, (name, body) in enumerate(templates))
-    words = r"regexp_extract_all(lower({0}), '[0-9]+(?:\.[0-9]+)*|[\p{{L}}\p{{N}}]+')"
-    pairs = "list_distinct(list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda x: x[1] || ' ' || x[2]))"
-    t = params.threshold
+    words = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    pairs = "list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda x: x[1] || ' ' || x[2])"
     return rf"""
-with t as (select i, license, case when len(w) > 1 then {pairs} else [] end p from (select i, license, {words.format('body')} w from (values {values}) v(i, license, body))),
+with t as (select i, license, {pairs} p from (select i, license, {words.format('body')} w from (values {values}) v(i, license, body)) where len(w) > 1),
 lines as (select doc_id, 'line' unit, unnest(regexp_split_to_array(text, '\r?\n')) passage, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) - 1 number from documents where text is not null),
 blocks as (select doc_id, 'block' unit, unnest(regexp_split_to_array(text, '\n[\x20\t\r]*\n\s*')) passage, generate_subscripts(regexp_split_to_array(text, '\n[\x20\t\r]*\n\s*'), 1) - 1 number
-  from documents where regexp_matches(text, '\S[^\n]*\n[^\n]*\S')),
+  from documents where contains(text, chr(10))),
 units as (select doc_id, unit, number, passage from lines union all select doc_id, unit, number, passage from blocks where contains(trim(passage, ' '), chr(10))
   union all select doc_id, 'text', 0, text from documents where regexp_matches(text, '\n[\x20\t\r]*\n\s*')),
-u as (select doc_id, unit, number, case when len(w) > 1 then {pairs} else [] end p from (select doc_id, unit, number, {words.format('passage')} w from units)),
-each as (select doc_id, unit, number, len(p) size, unnest(p) pair from u),
-te as (select i, license, len(p) template_size, unnest(p) pair from t),
-d as (select doc_id, unit, number, i, license, 2 * count(*) / (size + template_size) dice from each join te using (pair) group by doc_id, unit, number, i, license, size, template_size)
-select doc_id, unit, number, arg_max(license, (dice, -i)) license, max(dice) dice from d where dice >= {t} group by doc_id, unit, number
+u as (select doc_id, unit, number, {pairs} p from (select doc_id, unit, number, {words.format('passage')} w from units) where len(w) > 1),
+each as (select doc_id, unit, number, size, pair, count(*) m from (select doc_id, unit, number, len(p) size, unnest(p) pair from u) group by all),
+te as (select i, license, template_size, pair, count(*) n from (select i, license, len(p) template_size, unnest(p) pair from t) group by all),
+d as (select doc_id, unit, number, i, license, 2 * sum(least(m, n)) / (size + template_size) dice from each join te using (pair) group by doc_id, unit, number, i, license, size, template_size)
+select doc_id, unit, number, arg_max(license, (dice, -i)) license, max(dice) dice from d where dice >= {params.threshold} group by doc_id, unit, number
 """

@@ -80,12 +80,16 @@ def model(docs: DataFrame, text: str = "text", params: SecretParams = SecretPara
     for r in pairs.filter(F.col("pair").rlike(f"^[{RUN[1:-1].replace('-', '')}^-]{RUN}$")).groupBy("kind", "pair").count().collect():
         if r["pair"][1] in letters:
             counts[r["kind"]][r["pair"]] = r["count"]
+    alone = []  # a context seen rarely falls back on how often characters occur at all
+    for k in (0, 1):
+        of = {b: sum(counts[k].get(a + b, 0) for a in "^" + ALPHABET) for b in ALPHABET}
+        alone.append({b: (n + 1) / (sum(of.values()) + len(ALPHABET)) for b, n in of.items()})
     table = []
     for a in "^" + ALPHABET:
         total = [sum(counts[k].get(a + b, 0) for b in ALPHABET) for k in (0, 1)]
         table.append(0.0)
         for b in ALPHABET:
-            chance = [(counts[k].get(a + b, 0) + params.smoothing / len(ALPHABET)) / (total[k] + params.smoothing) for k in (0, 1)]
+            chance = [(counts[k].get(a + b, 0) + params.smoothing * alone[k][b]) / (total[k] + params.smoothing) for k in (0, 1)]
             ratio = math.log(0.5 / len(ALPHABET) + 0.5 * chance[0]) - math.log(chance[1])
             table.append(max(-params.most, min(params.most, ratio)))
     return table
