@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import per_worker, quoted
 
-#: The states, and the pieces of two generations, are forgotten beyond these numbers, which bounds memory and changes no result.
-MOST_STATES = 150_000
-MOST_PIECES = 300_000
+#: The states, the pieces of two generations and the pairs of tokens known to stay apart are forgotten beyond these numbers, which bounds memory and changes no result.
+MOST_STATES = 120_000
+MOST_PIECES = 200_000
+MOST_PAIRS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,37 +32,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Merges:
-    """Plain merging, for the few short byte strings that the compiler asks about."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self._apart: dict[tuple[int, int], bool] = {}
-        self.tokens = {v: k for k, v in ranks.items()}
-
-    def encode(self, data: bytes) -> list[int]:
-        get, never = self.ranks.get, 1 << 60
-        parts = [data[i:i + 1] for i in range(len(data))]
-        pairs = [get(a + b, never) for a, b in zip(parts, parts[1:])]
-        while pairs and (least := min(pairs)) < never:
-            i = pairs.index(least)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], never)
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], never)
-        return [self.ranks[p] for p in parts]
-
-    def apart(self, a: int, b: int) -> bool:
-        """Whether the two tokens, side by side, are the encoding of their bytes."""
-        key = (a, b)
-        known = self._apart.get(key)
-        if known is None:
-            if len(self._apart) > 1_000_000:
-                self._apart.clear()
-            known = self._apart[key] = self.encode(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
+def merge_plainly(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Plain merging, for the short byte strings that the compiler asks about."""
+    get, never = ranks.get, 1 << 60
+    parts = [data[i:i + 1] for i in range(len(data))]
+    pairs = [get(a + b, never) for a, b in zip(parts, parts[1:])]
+    while pairs and (least := min(pairs)) < never:
+        i = pairs.index(least)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], never)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], never)
+    return [ranks[p] for p in parts]
 
 
 class Transducer:
@@ -69,7 +53,8 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.merges = Merges(ranks)
+        self.words = {v: k for k, v in ranks.items()}
+        self._apart: dict[int, bool] = {}
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for word, rank in ranks.items():
@@ -83,7 +68,6 @@ class Transducer:
                     self.token.append(-1)
                 node = nxt
             self.token[node] = rank
-        self._self: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -92,32 +76,42 @@ class Transducer:
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
 
-    def _encodes_itself(self, token: int) -> bool:
-        known = self._self.get(token)
-        if known is None:
-            known = self._self[token] = self.merges.encode(self.merges.tokens[token]) == [token]
-        return known
+    def encode_plainly(self, data: bytes) -> list[int]:
+        return merge_plainly(data, self.ranks)
 
     def _make_step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        open_cuts, here = [], None
+        children, tokens, apart = self.children, self.token, self._apart
+        cuts, here = [], None
         for node, before, pending in self.states[state]:
-            nxt = self.children[node].get(byte)
+            nxt = children[node].get(byte)
             if nxt is None:
                 continue
-            token = self.token[nxt]
-            if here is None and token >= 0 and self._encodes_itself(token) and (before < 0 or self.merges.apart(before, token)):
-                here = (0, token, (*pending, token))
-            open_cuts.append((nxt, before, pending))
+            if here is None and (token := tokens[nxt]) >= 0:
+                key = (before + 1) << 32 | token
+                fits = apart.get(key)
+                if fits is None:
+                    if len(apart) >= MOST_PAIRS:
+                        apart.clear()
+                    fits = apart[key] = self._fits(before, token)
+                if fits:
+                    here = (0, token, (*pending, token))
+            if children[nxt]:
+                cuts.append((nxt, before, pending))
         if here is None:
             raise ValueError(f"byte {byte} is in no token")
-        cuts = [c for c in open_cuts if self.children[c[0]]] + [here]
+        cuts.append(here)
         common = cuts[0][2]
-        for _, _, pending in cuts[1:]:
-            n = 0
-            while n < len(common) and n < len(pending) and common[n] == pending[n]:
+        for cut in cuts:
+            if not common:
+                break
+            pending, n = cut[2], 0
+            for x, y in zip(common, pending):
+                if x != y:
+                    break
                 n += 1
             common = common[:n]
-        key = tuple((node, before, pending[len(common):]) for node, before, pending in cuts)
+        skip = len(common)
+        key = tuple([(node, before, pending[skip:]) for node, before, pending in cuts]) if skip else tuple(cuts)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
@@ -125,6 +119,13 @@ class Transducer:
             self.steps.append({})
         return number, common
 
+    def _fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` encodes to itself and stays apart from the token before it, if there is one."""
+        words, encode = self.words, self.encode_plainly
+        if before < 0:
+            return encode(words[token]) == [token]
+        return self._fits(-1, token) and encode(words[before] + words[token]) == [before, token]
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -242,7 +243,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     shared = _Vocabulary(docs.sparkSession, (ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(f"encoder {shared.id}", lambda: Encoder(*shared.value))
+        encoder = per_worker("encoder", shared.id, lambda: Encoder(*shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -262,7 +263,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decode
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = per_worker(f"decoder {shared.id}", lambda: Decoder(shared.value))
+        decoder = per_worker("decoder", shared.id, lambda: Decoder(shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)

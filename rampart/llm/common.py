@@ -77,12 +77,13 @@ class Shared:
             pass
 
 
-def per_worker(name: str, build: Callable[[], object]) -> object:
-    """The object of that name in this Python worker, built once and kept between the worker's tasks."""
+def per_worker(slot: str, name: str, build: Callable[[], object]) -> object:
+    """The object ``name`` of this Python worker, built once and kept between its tasks; a slot holds one object at a time."""
     held = vars(sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")))
-    if name not in held:
-        held[name] = build()
-    return held[name]
+    if held.get(slot, (None, None))[0] != name:
+        held.pop(slot, None)
+        held[slot] = (name, build())
+    return held[slot][1]
 
 
 def broadcast_if_bounded(df: DataFrame, rows: int) -> DataFrame:
