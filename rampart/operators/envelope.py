@@ -111,7 +111,7 @@ def _structured(sd: Column) -> Column:
         param = lambda p: F.struct(
             F.concat(key, F.lit("."), F.regexp_replace(F.substring_index(p, "=", 1), "^ +", "")).alias("key"),
             F.regexp_replace(
-                F.regexp_replace(F.regexp_extract(p, rf"=({_SD_VALUE})", 1), r'^"|(?<!\\)"\z', ""), r"\\([\s\S])", "$1"
+                F.regexp_extract(p, r'="([^"\\]*+(?:\\[\s\S][^"\\]*+)*+)', 1), r"\\([\s\S])", "$1"
             ).alias("value"),
         )
         params = F.transform(F.regexp_extract_all(e, F.lit(rf" +([^=]*={_SD_VALUE})"), F.lit(0)), param)
@@ -127,9 +127,9 @@ def strip_syslog(df: DataFrame, text: str = "text") -> DataFrame:
     return cut.withColumn("envelope", F.col("_cut.envelope")).withColumn("message", F.col("_cut.message")).drop("_cut")
 
 
-def sniff(text: Column) -> Column:
-    """Format of one line; the first test that holds decides."""
-    head = F.substring(text, 1, 200)
+def sniff(text: Column, prefix: int = 200) -> Column:
+    """Format of one line; the first test that holds decides. A CEF or LEEF marker counts in the first ``prefix`` characters."""
+    head = F.substring(text, 1, prefix)
     count = lambda ch: F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
     return (
         F.when(text.rlike(r"^<\d+>"), "syslog")

@@ -16,11 +16,14 @@ SERIES_ORIGIN_S = 946_857_600
 MAX_RANGE_DAYS = 366
 
 
-def clamp(limit: int) -> int:
-    return max(1, min(int(limit), MAX_LIMIT))
+def checked_limit(limit: int, most: int = MAX_LIMIT) -> int:
+    """``limit``; one beyond ``most`` is refused rather than cut."""
+    if not 1 <= int(limit) <= most:
+        raise ValueError(f"limit must be 1..{most}, not {limit}")
+    return int(limit)
 
 
-def search(df: DataFrame, filters: dict, limit: int | None = None) -> DataFrame:
+def search(df: DataFrame, filters: dict, limit: int | None = None, most: int = MAX_LIMIT) -> DataFrame:
     """Equality on core columns plus ``since_ns``/``until_ns``; an unknown column is an error."""
     for key, value in filters.items():
         if key == "since_ns":
@@ -31,7 +34,7 @@ def search(df: DataFrame, filters: dict, limit: int | None = None) -> DataFrame:
             df = df.filter(F.col(key) == F.lit(value))
         else:
             raise ValueError(f"unknown filter column: {key!r}")
-    return df if limit is None else recent_events(df, limit)
+    return df if limit is None else recent_events(df, limit, most)
 
 
 def filter_events(
@@ -62,13 +65,13 @@ def _newest_first(df: DataFrame) -> list[Column]:
     return [F.col("time").desc_nulls_last(), F.col("event_uid")]
 
 
-def recent_events(df: DataFrame, limit: int = 100) -> DataFrame:
+def recent_events(df: DataFrame, limit: int = 100, most: int = MAX_LIMIT) -> DataFrame:
     """Newest events first; a top-k, not a full sort."""
-    return df.orderBy(*_newest_first(df)).limit(clamp(limit))
+    return df.orderBy(*_newest_first(df)).limit(checked_limit(limit, most))
 
 
-def by_source(df: DataFrame, source_type: str, limit: int = 100) -> DataFrame:
-    return recent_events(df.filter(F.col("source_type") == source_type), limit)
+def by_source(df: DataFrame, source_type: str, limit: int = 100, most: int = MAX_LIMIT) -> DataFrame:
+    return recent_events(df.filter(F.col("source_type") == source_type), limit, most)
 
 
 def page(df: DataFrame, number: int, size: int = 50) -> tuple[DataFrame, int]:

@@ -25,7 +25,7 @@ def normalize(
     keep_fields: bool = False,
 ) -> DataFrame:
     """One outcome row per raw event: flat OCSF columns, ``status`` (``ok``/``dead``/``template_only``)
-    and, for dead rows, ``reason``, ``stage`` and ``detail``.
+    and, for dead rows, ``reason``, ``stage`` and ``detail``; ``parsed`` tells whether the line's engine could read it.
 
     Everything up to the sinks is a single projection: no shuffle, no Python worker.
     """
@@ -65,6 +65,7 @@ def normalize(
         .when(F.col("_failed") == "validate", "ocsf_validation_failed"),
         "stage": F.when(F.col("_failed") == "validate", "validate").when(F.col("_failed").isNotNull(), "normalize"),
         "detail": F.when(F.col("_failed").isNotNull(), detail),
+        "parsed": F.coalesce(F.col("_failed") != "parse", F.lit(True)),
     })
     return df.drop("_failed", *(SCRATCH if not keep_fields else [c for c in SCRATCH if c not in ("fields", "text", "message")]))
 
@@ -75,7 +76,7 @@ def unknown_type(df: DataFrame):
 
 def accepted(outcomes: DataFrame) -> DataFrame:
     """Rows for the silver table (mapped and template-only records)."""
-    return outcomes.filter(F.col("status") != "dead").drop("status", "reason", "stage", "detail", "raw", "errors", "warnings")
+    return outcomes.filter(F.col("status") != "dead").drop("status", "reason", "stage", "detail", "parsed", "raw", "errors", "warnings")
 
 
 def dead_letters(outcomes: DataFrame, now_ns: int | None = None) -> DataFrame:

@@ -191,18 +191,20 @@ def check_sources(samples: DataFrame, defs: list[Definition]) -> DataFrame:
 def pipeline_metrics(outcomes: DataFrame) -> DataFrame:
     """``metric, label, value``: events received and their bytes, parsed, normalized per source and class, dead per stage and
     reason, the parse share, and a completeness histogram with cumulative bounds 0.0 .. 1.0."""
-    none = F.lit("")
-    per = outcomes.groupBy("transport", "status", "source_type", "class_uid", "stage", "reason").agg(
+    per = outcomes.groupBy("transport", "status", "source_type", "class_uid", "stage", "reason", "parsed").agg(
         F.count("*").alias("n"), F.sum("raw_len").alias("bytes"),
         *[F.count_if(F.col("completeness") <= b / 10 + 1e-12).alias(f"le_{b}") for b in range(11)],
     )
-    row = lambda metric, label, value: F.struct(F.lit(metric).alias("metric"), label.alias("label"), value.cast("double").alias("value"))
+    # a share is a sum over a sum; all other metrics are sums
+    row = lambda metric, label, value, of=F.lit(None): F.struct(F.lit(metric).alias("metric"), label.alias("label"), value.cast("double").alias("value"), of.cast("double").alias("of"))
     ok, dead = F.col("status") != "dead", F.col("status") == "dead"
     events = F.array_compact(F.array(
         row("events_received", F.col("transport"), F.col("n")), row("bytes_received", F.col("transport"), F.col("bytes")),
-        F.when(F.col("stage").isNull() | (F.col("reason") != "parse"), row("events_parsed", F.col("source_type"), F.col("n"))),
+        F.when(F.col("parsed"), row("events_parsed", F.col("source_type"), F.col("n"))),
+        row("parse_share", F.lit(""), F.when(F.col("parsed"), F.col("n")).otherwise(0), F.col("n")),
         F.when(ok, row("events_normalized", F.concat_ws("/", "source_type", F.col("class_uid").cast("string")), F.col("n"))),
         F.when(dead, row("dead_letters", F.concat_ws("/", "stage", "reason"), F.col("n"))),
         *[F.when(ok | (F.col("stage") == "validate"), row("completeness_le", F.lit(f"{b / 10:.1f}"), F.col(f"le_{b}"))) for b in range(11)],
     ))
-    return per.select(F.explode(events).alias("m")).groupBy("m.metric", "m.label").agg(F.sum("m.value").alias("value"))
+    summed = per.select(F.explode(events).alias("m")).groupBy("m.metric", "m.label").agg(F.sum("m.value").alias("value"), F.sum("m.of").alias("of"))
+    return summed.select("metric", "label", (F.col("value") / F.coalesce("of", F.lit(1.0))).alias("value"))

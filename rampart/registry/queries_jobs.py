@@ -213,11 +213,11 @@ def _(spark, d):
  r(source_id, template_id, i, w, n, before, seen, after, z) as (select source_id, template_id, i, w, n, cast(null as double), 0, n / 720.0, cast(null as double) from z where i = 0 union all
  select z.source_id, z.template_id, z.i, z.w, z.n, r.after, r.seen + 1, case when r.seen + 1 >= 3 and r.after > 0 and abs((z.n - r.after * 720) / sqrt(r.after * 720)) >= 2 then r.after else 0.3 * (z.n / 720.0) + 0.7 * r.after end, case when r.seen + 1 >= 3 and r.after > 0 then (z.n - r.after * 720) / sqrt(r.after * 720) end
  from z join r on z.source_id = r.source_id and z.template_id = r.template_id and z.i = r.i + 1)
- select source_id, template_id, w as window_index, n as observed, round(z, 3) as z_score, case when z > 0 then 'spike' else 'drop' end as direction from r where abs(z) >= 2""")
+ select source_id, template_id, w as window_index, n as observed, round(z, 4) as z_score, case when z > 0 then 'spike' else 'drop' end as direction from r where abs(z) >= 2""")
 def _(spark, d):
     cfg = DriftConfig(z_threshold=2.0, window_minutes=720.0)
     out = template_drift_ewma(window_counts(templated(spark, d), 720.0), cfg)
-    return out.select("source_id", "template_id", "window_index", "observed", F.round("z_score", 3).alias("z_score"), "direction")
+    return out.select("source_id", "template_id", "window_index", "observed", "z_score", "direction")
 
 
 @query("field_statistics", f"""{E}, v as (select 'dev' || (user_id % 3) as source_id, 0 as position, '10.0.0.' || k as value from e union all select 'dev' || (user_id % 3), 1, cast(user_id as varchar) from e union all select 'dev' || (user_id % 3), 2, case when k % 2 = 0 then 'deny' else 'Accept' end from e)

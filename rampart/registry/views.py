@@ -123,13 +123,13 @@ def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
 DEAD_SQL = (
     f"with {EVENT_SQL}, dead as (select cast(event_id as varchar) as event_uid, case k % 4 when 0 then 'grok_no_match' when 1 then 'invalid_ip' when 2 then "
     "'required_unresolved' else 'ocsf_validation_failed' end as reason, case when k % 4 = 3 then 'validate' else 'normalize' end as stage, "
-    "case when k % 10 = 9 then null else 'src_' || event_type end as source, us * 1000 as ts_ns, 'line ' || repeat(event_type || ' ', cast(k as bigint)) as raw_text from e where value < 30), "
-    "res as (select cast(event_id as varchar) as event_uid from e where value < 30 and k % 3 = 0)"
+    "case when k % 10 = 9 then null else 'src_' || event_type end as source, us * 1000 as ts_ns, 'line ' || repeat(event_type || ' ', cast(k as bigint)) as raw_text from e), "
+    "res as (select cast(event_id as varchar) as event_uid from e where k % 3 = 0)"
 )
 
 
 def dead(spark: SparkSession, folder: str) -> DataFrame:
-    df = events(spark, folder).filter("value < 30")
+    df = events(spark, folder)
     source = F.when(F.col("k") % 10 != 9, F.concat(F.lit("src_"), "event_type"))
     text = F.concat(F.lit("line "), F.expr("repeat(concat(event_type, ' '), cast(k as int))"))
     return df.select(
@@ -141,7 +141,7 @@ def dead(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolutions(spark: SparkSession, folder: str) -> DataFrame:
-    df = events(spark, folder).filter("value < 30 and k % 3 = 0")
+    df = events(spark, folder).filter("k % 3 = 0")
     return df.select(F.col("event_id").cast("string").alias("event_uid"), (F.col("us") * 1000).alias("resolved_ts_ns"), F.lit("{}").alias("detail"))
 
 

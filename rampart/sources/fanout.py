@@ -34,7 +34,7 @@ def write_all(df: DataFrame, sinks: list[Sink], dead_letter: Callable[[DataFrame
                 outcome[sink.name] = "ok"
             except Exception as exc:
                 _log.warning("sink %s failed: %s", sink.name, exc)
-                outcome[sink.name] = f"{type(exc).__name__}: {exc}"[:500]
+                outcome[sink.name] = f"{type(exc).__name__}: {exc}"
         failed = [s.name for s in sinks if s.required and outcome[s.name] != "ok"]
         if failed:
             ts = F.lit(now_ns).cast("bigint") if now_ns is not None else F.unix_micros(F.current_timestamp()) * 1000

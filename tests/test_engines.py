@@ -18,6 +18,8 @@ def test_kv(spark):
     assert parsed(spark, "kv", ['a="x"'], {"strip_quotes": False})[0][0] == {"a": '"x"'}
     long = "k=" + '"' + "v" * 200_000 + '"'
     assert len(parsed(spark, "kv", [long])[0][0]["k"]) == 200_000
+    for n in (19, 20, 21, 25, 3000):  # a closing quote after any number of escaped backslashes
+        assert parsed(spark, "kv", ['k="a' + "\\\\" * n + '" b=1'])[0][0] == {"k": "a" + "\\" * n, "b": "1"}
 
 
 def test_csv(spark):
@@ -87,6 +89,19 @@ def test_syslog_envelopes_keep_the_whole_line(spark):
     assert rows[4]["envelope"]["procid"] == "230" and rows[0]["envelope"]["facility_name"] == "local7"
 
 
+def test_structured_data_ends_at_its_closing_quote(spark):
+    line = r'<13>1 2024-01-01T00:00:00Z h a p m [x@1 p="C:\\dir\\" q="say \"hi\"" r="\]"] text'
+    row = envelope.strip_syslog(spark.createDataFrame([(line,)], "text string")).first()
+    assert {k.rsplit(".", 1)[1]: v for k, v in row["envelope"].items() if k.startswith("structured_data.")} == {"p": "C:\\dir\\", "q": 'say "hi"', "r": "]"}
+
+
+def test_deep_json_is_flattened(spark):
+    depth = 1200
+    line = '{"a":' * depth + "1" + "}" * depth
+    got = parsed(spark, "json", [line])[0][0]
+    assert got is None or ".".join(["a"] * depth) in got
+
+
 def test_payloads(spark):
     df = spark.createDataFrame([(1, '[{"b":1,"a":2},"x"]'), (2, '{"a":1}\r\n\n[2]'), (3, "{bad")], "payload_id int, body string")
     rows = sorted((r["payload_id"], r["position"], r["raw"], r["error"]) for r in explode_payloads(df, "json").collect())
