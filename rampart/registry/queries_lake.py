@@ -321,7 +321,7 @@ def _(spark, d):
     return out.select("event_uid", F.array_join(enrich.collect_ips(out), ",").alias("ips"))
 
 
-@query("tag_attack", f"""{FLOW_SQL}, t as (select event_uid, case when class_uid = 4001 and action_id = 2 and dst_port in (22, 3389) then 'T1110' when class_uid = 4001 and action_id = 1 and dst_port = 4444 then 'T1571' end as id from flow)
+@query("tag_attack", f"""{FLOW_SQL}, t as (select event_uid, case when class_uid = 4001 and action_id = 2 and dst_port in (22, 23, 3389, 5900) then 'T1110' when class_uid = 4001 and action_id = 1 and dst_port in (1337, 4444, 31337) then 'T1571' end as id from flow)
  select event_uid, id as technique_ids, case id when 'T1110' then 'Brute Force' when 'T1571' then 'Non-Standard Port' end as technique_names, case id when 'T1110' then 'credential-access' when 'T1571' then 'command-and-control' end as tactics from t""")
 def _(spark, d):
     out = enrich.tag_attack(V.record(spark, d))
