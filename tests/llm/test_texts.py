@@ -216,10 +216,10 @@ def test_base_spans_by_hand(spark, docs):
 def test_models_tell_random_strings_from_identifiers(spark):
     rng = random.Random(11)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    names = ["get", "user", "name", "from", "request", "handler", "parse", "value", "index", "build", "table", "Reader", "Writer", "Config"]
+    names = "get user name from request handler parse value index build table Reader Writer Config identifier session window length buffer stream field Manager default Service update remove insert element context".split()
     train = [(i, " ".join(rng.choice(["", "_"]).join(rng.choice(names) for _ in range(4)) for _ in range(20)) + ' token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"') for i in range(60)]
     table = secret_scan.model(documents(spark, train))
-    held = [(i, "".join(rng.choice(letters) for _ in range(32))) for i in range(40)] + [(100 + i, "_".join(rng.choice(names) for _ in range(5)) + "Identifier") for i in range(40)]
+    held = [(i, "".join(rng.choice(letters) for _ in range(32))) for i in range(40)] + [(100 + i, "_".join(rng.choice(names) for _ in range(6))) for i in range(40)]
     got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan(documents(spark, held), table)).collect()}
     assert sum(got[i].startswith("random:0:32") for i in range(40)) >= 38 and not any(got[100 + i] for i in range(40))
 
