@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import per_worker, quoted
 
 #: The states, the pieces of two generations and the pairs of tokens known to stay apart are forgotten beyond these numbers, which bounds memory and changes no result.
-MOST_STATES = 120_000
-MOST_PIECES = 200_000
-MOST_PAIRS = 400_000
+MOST_STATES = 80_000
+MOST_PIECES = 150_000
+MOST_PAIRS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     shared = _Vocabulary(docs.sparkSession, (ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker("encoder", shared.id, lambda: Encoder(*shared.value))
+        encoder = per_worker("tokenizer", f"{shared.id} encoder", lambda: Encoder(*shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -263,7 +263,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decode
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = per_worker("decoder", shared.id, lambda: Decoder(shared.value))
+        decoder = per_worker("tokenizer", f"{shared.id} decoder", lambda: Decoder(shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -271,3 +271,25 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decode
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, decoded])
 
     return frame.mapInArrow(run, f"{types}, `{decoded}` string")
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text: str = "text", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of every row in one pass and one worker: id, n_tokens, ids and the text decoded from the ids."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = _Vocabulary(docs.sparkSession, (ranks, pattern))
+
+    def build() -> tuple[Encoder, Decoder]:
+        return Encoder(*shared.value), Decoder(shared.value[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = per_worker("tokenizer", shared.id, build)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                ids = [encoder(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(decoder, ids), pa.string())],
+                    names=["id", "n_tokens", "ids", "decoded"])
+
+    rows = docs.select(quoted(docs, id_col).alias("id"), F.coalesce(quoted(docs, text).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string").withColumnsRenamed({"id": id_col, "decoded": decoded})

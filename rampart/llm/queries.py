@@ -59,10 +59,8 @@ def op3_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again: token count, digests of ids and of decoded bytes."""
-    ranks = bpe.load_ranks(vocabulary())
-    encoded = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    both = bpe.round_trip(table(spark, folder, "documents"), bpe.load_ranks(vocabulary()), public_tokenizers.PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 @query
