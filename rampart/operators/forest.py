@@ -1,6 +1,6 @@
 """Distributed isolation forest with percentile explanations.
 
-Each tree grows from its own sample of at most 256 rows in one task; scoring is vectorised over
+Each tree grows from its own sample of ``max_samples`` rows in one task; scoring is vectorised over
 Arrow batches with the whole model (bounded by trees x sample size) broadcast.
 """
 
@@ -19,7 +19,7 @@ from rampart.operators.features import MODEL_COLUMNS
 from rampart.operators.ordering import exact_quantile, order_statistics
 from rampart.session import checkpoint
 
-SAMPLE = 256
+# Points kept of a feature's distribution; percentiles of ``explain`` are read off this grid, all other statistics are exact.
 GRID = 20_000
 _NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
@@ -57,7 +57,11 @@ def _grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
 
 @dataclass
 class IsolationForest:
-    """``fit`` on a feature frame, ``score`` any frame with the same columns."""
+    """``fit`` on a feature frame, ``score`` any frame with the same columns.
+
+    ``max_samples`` rows make a tree (the published algorithm's sub-sample, 256 there); ``grid`` points of each
+    feature's distribution are kept for the percentiles of ``explain``.
+    """
 
     contamination: float | str = "auto"
     n_estimators: int = 100
@@ -70,21 +74,23 @@ class IsolationForest:
     threshold: float = 0.5
     trained_at: str | None = None
     n_samples: int = 0
+    max_samples: int = 256
+    grid: int = GRID
 
     # -- training ---------------------------------------------------------------------
 
     def fit(self, features: DataFrame, columns: list[str] | None = None, id_col: str = "event_uid") -> IsolationForest:
         self.feature_names = columns or [c for c in MODEL_COLUMNS if c in features.columns]
         if not self.feature_names:
-            raise ValueError("no numeric feature columns to train on")
+            raise ValueError("the frame has none of the feature columns")
         base = checkpoint(features.select(F.col(id_col).cast("string").alias("_id"), *[_finite(F.col(f"`{c}`")).alias(c) for c in self.feature_names]))
         self.n_samples = base.count()
         if not self.n_samples:
             raise ValueError("no rows to train on")
         self.medians = feature_medians(base, self.feature_names)
         filled = base.select("_id", *[F.coalesce(c, F.lit(self.medians[c])).alias(c) for c in self.feature_names])
-        self.distributions = {f: np.zeros(1) for f in self.feature_names} | distributions(filled, self.feature_names, GRID)
-        self.sample_size = min(SAMPLE, self.n_samples)
+        self.distributions = {f: np.zeros(1) for f in self.feature_names} | distributions(filled, self.feature_names, self.grid)
+        self.sample_size = min(self.max_samples, self.n_samples)
         self.trees = self._trees(filled)
         self.trained_at = dt.datetime.now(dt.UTC).isoformat()
         if self.contamination != "auto":

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rampart.functions.times import event_date, floor_div
 from rampart.operators.ordering import global_position
@@ -15,8 +16,6 @@ GENESIS = "00" * 32
 EMPTY_ROOT = hashlib.sha256(b"").hexdigest()
 # One aggregation folds at most this many nodes of a tree; larger batches take further rounds.
 CHUNK_BITS = 10
-# Ledger entries are chained within segments of this length; segment heads are chained on top.
-SEGMENT = 1000
 
 
 def node(left: Column, right: Column) -> Column:
@@ -81,26 +80,24 @@ def merkle_levels(leaves: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(_height(F.size(leaves)), F.lit(1))), F.array(leaves), up)
 
 
-def merkle_proofs(df: DataFrame, batch: list[str], position: str, leaf: str = "raw_hash", max_batch: int = 65_536) -> DataFrame:
-    """Add ``proof``: the sibling hashes from leaf to root with their side, for batches of a ledger
-    (their size is the seal size, checked against ``max_batch``)."""
-    sealed = df.groupBy(*batch).agg(F.count("*").alias("_n"))
-    if sealed.filter(F.col("_n") > max_batch).limit(1).count():
-        raise ValueError(f"a batch has more than {max_batch} leaves; seal smaller batches")
+def merkle_proofs(df: DataFrame, batch: list[str], position: str, leaf: str = "raw_hash") -> DataFrame:
+    """Add ``proof``: the sibling hashes from leaf to root with their side, for the batches of a ledger (one batch is
+    held in a row, so its seal size bounds the row; there is no other limit)."""
     trees = df.groupBy(*batch).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("i"), F.lower(F.col(leaf)).alias("h")))).alias("_l"))
-    rows = trees.withColumn("_levels", merkle_levels(F.transform("_l", lambda x: x["h"]))).select(
-        *batch, "_levels", F.posexplode("_l").alias("_at", "_leaf")
-    )
+    levels = trees.withColumn("_levels", merkle_levels(F.transform("_l", lambda x: x["h"])))
+
+    def path(at: Column) -> Column:
+        def step(level: Column, depth: Column) -> Column:
+            here = F.floor(at / F.pow(F.lit(2.0), depth)).cast("int")
+            even = here % 2 == 0
+            sibling = F.when(even, F.coalesce(F.get(level, here + 1), F.get(level, here))).otherwise(F.get(level, here - 1))
+            return F.struct(sibling.alias("sibling"), F.when(even, "right").otherwise("left").alias("side"))
 
-    def step(level: Column, depth: Column) -> Column:
-        here = F.floor(F.col("_at") / F.pow(F.lit(2.0), depth)).cast("int")
-        even = here % 2 == 0
-        sibling = F.when(even, F.coalesce(F.get(level, here + 1), F.get(level, here))).otherwise(F.get(level, here - 1))
-        return F.struct(sibling.alias("sibling"), F.when(even, "right").otherwise("left").alias("side"))
+        return F.transform(F.slice("_levels", F.lit(1), F.size("_levels") - 1), step)
 
-    path = F.transform(F.slice("_levels", F.lit(1), F.size("_levels") - 1), step)
-    proofs = rows.select(*batch, F.col("_leaf.i").alias(position), path.alias("proof"))
-    return df.join(proofs, [*batch, position])
+    paths = F.transform("_l", lambda x, at: F.struct(x["i"].alias("i"), path(at).alias("proof")))
+    proofs = levels.select(*batch, paths.alias("_paths")).select(*batch, F.explode("_paths").alias("_p"))
+    return df.join(proofs.select(*batch, F.col("_p.i").alias(position), F.col("_p.proof").alias("proof")), [*batch, position])
 
 
 def fold_proof(leaf: Column, proof: Column) -> Column:
@@ -115,50 +112,30 @@ def verify_proofs(df: DataFrame, leaf: str = "raw_hash", root: str = "batch_root
 
 # -- ledger -------------------------------------------------------------------------------
 
-_CHAIN_SCHEMA = "ledger string, seq bigint, prev_chained_root string, chained_root string"
-
-
 def _sha(*parts: str) -> str:
     return hashlib.sha256(b"".join(bytes.fromhex(p) for p in parts)).hexdigest()
 
 
-def _chain(pdf: pd.DataFrame, seed: str) -> pd.DataFrame:
-    """Chain the batch roots of one segment (at most ``SEGMENT`` rows) onto ``seed``."""
-    pdf, prev, out = pdf.sort_values("seq"), seed, []
-    for ledger, seq, root in zip(pdf["ledger"], pdf["seq"], pdf["batch_root"]):
-        chained = _sha(prev, root)
-        out.append((ledger, seq, prev, chained))
-        prev = chained
-    return pd.DataFrame(out, columns=["ledger", "seq", "prev_chained_root", "chained_root"])
-
+def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chains the batch roots of each ledger; the rows of a task come by ledger and seq, so only the last root is held."""
+    ledger = prev = None
+    for pdf in frames:
+        before, after = [], []
+        for name, root, seed in zip(pdf["ledger"], pdf["batch_root"], pdf["seed"]):
+            prev = prev if name == ledger else seed
+            ledger = name
+            before.append(prev)
+            prev = _sha(prev, root)
+            after.append(prev)
+        yield pdf[["ledger", "seq"]].assign(prev_chained_root=before, chained_root=after)
 
-def segment_seeds(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """``ledger, segment, seed``: what the first entry of each segment links to.
 
-    The first segment starts from 32 zero bytes, the next from the hash of the previous seed and
-    the Merkle root of the previous segment's batch roots, so every entry still depends on all
-    earlier ones while segments are hashed in parallel. A ledger of one segment is a plain chain.
-    """
-    keyed = entries.withColumn("segment", F.floor(F.col("seq") / segment).cast("bigint"))
-    digest = keyed.groupBy("ledger", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", "batch_root"))).alias("_r"))
-    digest = digest.select("ledger", "segment", F.get(_fold(F.transform("_r", lambda x: x["batch_root"]), _height(F.size("_r"))), F.lit(0)).alias("digest"))
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, seed, out = pdf.sort_values("segment"), GENESIS, []
-        for ledger, number, value in zip(pdf["ledger"], pdf["segment"], pdf["digest"]):
-            out.append((ledger, number, seed))
-            seed = _sha(seed, value)
-        return pd.DataFrame(out, columns=["ledger", "segment", "seed"])
-
-    # one row per million sealed events
-    return digest.groupBy("ledger").applyInPandas(chain, "ledger string, segment bigint, seed string")
-
-
-def seal_batches(bronze: DataFrame, batch_size: int = 1000, sealed_at_ns: int | None = None, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
+def seal_batches(bronze: DataFrame, batch_size: int = 1000, sealed_at_ns: int | None = None, prev: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(ledger entries, event index)`` for raw events, one ledger per ingest date and source.
 
-    Batches of ``batch_size`` events in ingest order get a Merkle root; roots are chained. The
-    index maps each event to ``(ledger, ledger_seq, leaf_index)``.
+    Batches of ``batch_size`` events in ingest order get a Merkle root; every entry hashes the chained root of
+    the one before it with its own root. The first links to 32 zero bytes, or to the ``chained_root`` that ``prev`` (``ledger,
+    chained_root``) holds for the ledger. The index maps each event to ``(ledger, ledger_seq, leaf_index)``.
     """
     day = event_date(F.col("ingest_time_ns"))
     named = bronze.select(F.concat_ws("/", day, "source_id").alias("ledger"), "event_uid", "ingest_time_ns", F.lower("raw_hash").alias("raw_hash"))
@@ -167,10 +144,12 @@ def seal_batches(bronze: DataFrame, batch_size: int = 1000, sealed_at_ns: int |
     roots = merkle_roots(placed, ["ledger", "seq"], [], positioned="leaf_index").withColumnRenamed("root", "batch_root")
     ends = placed.groupBy("ledger", "seq").agg(F.min_by("event_uid", "leaf_index").alias("first_event_uid"), F.max_by("event_uid", "leaf_index").alias("last_event_uid"))
     entries = checkpoint(roots.join(ends, ["ledger", "seq"]))  # one row per batch, read twice below
-    keyed = entries.withColumn("segment", F.floor(F.col("seq") / segment).cast("bigint")).join(broadcast_if_small(segment_seeds(entries, segment)), ["ledger", "segment"])
-    chained = keyed.select("ledger", "segment", "seed", "seq", "batch_root").groupBy("ledger", "segment").applyInPandas(
-        lambda pdf: _chain(pdf, pdf["seed"].iloc[0]), _CHAIN_SCHEMA
-    )
+    seeded = entries.select("ledger", "seq", "batch_root").withColumn("seed", F.lit(GENESIS))
+    if prev is not None:
+        heads = broadcast_if_small(prev.select("ledger", F.col("chained_root").alias("head")))
+        seeded = seeded.join(heads, "ledger", "left").withColumn("seed", F.coalesce("head", "seed")).drop("head")
+    # one row per batch of events; a ledger's chain is sequential by its nature
+    chained = seeded.repartition("ledger").sortWithinPartitions("ledger", "seq").mapInPandas(_chain, f"ledger string, seq {dict(entries.dtypes)['seq']}, prev_chained_root string, chained_root string")
     at = F.lit(sealed_at_ns).cast("bigint") if sealed_at_ns is not None else F.unix_micros(F.current_timestamp()) * 1000
     ledger = entries.join(chained, ["ledger", "seq"]).select(
         "ledger", "seq", "batch_root", "prev_chained_root", "chained_root", "leaf_count", "first_event_uid", "last_event_uid",
@@ -179,32 +158,31 @@ def seal_batches(bronze: DataFrame, batch_size: int = 1000, sealed_at_ns: int |
     return ledger, placed.select("event_uid", "ledger", F.col("seq").alias("ledger_seq"), "leaf_index")
 
 
-def check_links(ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Add ``link_ok`` to each entry: it follows the previous one, links to its chained root and
-    recomputes. Checked in parallel; window partitions hold one segment."""
-    keyed = ledger.withColumn("segment", F.floor(F.col("seq") / segment).cast("bigint"))
-    seeds = segment_seeds(ledger, segment)
-    w = Window.partitionBy("ledger", "segment").orderBy("seq")
-    keyed = keyed.withColumns({"_prev": F.lag("chained_root").over(w), "_prev_seq": F.lag("seq").over(w)})
-    keyed = keyed.join(broadcast_if_small(seeds), ["ledger", "segment"], "left")
-    follows = F.coalesce(F.col("_prev_seq") + 1 == F.col("seq"), F.col("seq") == F.col("segment") * segment)
-    linked = F.col("prev_chained_root") == F.coalesce("_prev", "seed")
+def check_links(ledger: DataFrame, prev: DataFrame | None = None) -> DataFrame:
+    """Add ``link_ok`` to each entry: it follows the previous one (the first: ``prev``, see ``seal_batches``), links to its chained root and recomputes."""
+    before = ledger.select(F.col("ledger").alias("_of"), (F.col("seq") + 1).alias("_next"), F.col("chained_root").alias("_prev"))
+    keyed = ledger.join(before, (F.col("ledger") == F.col("_of")) & (F.col("seq") == F.col("_next")), "left")
+    first = F.lit(GENESIS)
+    if prev is not None:
+        keyed = keyed.join(broadcast_if_small(prev.select(F.col("ledger").alias("_named"), F.col("chained_root").alias("_head"))), F.col("ledger") == F.col("_named"), "left")
+        first = F.coalesce("_head", first)
+    linked = F.col("prev_chained_root") == F.when(F.col("seq") == 0, first).otherwise(F.col("_prev"))
     hashed = node(F.col("prev_chained_root"), F.col("batch_root")) == F.col("chained_root")
-    return keyed.withColumn("link_ok", F.coalesce(follows & linked & hashed, F.lit(False))).drop("_prev", "_prev_seq", "seed", "segment")
+    return keyed.withColumn("link_ok", F.coalesce(linked & hashed, F.lit(False))).drop("_of", "_next", "_prev", "_named", "_head")
 
 
-def verify_chain(ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def verify_chain(ledger: DataFrame, prev: DataFrame | None = None) -> DataFrame:
     """``ledger, entries, chain_ok, first_bad_seq`` per ledger."""
-    checked = check_links(ledger, segment)
+    checked = check_links(ledger, prev)
     return checked.groupBy("ledger").agg(
         F.count("*").alias("entries"), F.bool_and("link_ok").alias("chain_ok"),
         F.min(F.when(~F.col("link_ok"), F.col("seq"))).alias("first_bad_seq"),
     )
 
 
-def ledger_status(ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def ledger_status(ledger: DataFrame, prev: DataFrame | None = None) -> DataFrame:
     """Entries, sealed events, last seal and whether the whole chain holds."""
-    checked = check_links(ledger, segment)
+    checked = check_links(ledger, prev)
     return checked.agg(
         F.count("*").alias("entries"), F.coalesce(F.sum("leaf_count"), F.lit(0)).alias("events_sealed"),
         F.max("sealed_at_ns").alias("last_sealed_at_ns"), F.coalesce(F.bool_and("link_ok"), F.lit(True)).alias("chain_ok"),
@@ -217,7 +195,7 @@ def locate_leaves(bronze: DataFrame, index: DataFrame, ledger: DataFrame) -> Dat
     return bronze.join(index, "event_uid", "left").join(entries, ["ledger", "ledger_seq"], "left")
 
 
-def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame, prev: DataFrame | None = None) -> DataFrame:
     """Per event: ``hash_ok``, ``proof_ok`` (its recomputed hash is in the sealed root) and ``chain_ok``.
 
     The proof uses the recorded hashes of the sibling events and the recomputed hash of the event.
@@ -225,7 +203,7 @@ def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame, segmen
     placed = locate_leaves(verify_hashes(bronze), index, ledger).withColumn("recomputed_hash", F.sha2("raw", 256))
     sealed = placed.filter(F.col("ledger").isNotNull())
     proofs = merkle_proofs(sealed.select("event_uid", "ledger", "ledger_seq", "leaf_index", "raw_hash"), ["ledger", "ledger_seq"], "leaf_index").select("event_uid", "proof")
-    links = check_links(ledger, segment).select("ledger", F.col("seq").alias("ledger_seq"), F.col("link_ok").alias("chain_ok"))
+    links = check_links(ledger, prev).select("ledger", F.col("seq").alias("ledger_seq"), F.col("link_ok").alias("chain_ok"))
     out = placed.join(proofs, "event_uid", "left").join(links, ["ledger", "ledger_seq"], "left")
     proof_ok = fold_proof(F.col("recomputed_hash"), F.col("proof")) == F.col("batch_root")
     out = out.withColumn("proof_ok", F.when(F.col("proof").isNotNull(), proof_ok))
@@ -233,12 +211,12 @@ def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame, segmen
     return out.select("event_uid", "hash_ok", "proof_ok", "chain_ok", "ledger", "ledger_seq", "leaf_index", "batch_root", "recomputed_hash", "proof", passed.alias("verified"))
 
 
-def event_proof(bronze: DataFrame, index: DataFrame, ledger: DataFrame, event_uid: str, segment: int = SEGMENT) -> DataFrame:
+def event_proof(bronze: DataFrame, index: DataFrame, ledger: DataFrame, event_uid: str, prev: DataFrame | None = None) -> DataFrame:
     """The proof of one event: only its own batch is read."""
     spot = index.filter(F.col("event_uid") == event_uid).select("ledger", "ledger_seq")
     mine = index.join(F.broadcast(spot), ["ledger", "ledger_seq"], "left_semi")
     siblings = bronze.join(broadcast_if_small(mine.select("event_uid")), "event_uid", "left_semi")
-    return verify_events(siblings, mine, ledger, segment).filter(F.col("event_uid") == event_uid)
+    return verify_events(siblings, mine, ledger, prev).filter(F.col("event_uid") == event_uid)
 
 
 def lineage(silver: DataFrame, bronze: DataFrame, index: DataFrame, ledger: DataFrame) -> DataFrame:

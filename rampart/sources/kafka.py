@@ -16,18 +16,30 @@ def encode_raw_events(df: DataFrame) -> DataFrame:
 
 
 def decode_raw_events(df: DataFrame) -> DataFrame:
-    """Raw events from the JSON of ``value``; unreadable messages are dropped by null id."""
-    parsed = df.select(F.from_json(F.col("value").cast("string"), RAW.replace("raw binary", "raw string")).alias("e")).select("e.*")
-    return parsed.filter(F.col("event_uid").isNotNull()).withColumn("raw", F.unbase64("raw"))
+    """Raw events from the JSON of ``value``; ``unreadable_messages`` gives the rest."""
+    return _parsed(df).filter(F.col("e.event_uid").isNotNull()).select("e.*").withColumn("raw", F.unbase64("raw"))
+
+
+def unreadable_messages(df: DataFrame, now_ns: int | None = None) -> DataFrame:
+    """Dead-letter rows of the messages without a readable event; their bytes stay."""
+    value = F.col("value").cast("binary")
+    ts = F.lit(now_ns).cast("bigint") if now_ns is not None else F.unix_micros(F.current_timestamp()) * 1000
+    return _parsed(df).filter(F.col("e.event_uid").isNull()).select(
+        F.sha2(value, 256).alias("event_uid"), value.alias("raw"), F.sha2(value, 256).alias("raw_hash"), F.lit("unreadable_message").alias("reason"),
+        F.lit("ingest").alias("stage"), F.to_json(F.struct(F.col("key").cast("string").alias("key"))).alias("detail"), ts.alias("ts_ns"))
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    return df.withColumn("e", F.from_json(F.col("value").cast("string"), RAW.replace("raw binary", "raw string")))
 
 
 def kafka_options(servers: str, topic: str, **extra: str) -> dict[str, str]:
     return {"kafka.bootstrap.servers": servers, **{k.replace("_", "."): v for k, v in extra.items()}, "topic": topic}
 
 
-def stream_raw_events_kafka(spark: SparkSession, servers: str, topic: str, starting_offsets: str = "latest", **options: str) -> DataFrame:
-    """At-least-once stream of raw events; offsets live in the query checkpoint, ``starting_offsets``
-    replays a topic."""
+def stream_raw_events_kafka(spark: SparkSession, servers: str, topic: str, starting_offsets: str = "earliest", **options: str) -> DataFrame:
+    """At-least-once stream of raw events from the start of the topic; offsets live in the query checkpoint. Unreadable
+    messages are left to ``unreadable_messages``."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     return decode_raw_events(reader.option("startingOffsets", starting_offsets).options(**options).load())
 

@@ -38,19 +38,23 @@ def test_merkle_roots_of_many_sizes(spark, monkeypatch):
 
 def test_ledger_detects_tampering(spark):
     raw = raw_events(spark, [f"line {i}" for i in range(50)]).cache()
-    ledger, index = I.seal_batches(raw, 4, sealed_at_ns=1, segment=5)
+    ledger, index = I.seal_batches(raw, 4, sealed_at_ns=1)
     ledger = ledger.cache()
     rows = ledger.orderBy("seq").collect()
     assert [r["leaf_count"] for r in rows] == [4] * 12 + [2] and rows[0]["prev_chained_root"] == I.GENESIS
     for a, b in zip(rows[:4], rows[1:5]):
         assert b["prev_chained_root"] == a["chained_root"] == hashlib.sha256(bytes.fromhex(a["prev_chained_root"]) + bytes.fromhex(a["batch_root"])).hexdigest()
-    assert I.verify_chain(ledger, 5).first()["chain_ok"]
+    assert I.verify_chain(ledger).first()["chain_ok"]
+    head = ledger.orderBy(F.desc("seq")).limit(1).select("ledger", "chained_root")  # the next ledger of that name links to it
+    later, _ = I.seal_batches(raw, 25, sealed_at_ns=2, prev=head)
+    assert later.filter("seq = 0").first()["prev_chained_root"] == rows[-1]["chained_root"]
+    assert I.verify_chain(later, head).first()["chain_ok"] and I.verify_chain(later).first()["first_bad_seq"] == 0
     bad = ledger.withColumn("batch_root", F.when(F.col("seq") == 7, F.sha2("batch_root", 256)).otherwise(F.col("batch_root")))
-    assert I.verify_chain(bad, 5).first()["first_bad_seq"] == 7
+    assert I.verify_chain(bad).first()["first_bad_seq"] == 7
     gap = ledger.filter("seq <> 6")
-    assert I.verify_chain(gap, 5).first()["first_bad_seq"] == 7
+    assert I.verify_chain(gap).first()["first_bad_seq"] == 7
     changed = raw.withColumn("raw", F.when(F.col("event_uid") == "u13", F.encode(F.lit("evil"), "UTF-8")).otherwise(F.col("raw")))
-    checked = I.verify_events(changed, index, ledger, 5).filter("not verified").collect()
+    checked = I.verify_events(changed, index, ledger).filter("not verified").collect()
     assert [r["event_uid"] for r in checked] == ["u13"] and checked[0]["hash_ok"] is False
 
 
