@@ -40,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed, little-endian unsigned 32-bit), text (decoded from the ids again)."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, decoded="text")
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, decoded="text", keep=False)
 
 
 STAGES = [

@@ -273,8 +273,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decode
     return frame.mapInArrow(run, f"{types}, `{decoded}` string")
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text: str = "text", decoded: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` of every row in one pass and one worker: id, n_tokens, ids and the text decoded from the ids."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text: str = "text", decoded: str = "decoded", keep: bool = True) -> DataFrame:
+    """``encode`` and ``decode`` of every row in one pass and one worker: id, n_tokens, ids and the text decoded from the ids.
+
+    ``keep`` leaves the tokenizer in the worker for its next task; without it, other steps of a job have that memory.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = _Vocabulary(docs.sparkSession, (ranks, pattern))
 
@@ -282,7 +285,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
         return Encoder(*shared.value), Decoder(shared.value[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = per_worker("tokenizer", shared.id, build)
+        encoder, decoder = per_worker("tokenizer", shared.id, build) if keep else build()
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
