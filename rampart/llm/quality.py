@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence.
 
 A document's histograms of character classes and of common words are compared, by Jensen-Shannon
-distance, with those of each language of the corpus. References are counted over all documents.
+distance, with those of each language of the corpus. References are counted over all documents. A language with
+too little text has none, and its documents are not judged by distances.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Shared, free_name, quoted, quoted_name
+from .common import Shared, by_chars, free_name, quoted, quoted_name
 
 #: White space of the word rule; the rest of a text is words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -27,6 +28,8 @@ _CLASS_OF_BYTE = np.full(256, len(CLASSES), dtype=np.int64)
 for _i, _bytes in enumerate((range(97, 123), range(65, 91), b"#*$%&|<>!@^~_=+\\{}[]/`", b".,;:?'\"()-", range(0xC0, 0x100))):
     _CLASS_OF_BYTE[list(_bytes)] = _i  # the last: first bytes of characters beyond ASCII
 _MARKS = b".,;:?!'\"()-"
+#: Bounds of memory: languages whose words are one matrix, texts and characters judged at a time, words counted by a task.
+BLOCK, ROWS, CHARS, HELD = 32, 1000, 4_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -34,8 +37,8 @@ class QualityRules:
     """Thresholds. Distances are Jensen-Shannon, base 2, so between 0 and 1.
 
     ``common_words`` words per language, of up to ``word_bytes`` bytes, make the word histogram; all other words are
-    one bin more. A language is a value of ``lang`` with at least ``language_share`` of all words (so there are at most
-    1 / share). The class histogram is judged from ``class_chars`` word characters, the word histogram from
+    one bin more. A language is a value of ``lang``. It has a reference from ``reference_words`` words on (and
+    ``language_share`` of all words; 0 asks for none). The class histogram is judged from ``class_chars`` word characters, the word histogram from
     ``word_words`` words; both limits widen for short texts, by slack / sqrt(length), the noise of a small sample.
     """
 
@@ -43,7 +46,8 @@ class QualityRules:
     max_repeat_percent: int = 20
     common_words: int = 100
     word_bytes: int = 5
-    language_share: float = 0.005
+    language_share: float = 0.0
+    reference_words: int = 1000
     class_chars: int = 100
     max_class_distance: float = 0.20
     class_slack: float = 1.0
@@ -110,6 +114,7 @@ def _language_counts(word_bytes: int):
         classes: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
         n_words: Counter = Counter()
+        held = 0
 
         def out() -> pa.RecordBatch:
             rows = [(k, i, b"", int(n)) for k, c in classes.items() for i, n in enumerate(c)] + [(k, -2, b"", n) for k, n in n_words.items()]
@@ -125,9 +130,13 @@ def _language_counts(word_bytes: int):
                 found = folded_words(text)
                 classes[lang] = classes.get(lang, 0) + class_counts(text.encode("utf-8"))
                 n_words[lang] += len(found)
-                words.setdefault(lang, Counter()).update([w for w in found if len(w) <= word_bytes])
-            if sum(map(len, words.values())) > 200_000:
-                yield out()
+                known = words.setdefault(lang, Counter())
+                before = len(known)
+                known.update([w for w in found if len(w) <= word_bytes])
+                held += len(known) - before + (10 if not before else 0)  # a language costs about as much as ten words
+                if held > HELD:
+                    yield out()
+                    held = 0
         if classes:
             yield out()
 
@@ -135,37 +144,49 @@ def _language_counts(word_bytes: int):
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules = QualityRules()) -> list[tuple[str, list[int], dict[bytes, int], int]]:
-    """(language, class counts, common words with counts, all words) per language, over all documents.
+    """(language, class counts, common words with counts, all words) per language with a reference, over all documents.
 
-    At most 1 / language_share languages, each with 5 classes and ``common_words`` words: that bound holds for
-    what the driver collects.
+    Words are ranked in slices of each language, then among the best of the slices, so no task ranks a whole
+    vocabulary. The driver collects 5 classes and ``common_words`` words for each reference.
     """
     counted = docs.select(quoted(docs, lang).cast("string"), quoted(docs, text).cast("string")).mapInArrow(_language_counts(rules.word_bytes), "lang string, class int, word binary, n long")
     shared = Shared(docs.sparkSession, "quality")
     counts = shared.save(counted.groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "counts")
     totals = counts.filter("class = -2")
     whole = totals.agg(F.sum("n")).first()[0] or 0
-    langs = {r["lang"]: r["n"] for r in totals.filter(F.col("n") >= rules.language_share * max(whole, 1)).collect()}
-    found = []
-    for name in sorted(langs):
-        of = counts.filter(F.col("lang") == name)
-        classes = {r["class"]: r["n"] for r in of.filter("class >= 0").collect()}
-        top = of.filter("class = -1 and length(word) > 0").orderBy(F.desc("n"), "word").limit(rules.common_words).collect()
-        found.append((name, [classes.get(i, 0) for i in range(len(CLASSES))], {bytes(r["word"]): r["n"] for r in top}, langs[name]))
+    enough = totals.filter(F.col("n") >= max(rules.reference_words, rules.language_share * whole)).select("lang", F.col("n").alias("words"))
+    langs = {r["lang"]: r["words"] for r in enough.collect()}
+    of = counts.join(F.broadcast(enough), "lang")
+    classes: dict[str, list[int]] = {name: [0] * len(CLASSES) for name in langs}
+    for r in of.filter("class >= 0").collect():
+        classes[r["lang"]][r["class"]] = r["n"]
+    best = of.filter("class = -1 and length(word) > 0").select("lang", "word", "n", F.pmod(F.xxhash64("word"), F.lit(32)).alias("slice"))
+    for keys in (["lang", "slice"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
+        best = best.withColumn("rank", rank).filter(F.col("rank") <= rules.common_words)
+    words: dict[str, dict[bytes, int]] = {name: {} for name in langs}
+    for r in sorted(best.select("lang", "rank", "word", "n").collect(), key=lambda r: r["rank"]):
+        words[r["lang"]][bytes(r["word"])] = r["n"]
     shared.drop("counts")
-    return found
+    return [(name, classes[name], words[name], langs[name]) for name in sorted(langs)]
 
 
-def judge(docs: DataFrame, refs: list, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _language(docs: DataFrame, lang: str) -> Column:
+    """The language of each row; null where the frame has no such column."""
+    return quoted(docs, lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+
+
+def judge(docs: DataFrame, refs: list, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The base counts and the verdict of every row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, class_distance, word_distance.
 
     A null text is an empty one: no words, so ``base_failed``. A distance is null where its guard leaves the
-    text unjudged (too short, or no reference at all); such a text passes that rule. The smallest distance
-    over all languages counts, so a null or wrong ``lang`` does no harm. Repeated rows are judged each.
+    text unjudged (too short, or of a language that has no reference); such a text passes that rule. The smallest
+    distance over all languages counts, so a null ``lang``, or one taken for another, does no harm. Repeated rows
+    are judged each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(quoted(docs, id_col).alias("id"), F.coalesce(quoted(docs, text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(quoted(docs, id_col).alias("id"), F.coalesce(quoted(docs, text).cast("string"), F.lit("")).alias("text"), _language(docs, lang).alias("lang"))
     return rows.mapInArrow(
         _judging(refs, rules),
         f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double",
@@ -174,52 +195,64 @@ def judge(docs: DataFrame, refs: list, rules: QualityRules = QualityRules(), id_
 
 def _judging(refs: list, rules: QualityRules):
     class_refs = [np.array(c, dtype=float) for _, c, _, _ in refs if sum(c)]
+    classed, worded = {x[0] for x in refs if sum(x[1])}, {x[0] for x in refs if x[2]}
     places: dict[bytes, int] = {}
     word_refs = []
     for _, _, words, n in refs:
         if words:
             known = np.array(list(words.values()), dtype=float)
-            word_refs.append(([places.setdefault(w, len(places)) for w in words], np.append(known, max(0.0, n - known.sum()))))
+            word_refs.append((np.array([places.setdefault(w, len(places)) for w in words]), np.append(known, max(0.0, n - known.sum()))))
     other = len(places)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
-    def closest(rows: np.ndarray, refs: list, judged: np.ndarray) -> np.ndarray:
-        found = np.full(len(rows), np.nan)
-        if refs and judged.any():
-            found[judged] = np.min([f(rows[judged]) for f in refs], axis=0)
+    def by_words(codes: list[np.ndarray]) -> np.ndarray:
+        """Least word distance of texts, given as places of their words; the references are taken in blocks."""
+        sizes = np.array([len(c) for c in codes])
+        found, row, every = np.full(len(codes), np.inf), np.repeat(np.arange(len(codes)), sizes), np.concatenate(codes)
+        for start in range(0, len(word_refs), BLOCK):
+            block = word_refs[start:start + BLOCK]
+            columns = np.unique(np.concatenate([c for c, _ in block]))
+            local = np.full(other + 1, len(columns))
+            local[columns] = np.arange(len(columns))
+            width = len(columns) + 1
+            rows = np.bincount(row * width + local[every], minlength=len(codes) * width).reshape(-1, width)
+            for c, reference in block:
+                known = rows[:, local[c]]
+                found = np.minimum(found, distances(np.column_stack([known, sizes - known.sum(axis=1)]), reference))
         return found
 
-    def judged(texts: list) -> list:
+    def judged(texts: list, langs: list) -> list:
         base = np.zeros((len(texts), 5), dtype=np.int64)
-        class_rows, word_rows = np.zeros((len(texts), len(CLASSES))), np.zeros((len(texts), other + 1))
-        for i, text in enumerate(texts):
+        class_rows = np.zeros((len(texts), len(CLASSES)))
+        codes: dict[int, np.ndarray] = {}
+        for i, (text, lang) in enumerate(zip(texts, langs)):
             if not text:
                 continue
             data = text.encode("utf-8")
             words = data.split()
             base[i] = len(words), *base_counts(text, words)
             class_rows[i] = class_counts(data)
-            word_rows[i] = np.bincount([places.get(w, other) for w in folded_words(text)] or [other], minlength=other + 1)
-        n, total, all_words = base[:, 0], class_rows.sum(axis=1), word_rows.sum(axis=1)
+            if word_refs and len(words) >= rules.word_words and (lang is None or lang in worded):
+                codes[i] = np.array([places.get(w, other) for w in folded_words(text)] or [other], dtype=np.int64)
+        n, total = base[:, 0], class_rows.sum(axis=1)
         failed = (n < rules.min_words) | (100 * base[:, 4] > rules.max_repeat_percent * n)
-        by_class = closest(class_rows, [lambda x, r=r: distances(x, r) for r in class_refs], (total >= rules.class_chars))
-
-        def of(columns: list[int], r: np.ndarray):
-            def f(rows: np.ndarray) -> np.ndarray:
-                known = rows[:, columns]
-                return distances(np.column_stack([known, rows.sum(axis=1) - known.sum(axis=1)]), r)
-            return f
-
-        by_word = closest(word_rows, [of(*x) for x in word_refs], (n >= rules.word_words) & (all_words > 0))
+        by_class, by_word = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
+        has_class = (total >= rules.class_chars) & np.array([lang is None or lang in classed for lang in langs], dtype=bool)
+        if class_refs and has_class.any():
+            by_class[has_class] = np.min([distances(class_rows[has_class], r) for r in class_refs], axis=0)
+        if codes:
+            by_word[list(codes)] = by_words(list(codes.values()))
         with np.errstate(divide="ignore", invalid="ignore"):  # a nan is no judgement
             bad = (by_class > rules.max_class_distance + rules.class_slack / np.sqrt(total)) | (by_word > rules.max_word_distance + rules.word_slack / np.sqrt(n))
         return [pa.array(base[:, i]) for i in range(5)] + [pa.array(failed), pa.array(~failed & ~bad), pa.array(by_class, from_pandas=True), pa.array(by_word, from_pandas=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), *judged(part.column(1).to_pylist())], names=["id", *names])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                texts, langs = part.column(1).to_pylist(), part.column(2).to_pylist()
+                for start, end in by_chars(texts, CHARS):
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(start, end - start), *judged(texts[start:end], langs[start:end])], names=["id", *names])
 
     return run
 
@@ -230,9 +263,10 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text: str =
     decide = _judging(references(docs, text, lang, rules), rules)
 
     @F.pandas_udf("boolean")
-    def kept(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), pa.array(texts, pa.string(), from_pandas=True)], names=["id", "text"])
+    def kept(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        columns = [pa.nulls(len(texts)), pa.array(texts, pa.string(), from_pandas=True), pa.array(langs, pa.string(), from_pandas=True)]
+        batch = pa.RecordBatch.from_arrays(columns, names=["id", "text", "lang"])
         return pd.Series([x for part in decide(iter([batch])) for x in part.column("kept").to_pylist()], dtype=bool)
 
-    return docs.withColumn(flag, kept(quoted(docs, text).cast("string"))).filter(quoted_name(flag)).drop(flag)
+    return docs.withColumn(flag, kept(quoted(docs, text).cast("string"), _language(docs, lang))).filter(quoted_name(flag)).drop(flag)
 
