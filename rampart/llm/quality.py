@@ -36,8 +36,8 @@ BLOCK, ROWS, CHARS, HELD = 32, 1000, 4_000_000, 200_000
 class QualityRules:
     """Thresholds. Distances are Jensen-Shannon, base 2, so between 0 and 1.
 
-    ``common_words`` words per language, of up to ``word_bytes`` bytes, make the word histogram; all other words are
-    one bin more. A language is a value of ``lang``. It has a reference from ``reference_words`` words on (and
+    ``common_words`` words per language make the word histogram, all other words are one bin more. Words of any length
+    count; ``word_bytes`` can leave longer ones out. A language is a value of ``lang``. It has a reference from ``reference_words`` words on (and
     ``language_share`` of all words; 0 asks for none). The class histogram is judged from ``class_chars`` word characters, the word histogram from
     ``word_words`` words; both limits widen for short texts, by slack / sqrt(length), the noise of a small sample.
     """
@@ -45,7 +45,7 @@ class QualityRules:
     min_words: int = 10
     max_repeat_percent: int = 20
     common_words: int = 100
-    word_bytes: int = 5
+    word_bytes: int = 2**31 - 1
     language_share: float = 0.0
     reference_words: int = 1000
     class_chars: int = 100
@@ -108,7 +108,7 @@ def distances(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def _language_counts(word_bytes: int):
-    """Per task: classes (class 0..), all words (-2) and short words (-1) by language, added up so that few rows are shuffled; handed on now and then, to bound memory."""
+    """Per task: classes (class 0..), all words (-2) and each word (-1) by language, added up so that few rows are shuffled; handed on now and then, to bound memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[str, np.ndarray] = {}
@@ -182,8 +182,9 @@ def judge(docs: DataFrame, refs: list, rules: QualityRules = QualityRules(), id_
 
     A null text is an empty one: no words, so ``base_failed``. A distance is null where its guard leaves the
     text unjudged (too short, or of a language that has no reference); such a text passes that rule. The smallest
-    distance over all languages counts, so a null ``lang``, or one taken for another, does no harm. Repeated rows
-    are judged each.
+    distance over all languages counts, so a null ``lang``, or one taken for another, does no harm; but a language whose
+    common words are so few of its words that any unknown ones lie near it judges, by words, only its own
+    documents and those of a null ``lang``. Repeated rows are judged each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(quoted(docs, id_col).alias("id"), F.coalesce(quoted(docs, text).cast("string"), F.lit("")).alias("text"), _language(docs, lang).alias("lang"))
@@ -198,27 +199,32 @@ def _judging(refs: list, rules: QualityRules):
     classed, worded = {x[0] for x in refs if sum(x[1])}, {x[0] for x in refs if x[2]}
     places: dict[bytes, int] = {}
     word_refs = []
-    for _, _, words, n in refs:
+    for name, _, words, n in refs:
         if words:
             known = np.array(list(words.values()), dtype=float)
-            word_refs.append((np.array([places.setdefault(w, len(places)) for w in words]), np.append(known, max(0.0, n - known.sum()))))
+            reference = np.append(known, max(0.0, n - known.sum()))
+            unknown = np.append(np.zeros(len(known)), 1.0)[None, :]
+            own = name if distances(unknown, reference)[0] <= rules.max_word_distance else None
+            word_refs.append((np.array([places.setdefault(w, len(places)) for w in words]), reference, own))
     other = len(places)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
-    def by_words(codes: list[np.ndarray]) -> np.ndarray:
+    def by_words(codes: list[np.ndarray], langs: list) -> np.ndarray:
         """Least word distance of texts, given as places of their words; the references are taken in blocks."""
         sizes = np.array([len(c) for c in codes])
         found, row, every = np.full(len(codes), np.inf), np.repeat(np.arange(len(codes)), sizes), np.concatenate(codes)
         for start in range(0, len(word_refs), BLOCK):
             block = word_refs[start:start + BLOCK]
-            columns = np.unique(np.concatenate([c for c, _ in block]))
+            columns = np.unique(np.concatenate([c for c, _, _ in block]))
             local = np.full(other + 1, len(columns))
             local[columns] = np.arange(len(columns))
             width = len(columns) + 1
             rows = np.bincount(row * width + local[every], minlength=len(codes) * width).reshape(-1, width)
-            for c, reference in block:
-                known = rows[:, local[c]]
-                found = np.minimum(found, distances(np.column_stack([known, sizes - known.sum(axis=1)]), reference))
+            for c, reference, own in block:
+                judges = np.array([own is None or lang is None or lang == own for lang in langs], dtype=bool)
+                if judges.any():
+                    known = rows[judges][:, local[c]]
+                    found[judges] = np.minimum(found[judges], distances(np.column_stack([known, sizes[judges] - known.sum(axis=1)]), reference))
         return found
 
     def judged(texts: list, langs: list) -> list:
@@ -241,7 +247,7 @@ def _judging(refs: list, rules: QualityRules):
         if class_refs and has_class.any():
             by_class[has_class] = np.min([distances(class_rows[has_class], r) for r in class_refs], axis=0)
         if codes:
-            by_word[list(codes)] = by_words(list(codes.values()))
+            by_word[list(codes)] = by_words(list(codes.values()), [langs[i] for i in codes])
         with np.errstate(divide="ignore", invalid="ignore"):  # a nan is no judgement
             bad = (by_class > rules.max_class_distance + rules.class_slack / np.sqrt(total)) | (by_word > rules.max_word_distance + rules.word_slack / np.sqrt(n))
         return [pa.array(base[:, i]) for i in range(5)] + [pa.array(failed), pa.array(~failed & ~bad), pa.array(by_class, from_pandas=True), pa.array(by_word, from_pandas=True)]

@@ -66,6 +66,22 @@ def test_most_common_words_by_slices_are_those_of_all(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(5000)]
     rows = [(" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(5000)], k=4000)), "en") for _ in range(5)]
-    (_, _, got, n), = quality.references(frame(spark, rows), rules=quality.QualityRules(word_bytes=9))
+    (_, _, got, n), = quality.references(frame(spark, rows))
     every = Counter(w for t, _ in rows for w in quality.folded_words(t))
     assert n == 20_000 and list(got.items()) == sorted(every.items(), key=lambda x: (-x[1], x[0]))[:100]
+
+
+def test_junk_is_not_saved_by_languages_of_long_words(spark):
+    rng = random.Random(5)
+    en, ru = vocabulary(rng, LATIN), vocabulary(rng, CYRILLIC) + ["и", "не"]
+    rows = [(prose(rng, LATIN, en, 900), "en") for _ in range(20)] + [(prose(rng, CYRILLIC, ru, 900), "ru") for _ in range(20)]
+    junk = " ".join("".join(rng.choice(CYRILLIC) for _ in range(7)) for _ in range(900))
+    assert kept(spark, rows + [(junk, "ru"), (junk, "en")]) == [True] * 40 + [False] * 2
+
+
+def test_a_language_without_common_words_judges_only_its_own(spark):
+    rng = random.Random(6)
+    en = vocabulary(rng, LATIN)
+    unknown = lambda: " ".join("".join(rng.choice(LATIN) for _ in range(9)) for _ in range(900))
+    rows = [(prose(rng, LATIN, en, 900), "en") for _ in range(20)] + [(unknown(), "zz") for _ in range(5)]
+    assert kept(spark, rows + [(unknown(), None), (unknown(), "en")]) == [True] * 26 + [False]
