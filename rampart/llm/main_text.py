@@ -199,48 +199,57 @@ def _closed_by_tag(stack: list[tuple[str, bool, int]]) -> bool:
     return any(out and tag in ASIDE_TAGS for tag, out, _ in stack)
 
 
-def kept_lines(lines: list[Line], rules: LineBlocks) -> list[Line]:
-    """Lines between surges and dives."""
-    n = len(lines)
-    weights = [x.weight for x in lines]
+def window_sums(weights: list[int], window: int) -> list[int]:
+    """The sum of each weight and the ``window`` - 1 that follow it."""
+    n = len(weights)
     sums, run = [0] * n, 0
     for i in range(n - 1, -1, -1):
-        run += weights[i] - (weights[i + rules.window] if i + rules.window < n else 0)
+        run += weights[i] - (weights[i + window] if i + window < n else 0)
         sums[i] = run
-    threshold = min(rules.surge, max(sums, default=0) / 2)
+    return sums
+
+
+def between(lines: list[Line], weights: list[int], window: int, threshold: float) -> list[int]:
+    """Numbers of the lines between surges and dives."""
+    n, sums = len(lines), window_sums(weights, window)
     out, inside, start = [], False, 0
     for i in range(n + 1):
         filled = i < n and bool(lines[i].text)
         if inside and (i == n or sums[i] == 0):  # dive
-            out.extend(x for x in lines[start:i] if x.text)
+            out.extend(k for k in range(start, i) if lines[k].text)
             inside = False
         if not inside and filled and sums[i] > threshold:  # surge: with the lines that lead up to it
             start = i
-            while start and lines[start - 1].weight:
+            while start and weights[start - 1]:
                 start -= 1
             inside = True
     return out
 
 
-def main_text(page: str | None, rules: LineBlocks = LineBlocks()) -> str:
-    """The page's main text, blocks joined by one space.
+def kept_lines(lines: list[Line], rules: LineBlocks) -> list[Line]:
+    """Lines between surges and dives, where those inside articles and main parts and those outside leave each other blank.
 
-    Where the page marks an article (else a main part) with text, the lines of the largest one are the
-    distribution's, and every line with text is a surge; on other pages all lines outside menus and the like are.
+    A region whose own lines surge is kept with every line that has text.
     """
+    threshold = min(rules.surge, max(window_sums([x.weight for x in lines], rules.window), default=0) / 2)
+    own: dict[int, list[int]] = {}
+    for x in lines:
+        if x.region:
+            own.setdefault(x.region, []).append(x.weight)
+    surged = {r for r, weights in own.items() if max(window_sums(weights, rules.window)) > threshold}
+    kept = {i for i, x in enumerate(lines) if x.text and x.region in surged}
+    for inner in (True, False):
+        part = [x if bool(x.region) == inner else Line("", 0, x.region) for x in lines]
+        kept.update(between(part, [x.weight for x in part], rules.window, threshold))
+    return [lines[i] for i in sorted(kept)]
+
+
+def main_text(page: str | None, rules: LineBlocks = LineBlocks()) -> str:
+    """The page's main text, blocks joined by one space: what stands between surges and dives. Elements that mark an
+    article or a main part only bound the blocks, and keep their short lines where they surge."""
     if not page:
         return ""
-    lines, regions = lines_of(page)
-    for kind in ("article", "main"):
-        size: dict[int, int] = {}
-        for x in lines:
-            if regions[x.region] == kind:
-                size[x.region] = size.get(x.region, 0) + len(x.text)
-        if size and max(size.values()) > 0:
-            best = max(size, key=lambda r: (size[r], -r))
-            inner = [x if x.region == best else Line("", 0, best) for x in lines]
-            return " ".join(x.text for x in kept_lines([Line(x.text, len(x.text), x.region) for x in inner], LineBlocks(rules.window, 0)))
-    return " ".join(x.text for x in kept_lines(lines, rules))
+    return " ".join(x.text for x in kept_lines(lines_of(page)[0], rules))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html: str = "html", rules: LineBlocks = LineBlocks()) -> DataFrame:
