@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rampart.functions.ip import is_ip
@@ -13,9 +16,6 @@ from rampart.session import broadcast_if_small, checkpoint
 
 WILD = "<*>"
 DEPTH, SIMILARITY, MAX_CHILDREN = 5, 0.45, 100
-# Distinct masked lines (later: templates) compared within one task.
-CHUNK = 10_000
-ROUNDS = 4
 SAMPLES = 5
 
 
@@ -38,56 +38,81 @@ def _limit_children(df: DataFrame, parents: list[str], key: str, children: int)
     return out.withColumn(key, F.when(F.col("_kept"), F.col(key)).otherwise(WILD)).drop("_kept")
 
 
+class _Bucket:
+    """The templates of one bucket, all of one token count, as rows of token numbers; number 0 is the wild one."""
+
+    def __init__(self, length: int, sim_th: float):
+        self.sim_th, self.length = sim_th, length
+        self.names, self.numbers = [WILD], {WILD: 0}
+        self.rows, self.used = np.zeros((16, length), dtype=np.int32), 0
+
+    def add(self, tokens: list[str]) -> int:
+        """The template that a line joins: the most similar one at or above the threshold, widened, else a new one."""
+        codes = np.array([self.numbers.get(t, -1) for t in tokens], dtype=np.int32)
+        held = self.rows[:self.used]
+        same = ((held == codes) & (held != 0)).sum(axis=1)
+        best = int(same.max(initial=-1))
+        if best >= 0 and best / self.length >= self.sim_th:
+            near = np.flatnonzero(same == best)
+            found = int(near[np.argmax((held[near] == 0).sum(axis=1))])
+            held[found][held[found] != codes] = 0
+            return found
+        if self.used == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for t in tokens:
+            if t not in self.numbers:
+                self.numbers[t] = len(self.names)
+                self.names.append(t)
+        self.rows[self.used] = [self.numbers[t] for t in tokens]
+        self.used += 1
+        return self.used - 1
+
+    def templates(self) -> list[str]:
+        return [" ".join(self.names[c] for c in row) for row in self.rows[:self.used]]
+
+
 def _greedy(sim_th: float):
-    """Merge the lines of one bucket chunk in order of appearance: a line joins the most similar
-    template at or above ``sim_th`` and widens it, else it starts one."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_ns", "text"], kind="stable")
-        templates: list[list[str]] = []
-        member = []
-        for text in pdf["text"]:
-            tokens = text.split(" ")
-            best, best_key = -1, (sim_th, -1)
-            for i, template in enumerate(templates):
-                same = wild = 0
-                for a, b in zip(template, tokens):
-                    wild += a == WILD
-                    same += a == b and a != WILD
-                key = (same / len(tokens), wild)
-                if key >= best_key and key[0] >= sim_th and (best < 0 or key > best_key):
-                    best, best_key = i, key
-            if best < 0:
-                templates.append(tokens)
-                best = len(templates) - 1
-            else:
-                templates[best] = [a if a == b else WILD for a, b in zip(templates[best], tokens)]
-            member.append(best)
-        joined = [" ".join(t) for t in templates]
-        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "text": pdf["text"].to_numpy(), "template": [joined[m] for m in member]})
-
-    return cluster
-
-
-def cluster_lines(lines: DataFrame, sim_th: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """``bucket, text, template`` for distinct ``bucket, text, first_ns`` rows.
-
-    A bucket with more than ``chunk`` lines is cut by hash; the templates of the pieces are merged
-    in further rounds, so no task ever compares more than about ``chunk`` lines.
+    """Merge the lines of each bucket in the order they come; one row per line with the number of its template, and, after
+    a bucket's last line, one per template. Only templates are held, never a bucket's lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        out: list[tuple] = []
+
+        def close() -> None:
+            if state is not None:
+                out.extend((current, None, i, t) for i, t in enumerate(state.templates()))
+
+        def rows() -> pa.RecordBatch:
+            types = (pa.string(), pa.string(), pa.int32(), pa.string())
+            columns = list(zip(*out)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "text", "number", "template"])
+
+        for batch in batches:
+            for bucket, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = text.split(" ")
+                if state is None or bucket != current:
+                    close()
+                    current, state = bucket, _Bucket(len(tokens), sim_th)
+                out.append((bucket, text, state.add(tokens), None))
+            yield rows()
+        close()
+        yield rows()
+
+    return run
+
+
+def cluster_lines(lines: DataFrame, sim_th: float = SIMILARITY) -> DataFrame:
+    """``bucket, text, template`` for distinct ``bucket, text, first_ns`` rows; the lines of a bucket have one token count.
+
+    Every bucket, of whatever size, takes one pass in order of appearance, since each line depends on the
+    templates before it. A bucket is one task, which streams its lines.
     """
-    current = lines.withColumn("template", F.col("text"))
-    for round_no in range(ROUNDS):
-        level = current.groupBy("bucket", F.col("template").alias("text")).agg(F.min("first_ns").alias("first_ns"))
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("_n"))
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
-        pieces = F.ceil(F.col("_n") / chunk).cast("int")
-        cut = F.pmod(F.xxhash64(F.lit(round_no), "text"), pieces) if largest > chunk else F.lit(0)
-        placed = level.join(broadcast_if_small(sizes), "bucket").withColumn("_piece", cut)
-        merged = placed.groupBy("bucket", "_piece").applyInPandas(_greedy(sim_th), "bucket string, text string, template string").select("bucket", F.col("text").alias("template"), F.col("template").alias("_wider"))
-        current = checkpoint(current.join(merged, ["bucket", "template"]).drop("template").withColumnRenamed("_wider", "template"))
-        if largest <= chunk:
-            break
-    return current.select("bucket", "text", "template")
+    ordered = lines.select("bucket", "text", "first_ns").repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_last("first_ns"), "text")
+    both = checkpoint(ordered.select("bucket", "text").mapInArrow(_greedy(sim_th), "bucket string, text string, number int, template string"))
+    templates = both.filter("template is not null").select("bucket", "number", "template")
+    return both.filter("text is not null").select("bucket", "text", "number").join(broadcast_if_small(templates), ["bucket", "number"]).select("bucket", "text", "template")
 
 
 def mine_templates(df: DataFrame, line: str = "line", depth: int = DEPTH, sim_th: float = SIMILARITY, max_children: int = MAX_CHILDREN) -> DataFrame:
