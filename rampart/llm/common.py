@@ -91,14 +91,18 @@ def broadcast_if_bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def by_chars(texts: Sequence[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of ``texts`` of about ``most`` characters, a longer text alone: bounds what is held at a time."""
+def by_sizes(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows of these sizes of about ``most`` in all, a larger row alone: bounds what is held at a time."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text or "")
+    for i, size in enumerate(sizes):
         if i > start and held + size > most:
             yield start, i
             start, held = i, 0
         held += size
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def by_chars(texts: Sequence[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """The same by the characters of ``texts``."""
+    return by_sizes([len(text or "") for text in texts], most)

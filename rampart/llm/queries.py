@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import bpe, dart_minhash, decontaminate, licenses, main_text, quality, secret_scan, token_counts, url_filter, warc
+from . import bpe, dart_minhash, decontaminate, fill_in_middle, licenses, main_text, quality, secret_scan, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,26 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     index = warc.archive(pages, ts=F.coalesce("page_id", F.lit(0)) + 1_577_836_800)
     return index.select(F.when(F.col("record") != "", F.col("record")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "ts")
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix, and rebuilt."""
+    made = fill_in_middle.transform(table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"), F.sha2(F.encode("restored", "UTF-8"), 256).alias("restored_sha256"))
+
+
+SQL["op13_fill_in_middle"] = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+numbers AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS k1, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS k2,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS k3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS k4 FROM drawn),
+parts AS (
+  SELECT *, array_to_string(units[1:least(k1, k2)], '') AS prefix, array_to_string(units[least(k1, k2) + 1:greatest(k1, k2)], '') AS middle, array_to_string(units[greatest(k1, k2) + 1:], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k3 >= 90 THEN 'plain' WHEN k4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
