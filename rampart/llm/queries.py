@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import bpe, dart_minhash, decontaminate, fill_in_middle, licenses, main_text, quality, secret_scan, token_counts, url_filter, warc
+from . import alignment, bpe, dart_minhash, decontaminate, fill_in_middle, licenses, main_text, quality, secret_scan, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,6 +108,13 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return index.select(F.when(F.col("record") != "", F.col("record")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "ts")
 
 
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers, for every document."""
+    byte_bpe, pieces = (Path(public_tokenizers.path(f)).read_bytes() for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.measures(table(spark, folder, "documents"), byte_bpe, pieces)
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut into prefix, middle and suffix, and rebuilt."""
