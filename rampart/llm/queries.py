@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import alignment, bpe, dart_minhash, decontaminate, fill_in_middle, licenses, main_text, quality, secret_scan, token_counts, url_filter, warc
+from . import alignment, bpe, dart_minhash, decontaminate, fill_in_middle, licenses, main_text, quality, secret_scan, suffix_dedup, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,6 +115,13 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.measures(table(spark, folder, "documents"), byte_bpe, pieces)
 
 
+@query
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the strings of 100 bytes that start earlier in the corpus."""
+    found = suffix_dedup.deduplicate(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut into prefix, middle and suffix, and rebuilt."""
