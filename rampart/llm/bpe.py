@@ -3,16 +3,18 @@
 A sequence of tokens is the encoding of its bytes exactly if every token encodes to itself and every two
 neighbours stay apart when merged. So the encoding of a prefix is fixed by its last token, and while bytes
 come in, only the cuts matter at which a longer token may still begin. A state holds those open cuts, each
-with its place in the trie of tokens, the token before it, and the tokens not emitted yet; what all open
-cuts have in common is emitted. States and transitions are made when first met.
+with its place in the trie of tokens and the tokens not emitted yet; what all open
+cuts have in common is emitted. A transition is made when it is met for the second time; a short piece
+that needs one met only once is searched for the one sequence that fits.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -21,9 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import per_worker, quoted
 
 #: The states, the pieces of two generations and the pairs of tokens known to stay apart are forgotten beyond these numbers, which bounds memory and changes no result.
-MOST_STATES = 80_000
-MOST_PIECES = 150_000
-MOST_PAIRS = 200_000
+MOST_STATES = 40_000
+MOST_PIECES = 200_000
+MOST_PAIRS = 300_000
+#: Bytes of a piece that may be searched instead of making transitions that are met once.
+SHORT_PIECE = 48
+UNMET = object()
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +54,11 @@ def merge_plainly(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Transducer:
-    """``encode`` of a piece runs its bytes through the states; each transition is computed once."""
+    """``encode`` of a piece runs its bytes through the states.
+
+    The last token emitted is a register and no part of a state: only the cut at which nothing is pending follows it, so a
+    transition asks at most one question of it, whether it stays apart from the token that ends at this byte.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -71,47 +80,47 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # a state: open cuts, oldest first, as (trie node since the cut, token before it or -1, tokens not emitted up to it)
-        self.states: list[tuple] = [((0, -1, ()),)]
+        # a state: open cuts, oldest first, as (trie node since the cut, tokens not emitted up to it)
+        self.states: list[tuple] = [((0, ()),)]
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        # by state and byte: token asked about or -1, (next state, tokens emitted) if it fits or nothing is asked, the same if not
+        self.steps: list[dict[int, list]] = [{}]
 
     def encode_plainly(self, data: bytes) -> list[int]:
         return merge_plainly(data, self.ranks)
 
-    def _make_step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        children, tokens, apart = self.children, self.token, self._apart
+    def _make_step(self, state: int, byte: int) -> list:
+        node, pending = self.states[state][0]
+        nxt = self.children[node].get(byte)
+        asked = -1 if pending or nxt is None else self.token[nxt]
+        step = self.steps[state][byte] = [asked, None, None] if asked >= 0 else [-1, self._follow(state, byte, False), None]
+        return step
+
+    def _follow(self, state: int, byte: int, first_fits: bool) -> tuple[int, tuple[int, ...]]:
+        """The next state and what is emitted; ``first_fits`` is the answer for the cut at which nothing is pending."""
+        children, tokens = self.children, self.token
         cuts, here = [], None
-        for node, before, pending in self.states[state]:
+        for node, pending in self.states[state]:
             nxt = children[node].get(byte)
             if nxt is None:
                 continue
-            if here is None and (token := tokens[nxt]) >= 0:
-                key = (before + 1) << 32 | token
-                fits = apart.get(key)
-                if fits is None:
-                    if len(apart) >= MOST_PAIRS:
-                        apart.clear()
-                    fits = apart[key] = self._fits(before, token)
-                if fits:
-                    here = (0, token, (*pending, token))
+            if here is None and (token := tokens[nxt]) >= 0 and (self._fits(pending[-1], token) if pending else first_fits):
+                here = (0, (*pending, token))
             if children[nxt]:
-                cuts.append((nxt, before, pending))
+                cuts.append((nxt, pending))
         if here is None:
             raise ValueError(f"byte {byte} is in no token")
         cuts.append(here)
-        common = cuts[0][2]
-        for cut in cuts:
-            if not common:
-                break
-            pending, n = cut[2], 0
+        common = cuts[0][1]
+        for _, pending in cuts:
+            n = 0
             for x, y in zip(common, pending):
                 if x != y:
                     break
                 n += 1
             common = common[:n]
         skip = len(common)
-        key = tuple([(node, before, pending[skip:]) for node, before, pending in cuts]) if skip else tuple(cuts)
+        key = tuple([(node, pending[skip:]) for node, pending in cuts])
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
@@ -121,10 +130,18 @@ class Transducer:
 
     def _fits(self, before: int, token: int) -> bool:
         """Whether ``token`` encodes to itself and stays apart from the token before it, if there is one."""
-        words, encode = self.words, self.encode_plainly
-        if before < 0:
-            return encode(words[token]) == [token]
-        return self._fits(-1, token) and encode(words[before] + words[token]) == [before, token]
+        key = (before + 1) << 32 | token
+        fits = self._apart.get(key)
+        if fits is None:
+            words = self.words
+            if before < 0:
+                fits = self.encode_plainly(words[token]) == [token]
+            else:
+                fits = self._fits(-1, token) and self.encode_plainly(words[before] + words[token]) == [before, token]
+            if len(self._apart) >= MOST_PAIRS:
+                self._apart.clear()
+            self._apart[key] = fits
+        return fits
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -132,23 +149,105 @@ class Transducer:
             return [whole]
         if len(self.states) > MOST_STATES:
             self._reset()
-        state, out, steps = 0, [], self.steps
+        state, last, out, steps, apart = 0, -1, [], self.steps, self._apart
         for byte in piece:
-            step = steps[state].get(byte)
+            step = steps[state].get(byte, UNMET)
+            if step is UNMET:
+                steps[state][byte] = None
+                if len(piece) <= SHORT_PIECE:
+                    return self._search(piece)
+                step = None
             if step is None:
-                step = steps[state][byte] = self._make_step(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        out.extend(self.states[state][-1][2])  # the last cut is the end of the piece
+                step = self._make_step(state, byte)
+            asked = step[0]
+            if asked < 0:
+                state, emitted = step[1]
+            else:
+                fits = apart.get((last + 1) << 32 | asked)
+                if fits is None:
+                    fits = self._fits(last, asked)
+                way = 1 if fits else 2
+                then = step[way]
+                if then is None:
+                    then = step[way] = self._follow(state, byte, fits)
+                state, emitted = then
+            if emitted:
+                out.extend(emitted)
+                last = emitted[-1]
+        out.extend(self.states[state][-1][1])  # the last cut is the end of the piece
         return out
 
+    def _search(self, piece: bytes) -> list[int]:
+        """The tokens of a piece by trying the longest first and going back where none fits; since only one sequence fits throughout, any way to it will do."""
+        children, tokens, apart = self.children, self.token, self._apart
+        size, at, last, path, dead = len(piece), 0, -1, [], set()
+        while at < size:
+            options, node, end = [], 0, at
+            while end < size and (node := children[node].get(piece[end])) is not None:
+                end += 1
+                if tokens[node] >= 0:
+                    options.append((end, tokens[node]))
+            while True:
+                while options:
+                    end, token = options.pop()
+                    fits = apart.get((last + 1) << 32 | token)
+                    if (self._fits(last, token) if fits is None else fits) and (not dead or (end, token) not in dead):
+                        break
+                else:
+                    if not path:
+                        raise ValueError(f"{piece!r} has bytes that are in no token")
+                    dead.add((at, last))
+                    at, last, options = path.pop()
+                    continue
+                break
+            path.append((at, last, options))
+            at, last = end, token
+        return [step[1] for step in path[1:]] + [last]
+
+
+#: Code points up to which a pattern's classes are spelled out for the standard library's faster engine.
+NARROW = 0x3000
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """``findall`` of a pattern. Texts of code points below ``NARROW`` are split by the same pattern with its classes spelled out as ranges."""
+    wide = regex.compile(pattern).findall
+    found: dict[str, str] = {}
+
+    def spelled(name: str) -> str:
+        if name not in found:
+            member, ranges, start = regex.compile(name).match, [], None
+            for c in range(NARROW + 1):
+                inside = c < NARROW and member(chr(c)) is not None
+                if inside and start is None:
+                    start = c
+                elif not inside and start is not None:
+                    ranges.append(f"\\u{start:04x}-\\u{c - 1:04x}")
+                    start = None
+            found[name] = "".join(ranges)
+        return found[name]
+
+    out, in_class = [], False
+    for part in re.finditer(r"\\[pP]\{\w+\}|\\.|[\[\]]|[^\\\[\]]+", pattern, re.DOTALL):
+        name = part[0]
+        if name[0] == "\\" and name[1] in "pPsSwWdD":
+            name = spelled(name) if in_class else f"[{spelled(name)}]"
+        elif name in "[]":
+            in_class = name == "["
+        out.append(name)
+    try:
+        narrow = re.compile("".join(out)).findall
+    except re.error:  # a construct that only the other engine has
+        return wide
+    beyond = re.compile(f"[^\\u0000-\\u{NARROW - 1:04x}]").search
+    return lambda text: narrow(text) if beyond(text) is None else wide(text)
+
 
 class Encoder:
     """Texts to ids packed as little-endian unsigned 32-bit numbers; pieces are matches of ``pattern``."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.transducer = Transducer(ranks)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
