@@ -48,22 +48,30 @@ def _shared_folder(spark: SparkSession) -> str:
 
 _own: str | None = None
 
+#: Spark's setting that ends the shuffle files of a query with it.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Shared:
     """Tables written below the shared folder to cut lineage; a lost executor costs no recomputation of them.
 
     ``save`` writes and rereads one; ``drop`` deletes one that no later frame reads. What is left is
-    deleted when the interpreter ends.
+    deleted when the interpreter ends. With ``tidy`` the shuffle files of a table go as soon as it is written.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(TIDY, "false")
+        self.spark.conf.set(TIDY, "true" if self.tidy else before)
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(TIDY, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

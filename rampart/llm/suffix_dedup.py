@@ -8,7 +8,8 @@ equal suffixes of a block only the earliest goes on, so a passage of a third of
 
 Not every suffix is sorted. Each window of ``length`` bytes has an anchor, the least hashed ``GRAM`` bytes inside, and neighbouring
 windows with the same anchor are one run, sorted as one suffix. Equal windows have equal anchors, so only runs whose anchor
-has other bytes around it elsewhere hold windows that are shared in part; those are sorted window by window.
+has other bytes around it elsewhere hold windows that are shared in part. Those are cut, by their distance from the
+anchor, into short runs, whose windows have most of their bytes in common, and what is still shared in part into single windows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from .common import Shared, by_sizes, per_worker, quoted
 GRAM = 36
 #: Bytes of text that are sorted together; longer texts are cut into overlapping segments.
 BLOCK = 2_000_000
+#: How closely runs are looked at in turn: whole runs, windows within 8 bytes of each other, single windows.
+STEPS = (0, 8, 1)
+RANGE = ("id", "tag", "low", "high")
 #: Odd bases of the prefix hashes, tried in turn.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -162,8 +166,12 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
 
 
-def runs_of(text: Suffixes, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window and anchor hash of each run of ``windows`` (ascending starts of strings of ``length`` bytes)."""
+def runs_of(text: Suffixes, windows: np.ndarray, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window and key of each run of ``windows`` (ascending starts of strings of ``length`` bytes).
+
+    A run has one anchor, whose hash is the key; with a ``step``, also one distance from the anchor over ``step``, and the
+    key is the hash of what all windows at these distances share.
+    """
     places = np.arange(len(text.raw) - GRAM + 1)
     grams = text.grams(places, GRAM)
     least = (grams >> np.uint64(32) << np.uint64(32)) | places.astype(np.uint64)  # of equal hashes the first place
@@ -175,9 +183,12 @@ def runs_of(text: Suffixes, windows: np.ndarray, length: int) -> tuple[np.ndarra
     if rest:
         least = np.minimum(least[:-rest], least[rest:])
     anchor = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)]) if len(windows) else np.zeros(0, np.int64)
+    band = (anchor - windows) // step if step else np.zeros_like(anchor)
+    changes = (anchor[1:] != anchor[:-1]) | (band[1:] != band[:-1]) | (windows[1:] != windows[:-1] + 1)
+    new = np.flatnonzero(np.r_[True, changes])
     last = np.r_[new[1:], len(windows)] - 1
-    return windows[new], windows[last] if len(new) else new, grams[anchor[new]]
+    key = text.grams(anchor[new] - band[new] * step, length - step + 1) if step else grams[anchor[new]]
+    return windows[new], windows[last], key
 
 
 def _digests(raw: bytes, starts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
@@ -186,8 +197,8 @@ def _digests(raw: bytes, starts: np.ndarray, lengths: np.ndarray, size: int) ->
     return np.frombuffer(made, np.int64).reshape(len(starts), size // 8)
 
 
-def sort_block(segments: list[bytes], length: int, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (or, if ``single``, windows) of segments in corpus order: segment, first and last window in it, two keys, and whether an equal one comes earlier in the block."""
+def sort_block(segments: list[bytes], length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (with a ``step`` short ones, down to windows) of segments in corpus order: segment, first and last window in it, two keys, and whether an equal one comes earlier in the block."""
     raw = b"".join(segments)
     sizes = np.array([len(s) for s in segments], np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -198,7 +209,7 @@ def sort_block(segments: list[bytes], length: int, single: bool) -> tuple[np.nda
     for base in BASES:
         text = Suffixes(raw, base)
         # anchors come of the first base always: they must be the same in every block
-        low, high, key = (windows, windows, None) if single else runs_of(text if base == BASES[0] else Suffixes(raw), windows, length)
+        low, high, key = (windows, windows, None) if step == 1 else runs_of(text if base == BASES[0] else Suffixes(raw), windows, length, step)
         lengths = high - low + length
         try:
             order, same = text.sort(low, lengths)
@@ -211,7 +222,7 @@ def sort_block(segments: list[bytes], length: int, single: bool) -> tuple[np.nda
     again[order[same]] = True
     keys = np.zeros((len(low), 2), np.int64)
     new = np.flatnonzero(~again)
-    if single:
+    if step == 1:
         keys[new] = _digests(raw, low[new], lengths[new], 16)
     else:
         keys[:, 0] = key.view(np.int64)
@@ -243,8 +254,8 @@ def _sorted_rows(ids: list, tags: list) -> list[int]:
     return [i for k, i in enumerate(order) if not k or (ids[i], tags[i]) != (ids[order[k - 1]], tags[order[k - 1]])]
 
 
-def suffixes(rows: DataFrame, length: int, single: bool) -> DataFrame:
-    """id, tag, low, high, key1, key2, seen of the runs (or the windows in ``ranges``) of ``rows`` (id, tag, text, size[, ranges]).
+def suffixes(rows: DataFrame, length: int, step: int) -> DataFrame:
+    """id, tag, low, high, key1, key2, seen of the runs of ``rows`` (id, tag, text, size), or, with a ``step``, of the short runs in their ``ranges``.
 
     ``seen`` rows equal an earlier one of their block; their keys are dealt by place.
     """
@@ -259,7 +270,7 @@ def suffixes(rows: DataFrame, length: int, single: bool) -> DataFrame:
                 if sizes[row] < length:
                     continue
                 data = batch.column(2)[row].as_buffer().to_pybytes()
-                ranges = touching((r["low"], r["high"]) for r in batch.column(4)[row].as_py()) if single else [(0, len(data) - length)]
+                ranges = touching((r["low"], r["high"]) for r in batch.column(4)[row].as_py()) if step else [(0, len(data) - length)]
                 for low, high in ranges:
                     for at in range(low, high + 1, BLOCK):
                         piece = data[at:min(at + BLOCK - 1, high) + length]
@@ -274,7 +285,7 @@ def suffixes(rows: DataFrame, length: int, single: bool) -> DataFrame:
                 yield made(batch, owners, offsets, segments)
 
     def made(batch: pa.RecordBatch, owners: list[int], offsets: list[int], segments: list[bytes]) -> pa.RecordBatch:
-        segment, low, high, key1, key2, again = sort_block(segments, length, single)
+        segment, low, high, key1, key2, again = sort_block(segments, length, step)
         owner, offset = np.array(owners)[segment], np.array(offsets)[segment]
         low, high = low + offset, high + offset
         seen_low, seen_high, seen_owner = _joined(low[again], high[again], owner[again])
@@ -299,26 +310,35 @@ def _ranked(found: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", params: DedupParams = DedupParams()) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` as id, tag, text, size, and of each (id, tag) with repeated strings the ranges of their starts."""
-    shared = Shared(docs.sparkSession, "suffixes")
+    shared = Shared(docs.sparkSession, "suffixes", tidy=True)
     whole = F.coalesce(quoted(docs, text).cast("string"), F.lit(""))
     rows = docs.select(quoted(docs, id_col).alias("id"), whole.alias("text"))
     # rows that share an id are told apart by their texts
     shares = rows.groupBy("id").count().filter("count > 1").limit(1).count() > 0
     rows = rows.select("id", (F.xxhash64("text") if shares else F.lit(0).cast("long")).alias("tag"), F.encode("text", "UTF-8").alias("text"), F.octet_length("text").alias("size"))
 
-    runs = shared.save(_ranked(suffixes(rows, params.length, False)).drop("key2"), "runs")
-    several = runs.filter("not seen").groupBy("key1").count().filter("count > 1").select("key1")
-    mixed = runs.filter("not seen").join(several, "key1", "left_semi")
-    ranges = mixed.groupBy("id", "tag").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))  # within one text
-    ranges = shared.save(ranges, "mixed")
-    seen = shared.save(runs.filter("seen").select("id", "tag", "low", "high"), "seen_runs")
-    shared.drop("runs")
-    windows = rows.join(ranges.withColumnsRenamed({"id": "id_", "tag": "tag_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")))
-    windows = windows.select("id", "tag", "text", "size", "ranges")
-    single = shared.save(_ranked(suffixes(windows, params.length, True)).filter("seen").select("id", "tag", "low", "high"), "seen_windows")
-    shared.drop("mixed")
-    every = seen.unionByName(single).groupBy("id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    return rows, every
+    seen, left = [], rows
+    for step in STEPS:
+        name = f"step {step}"
+        found = _ranked(suffixes(left, params.length, step))
+        if step == 1:  # equal windows are equal in all their bytes
+            seen.append(shared.save(found.filter("seen").select(*RANGE), f"{name} seen"))
+            break
+        runs = shared.save(found.drop("key2"), name)
+        # keys with different bytes around them: their first occurrences are looked at more closely
+        several = runs.filter("not seen").groupBy("key1").count().filter("count > 1").select("key1")
+        mixed = runs.filter("not seen").join(several, "key1", "left_semi")
+        ranges = shared.save(mixed.groupBy("id", "tag").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), f"{name} mixed")  # of one text each
+        seen.append(shared.save(runs.filter("seen").select(*RANGE), f"{name} seen"))
+        shared.drop(name)
+        left = _with_ranges(rows, ranges, "inner")
+    every = seen[0].unionByName(seen[1]).unionByName(seen[2]).groupBy("id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return rows, shared.save(every, "every")
+
+
+def _with_ranges(rows: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
+    named = ranges.withColumnsRenamed({"id": "id_", "tag": "tag_"})
+    return rows.join(named, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), how).select("id", "tag", "text", "size", "ranges")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", params: DedupParams = DedupParams()) -> DataFrame:
@@ -330,8 +350,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", par
     """
     rows, every = repeats(docs, id_col, text, params)
     length, kind = params.length, rows.schema["id"].dataType.simpleString()
-    every = every.withColumnsRenamed({"id": "id_", "tag": "tag_"})
-    joined = rows.join(every, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), "left").select("id", "text", "size", "ranges")
+    joined = _with_ranges(rows, every, "left").select("id", "text", "size", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
