@@ -9,9 +9,10 @@ text are joined to the doc_ids that hold it.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,18 +45,48 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Fixed value: how byte-level tokenizers of this format split a text.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_encoder(description: bytes) -> tuple[dict[str, int], Callable[[list[str]], list[list[int]]]]:
+    """Entries and ids of a tokenizer description, and ids of texts without special tokens.
+
+    Where the description is plain byte-level BPE whose merges stand in the order of their ids, the same ids
+    come faster from the library that works on ranks; else from the description's own.
+    """
+    spec = json.loads(description)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    vocabulary = {**model["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model.get("merges", [])]
+    plain = (
+        model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        and not spec.get("normalizer") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and all(t["content"] not in model["vocab"] or t["special"] for t in spec["added_tokens"])
+        and merged == list(range(256, 256 + len(merged))) and set(model["vocab"].values()) >= set(range(256)))
+    if plain:
+        import tiktoken
+
+        letters, special = byte_level(), {t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(letters[c] for c in entry): number for entry, number in model["vocab"].items() if number not in special}
+        library = tiktoken.Encoding("plain", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return vocabulary, lambda texts: list(map(library.encode_ordinary, texts))
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    own = Tokenizer.from_buffer(description)
+    own.encode_special_tokens = True
+    return vocabulary, lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class Tokenizers:
     """Both tokenizers and the bytes of their entries."""
 
     def __init__(self, byte_bpe: bytes, pieces: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = Tokenizer.from_buffer(byte_bpe)
-        self.a.encode_special_tokens = True
+        vocabulary, self.encode_a = byte_encoder(byte_bpe)
         letters = byte_level()
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for entry, number in vocabulary.items():
             self.a_bytes[number] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
@@ -63,6 +94,7 @@ class Tokenizers:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.texts = GroupTexts(len(self.a_bytes), len(self.b_bytes))
 
     def _piece(self, number: int) -> bytes:
         entry = self.b.id_to_piece(number)
@@ -73,8 +105,8 @@ class Tokenizers:
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and of B of each text; none where the tokens' bytes are not those of a blank and the text."""
         found_b = self.b.encode(texts, num_threads=1)
-        for text, b, encoding in zip(texts, found_b, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)):
-            whole, a = b" " + text.encode(), encoding.ids
+        for text, a, b in zip(texts, self.encode_a([" " + t for t in texts]), found_b):
+            whole = b" " + text.encode()
             if text and b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole:
                 yield a, b
             else:
@@ -87,17 +119,28 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
 
 
-def group_text(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
-    """``a1,a2|b1;a3|b2``: the ids of each group."""
-    a_text, b_text = list(map(str, a)), list(map(str, b))
-    groups, i, j = [], 0, 0
-    for x, y in zip(a_cuts, b_cuts):
-        groups.append(f"{a_text[i]}|{b_text[j]}" if x == i + 1 and y == j + 1 else f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}")
-        i, j = x, y
-    return ";".join(groups)
+class GroupTexts:
+    """``a1,a2|b1;a3|b2``: the ids of each group, put together from entries that are written once."""
+
+    def __init__(self, ids_a: int, ids_b: int):
+        self.ids_a = ids_a
+        self.entries = [f"{i}{mark}" for n in (ids_a, ids_b) for i in range(n) for mark in ",|;"]
+
+    def codes(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
+        """Entries in order; A's last of a group closes with ``|``, B's with ``;``."""
+        codes = np.zeros(len(a) + len(b), np.int64)
+        ends_a, ends_b = np.cumsum(in_a), np.cumsum(in_b)
+        marks_a, marks_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        marks_a[ends_a - 1], marks_b[ends_b - 1] = 1, 2
+        codes[np.arange(len(a)) + np.repeat(ends_b - in_b, in_a)] = 3 * a + marks_a
+        codes[np.arange(len(b)) + np.repeat(ends_a, in_b)] = 3 * (self.ids_a + b) + marks_b
+        return codes
+
+    def write(self, codes: np.ndarray) -> str:
+        return "".join(map(self.entries.__getitem__, codes.tolist()))[:-1]
 
 
-def align(encoded: list[tuple[list[int], list[int]]], a_length: np.ndarray, b_length: np.ndarray) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+def align(encoded: list[tuple[list[int], list[int]]], a_length: np.ndarray, b_length: np.ndarray, texts: GroupTexts) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
     """Of each text, given as ids of A and of B with equal bytes: groups, links, groups as text, id pairs (a * IDS + b) in order, links of each."""
     for start, end in by_sizes([len(a) + len(b) for a, b in encoded], AT_ONCE):
         some = encoded[start:end]
@@ -109,6 +152,7 @@ def align(encoded: list[tuple[list[int], list[int]]], a_length: np.ndarray, b_le
         cuts_a, cuts_b = cuts_a + 1, cuts_b + 1  # tokens up to the end of each group; a text's end is one of them
         in_a, in_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
         last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        codes = texts.codes(a, b, in_a, in_b)
         groups_to = np.searchsorted(cuts_a, last_a, side="right")
         doc_of_group = np.repeat(np.arange(len(some)), np.diff(groups_to, prepend=0))
         links = np.bincount(doc_of_group, in_a * in_b, len(some)).astype(np.int64)
@@ -135,12 +179,11 @@ def align(encoded: list[tuple[list[int], list[int]]], a_length: np.ndarray, b_le
         times = np.add.reduceat(weight, new) if len(new) else weight
         pair, owner = pair[new], owner[new]
         to = np.searchsorted(owner, np.arange(len(some)), side="right")
-        group_at = pair_at = 0
-        for i, (ids_a, ids_b) in enumerate(some):
-            g = slice(group_at, groups_to[i])
-            done_a, done_b = last_a[i] - n_a[i], last_b[i] - n_b[i]
-            yield int(groups_to[i] - group_at), int(links[i]), group_text(ids_a, ids_b, (cuts_a[g] - done_a).tolist(), (cuts_b[g] - done_b).tolist()), pair[pair_at:to[i]], times[pair_at:to[i]]
-            group_at, pair_at = groups_to[i], to[i]
+        group_at = pair_at = code_at = 0
+        for i in range(len(some)):
+            code_to = last_a[i] + last_b[i]
+            yield int(groups_to[i] - group_at), int(links[i]), texts.write(codes[code_at:code_to]), pair[pair_at:to[i]], times[pair_at:to[i]]
+            group_at, pair_at, code_at = groups_to[i], to[i], code_to
 
 
 def align_texts(texts: DataFrame, byte_bpe: bytes, pieces: bytes) -> DataFrame:
@@ -154,7 +197,7 @@ def align_texts(texts: DataFrame, byte_bpe: bytes, pieces: bytes) -> DataFrame:
             for start, end in by_sizes(batch.column(3).to_pylist(), 400_000):
                 part = batch.slice(start, end - start)
                 encoded = list(both.encode(part.column(1).to_pylist()))
-                n_groups, n_links, groups, pairs, times = zip(*align(encoded, both.a_length, both.b_length))
+                n_groups, n_links, groups, pairs, times = zip(*align(encoded, both.a_length, both.b_length, both.texts))
                 to = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
                 links = pa.StructArray.from_arrays([pa.array(np.concatenate(pairs)), pa.array(np.concatenate(times))], names=["pair", "times"])
                 yield pa.RecordBatch.from_arrays(

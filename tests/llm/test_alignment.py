@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -105,12 +106,25 @@ def test_byte_letters_are_those_of_the_tokenizer():
         assert bytes(alignment.byte_level()[c] for c in written) == text.encode()
 
 
+def test_both_ways_to_the_first_tokenizer_agree():
+    description = Path(A).read_bytes()
+    own = Tokenizer.from_buffer(description)
+    own.encode_special_tokens = True
+    vocabulary, plain = alignment.byte_encoder(description)
+    other = json.loads(description)
+    other["pre_tokenizer"]["add_prefix_space"] = True  # no longer the plain form
+    texts = [" a{0}1{0} {0}{0}  {0}x'{0} <|endoftext|>".format(chr(c)) for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    assert plain(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert alignment.byte_encoder(json.dumps(other).encode())[1](texts[:300]) == plain([t if t[0] == " " else " " + t for t in texts[:300]])
+    assert vocabulary == own.get_vocab(with_added_tokens=True)
+
+
 def test_one_long_group_is_linked_by_distinct_ids(monkeypatch):
     a, a_length, b_length = [1, 2, 1] * 300, np.zeros(10, np.int64), np.zeros(10, np.int64)
     a_length[1], a_length[2] = 3, 2
     b_length[9], b_length[6] = a_length[a].sum() - 1, 1  # ends meet only at the end
     for most in (100, 1_000_000):
         monkeypatch.setattr(alignment, "AT_ONCE", most)
-        groups, links, text, pairs, times = next(alignment.align([(a, [9, 6])], a_length, b_length))
+        groups, links, text, pairs, times = next(alignment.align([(a, [9, 6])], a_length, b_length, alignment.GroupTexts(10, 10)))
         assert groups == 1 and links == 2 * len(a) and text == ",".join(map(str, a)) + "|9,6"
         assert {divmod(p, alignment.IDS): t for p, t in zip(pairs.tolist(), times.tolist())} == {(1, 9): 600, (1, 6): 600, (2, 9): 300, (2, 6): 300}
