@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rampart.functions.times import event_date, floor_div
@@ -14,8 +15,6 @@ from rampart.session import broadcast_if_small, checkpoint
 
 GENESIS = "00" * 32
 EMPTY_ROOT = hashlib.sha256(b"").hexdigest()
-# One aggregation folds at most this many nodes of a tree; larger batches take further rounds.
-CHUNK_BITS = 10
 
 
 def node(left: Column, right: Column) -> Column:
@@ -45,29 +44,77 @@ def _height(n: Column) -> Column:
     return F.when(n > 1, F.length(F.bin((n - 1).cast("bigint")))).otherwise(F.lit(0)).cast("int")
 
 
+def _parent(left: bytes, right: bytes) -> bytes:
+    return hashlib.sha256(left + right).digest()
+
+
+def _peaks(keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folds rows (batch columns, position, hash), which come in order, into the largest aligned subtrees that lie inside the task:
+    height, index among the subtrees of that height, hash. Two subtrees a level at most are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple | None = None
+        stack: list[tuple[int, int, bytes]] = []
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([*list(batch.schema)[:keys], ("height", pa.int32()), ("index", pa.int64()), ("hash", pa.binary())])
+            out: list[tuple] = []
+            columns = [batch.column(i).to_pylist() for i in range(keys + 2)]
+            for row in zip(*columns):
+                key, index, value = row[:keys], row[keys], bytes.fromhex(row[keys + 1])
+                if key != current:
+                    out += [(*current, *peak) for peak in stack] if stack else []
+                    current, stack = key, []
+                height = 0
+                while stack and index & 1 and stack[-1][:2] == (height, index - 1):
+                    value = _parent(stack.pop()[2], value)
+                    height, index = height + 1, index >> 1
+                stack.append((height, index, value))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * (keys + 3), schema)], schema=schema)
+        if stack:
+            rows = zip(*[(*current, *peak) for peak in stack])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(rows, schema)], schema=schema)
+
+    return run
+
+
+def fold_peaks(peaks: list[tuple[int, int, bytes]], leaves: int) -> bytes:
+    """The root over the peaks of all tasks; a lone last node of a level is paired with itself."""
+    levels: dict[int, dict[int, bytes]] = {}
+    for height, index, value in peaks:
+        levels.setdefault(height, {})[index] = value
+    height, size = 0, leaves
+    while size > 1:
+        here, up = levels.pop(height, {}), levels.setdefault(height + 1, {})
+        for index in sorted(here):
+            if index % 2 == 0:
+                up[index // 2] = _parent(here[index], here[index + 1] if index + 1 < size else here[index])
+        height, size = height + 1, (size + 1) // 2
+    return levels[height][0]
+
+
 def merkle_roots(df: DataFrame, batch: list[str], order: list[str], leaf: str = "raw_hash", positioned: str | None = None) -> DataFrame:
-    """``batch.., root, leaf_count``: the Merkle root of each ordered batch.
+    """``batch.., root, leaf_count``: the Merkle root of each ordered batch, of whatever size.
 
-    Leaves are folded 2**10 at a time, level group by level group, so a batch of any size is
-    hashed without collecting it. ``positioned`` names an existing 0-based position column.
+    Leaves are shuffled once, by range; each task folds its part of a batch into aligned subtrees, a few for each level, and these
+    are folded to the root. ``positioned`` names an existing 0-based position column.
     """
     if positioned is None:
         df, positioned = global_position(df.select(*batch, *dict.fromkeys([*order, leaf])), batch, order, "_pos"), "_pos"
-    level = df.select(*batch, F.col(positioned).cast("bigint").alias("_i"), F.lower(F.col(leaf)).alias("_h"))
-    sizes = level.groupBy(*batch).agg(F.count("*").alias("leaf_count"))
-    largest = sizes.agg(F.max("leaf_count")).first()[0] or 0
-    sizes = broadcast_if_small(sizes)
-    level = level.join(sizes, batch)
-    done = 0
-    while True:
-        chunk = F.shiftright("_i", CHUNK_BITS)
-        grouped = level.groupBy(*batch, "leaf_count", chunk.alias("_c")).agg(F.array_sort(F.collect_list(F.struct("_i", "_h"))).alias("_n"))
-        rest = F.greatest(_height(F.col("leaf_count")) - done, F.lit(0))
-        folded = _fold(F.transform("_n", lambda x: x["_h"]), F.least(rest, F.lit(CHUNK_BITS)))
-        level = grouped.select(*batch, "leaf_count", F.col("_c").alias("_i"), F.get(folded, F.lit(0)).alias("_h"))
-        done += CHUNK_BITS
-        if largest <= 2**done:
-            return level.select(*batch, F.col("_h").alias("root"), "leaf_count")
+    leaves = df.select(*batch, F.col(positioned).cast("bigint").alias("_i"), F.lower(F.col(leaf)).alias("_h"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = leaves.repartitionByRange(parts, *batch, "_i").sortWithinPartitions(*batch, "_i")
+    kinds = dict(leaves.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in batch)
+    peaks = ranged.mapInArrow(_peaks(len(batch)), f"{named}, height int, index bigint, hash binary")
+    every = peaks.groupBy(*batch).agg(F.collect_list(F.struct("height", "index", "hash")).alias("peaks"), F.sum(F.expr("shiftleft(1L, height)")).alias("leaf_count"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [fold_peaks([(p["height"], p["index"], p["hash"]) for p in peaks], n).hex() for peaks, n in zip(rows.column(len(batch)).to_pylist(), rows.column(len(batch) + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:len(batch)], pa.array(found, pa.string()), rows.column(len(batch) + 1)], names=[*batch, "root", "leaf_count"])
+
+    return every.mapInArrow(finish, f"{named}, root string, leaf_count bigint")
 
 
 def merkle_levels(leaves: Column) -> Column:
@@ -135,12 +182,16 @@ def seal_batches(bronze: DataFrame, batch_size: int = 1000, sealed_at_ns: int |
 
     Batches of ``batch_size`` events in ingest order get a Merkle root; every entry hashes the chained root of
     the one before it with its own root. The first links to 32 zero bytes, or to the ``chained_root`` that ``prev`` (``ledger,
-    chained_root``) holds for the ledger. The index maps each event to ``(ledger, ledger_seq, leaf_index)``.
+    chained_root``) holds for the ledger; where ``prev`` has ``entries``, numbering goes on from that number. The index maps each event to ``(ledger, ledger_seq, leaf_index)``.
     """
     day = event_date(F.col("ingest_time_ns"))
     named = bronze.select(F.concat_ws("/", day, "source_id").alias("ledger"), "event_uid", "ingest_time_ns", F.lower("raw_hash").alias("raw_hash"))
     placed = global_position(named, ["ledger"], ["ingest_time_ns", "event_uid"], "_pos")
-    placed = placed.withColumns({"seq": floor_div(F.col("_pos"), batch_size), "leaf_index": (F.col("_pos") % batch_size).cast("bigint")})
+    first_seq = F.lit(0).cast("bigint")
+    if prev is not None and "entries" in prev.columns:
+        placed = placed.join(broadcast_if_small(prev.select("ledger", F.col("entries").cast("bigint").alias("_entries"))), "ledger", "left")
+        first_seq = F.coalesce("_entries", first_seq)
+    placed = placed.withColumns({"seq": first_seq + floor_div(F.col("_pos"), batch_size), "leaf_index": (F.col("_pos") % batch_size).cast("bigint")})
     roots = merkle_roots(placed, ["ledger", "seq"], [], positioned="leaf_index").withColumnRenamed("root", "batch_root")
     ends = placed.groupBy("ledger", "seq").agg(F.min_by("event_uid", "leaf_index").alias("first_event_uid"), F.max_by("event_uid", "leaf_index").alias("last_event_uid"))
     entries = checkpoint(roots.join(ends, ["ledger", "seq"]))  # one row per batch, read twice below
@@ -158,6 +209,14 @@ def seal_batches(bronze: DataFrame, batch_size: int = 1000, sealed_at_ns: int |
     return ledger, placed.select("event_uid", "ledger", F.col("seq").alias("ledger_seq"), "leaf_index")
 
 
+def ledger_heads(ledger: DataFrame, prev: DataFrame | None = None) -> DataFrame:
+    """``ledger, chained_root, entries``: where each ledger stands after these entries; ledgers of ``prev`` without new ones stand where they stood."""
+    heads = ledger.groupBy("ledger").agg(F.max_by("chained_root", "seq").alias("chained_root"), (F.max("seq") + 1).cast("bigint").alias("entries"))
+    if prev is not None:
+        heads = heads.unionByName(prev).groupBy("ledger").agg(F.max_by("chained_root", "entries").alias("chained_root"), F.max("entries").alias("entries"))
+    return heads
+
+
 def check_links(ledger: DataFrame, prev: DataFrame | None = None) -> DataFrame:
     """Add ``link_ok`` to each entry: it follows the previous one (the first: ``prev``, see ``seal_batches``), links to its chained root and recomputes."""
     before = ledger.select(F.col("ledger").alias("_of"), (F.col("seq") + 1).alias("_next"), F.col("chained_root").alias("_prev"))

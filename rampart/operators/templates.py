@@ -19,7 +19,8 @@ DEPTH, SIMILARITY, MAX_CHILDREN = 5, 0.45, 100
 SAMPLES = 5
 
 
-def _tokens(c: Column) -> Column:
+def template_tokens(c: Column) -> Column:
+    """Tokens of a masked line."""
     return F.split(F.regexp_replace(strip(c), r"\s+", " "), " ")
 
 
@@ -121,7 +122,7 @@ def mine_templates(df: DataFrame, line: str = "line", depth: int = DEPTH, sim_th
     Only distinct masked lines with their counts are clustered, in buckets of source, token count
     and leading tokens; ids are a hash of source and final template.
     """
-    masked = df.withColumn("_masked", F.array_join(_tokens(mask_line(F.col(line))), " "))
+    masked = df.withColumn("_masked", F.array_join(template_tokens(mask_line(F.col(line))), " "))
     # everything below reads the distinct masked lines several times; the raw lines are masked once for it
     distinct = checkpoint(masked.groupBy("source_id", "_masked").agg(F.count("*").alias("n"), F.min("time").alias("first_ns")))
     tokens = F.split("_masked", " ")

@@ -61,9 +61,12 @@ def _(spark, d):
     return I.merkle_roots(leaves, ["ledger", "ledger_seq"], [], positioned="leaf_index").withColumnRenamed("ledger_seq", "seq")
 
 
-@query("merkle_roots_large")
+_LARGE_SQL = f"{FLOW_SQL}, b as (select source_type as ledger, raw_hash, row_number() over (partition by source_type order by \"time\", event_uid) - 1 as pos from flow), {_tree_sql(1 << 40, 24)}".replace(" as (select", " as materialized (select")
+
+
+@query("merkle_roots_large", f"{_LARGE_SQL} select l24.ledger as source_type, h as root, n.leaf_count from l24 join (select ledger, count(*) as leaf_count from b group by 1) n on n.ledger = l24.ledger")
 def _(spark, d):
-    """One tree over all rows of a source: several folding rounds."""
+    """One tree over all rows of a source, folded over many tasks."""
     return I.merkle_roots(V.flow(spark, d), ["source_type"], ["time", "event_uid"])
 
 

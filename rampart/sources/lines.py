@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rampart.functions.text import strip
 from rampart.functions.times import floor_div
+from rampart.session import broadcast_if_small
 
-# binaryFile rows hold whole files, so byte-exact reading is for files up to this size
-EXACT_FILE_BYTES = 128 * 1024 * 1024
+MARK = b"\xef\xbb\xbf"
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -22,24 +22,32 @@ def _lines(df: DataFrame) -> DataFrame:
         strip(raw) != "").drop("value")
 
 
+def _restore_marks(df: DataFrame) -> DataFrame:
+    """``df`` with the byte-order marks that the text reader drops at the start of files.
+
+    Every byte of a file is a line's, a newline, or the mark, so the sum of the lines tells whether there was one; a
+    last line without a newline counts one byte too many. Works on splits of any size, in any store.
+    """
+    files = df.groupBy("file_path").agg(F.max("file_size").alias("size"), F.sum(F.octet_length("value") + 1).alias("read"), F.min(F.struct("block_start", "row_id")).alias("first"))
+    left = F.col("size") - F.col("read")
+    unknown = F.raise_error(F.concat(F.lit("not a plain file of lines, its bytes do not add up: "), F.col("file_path")))
+    marked = F.when(left.isin(0, -1), False).when(left.isin(3, 2), True).otherwise(unknown.cast("boolean"))
+    first = files.filter(marked).select(F.col("file_path").alias("_file"), F.col("first.row_id").alias("_row"))
+    joined = df.join(broadcast_if_small(first), (F.col("file_path") == F.col("_file")) & (F.col("row_id") == F.col("_row")), "left")
+    value = F.when(F.col("_row").isNotNull(), F.concat(F.lit(MARK), F.col("value").cast("binary")).cast("string")).otherwise(F.col("value"))
+    return joined.withColumn("value", value).drop("_file", "_row")
+
+
 def read_log_lines(spark: SparkSession, path: str, byte_exact: bool = False) -> DataFrame:
-    """``raw, source_id, file_path, block_start, row_id`` of every non-blank line.
+    """``raw, source_id, file_path, block_start, row_id`` of every non-blank line; large files are read in ranges by many tasks.
 
-    The text reader drops a byte-order mark at the start of a file; ``byte_exact`` keeps it by
-    reading whole (small) files.
+    The text reader drops a byte-order mark at the start of a file; ``byte_exact`` reads plain (not compressed) files
+    and keeps it. A file of nothing but the mark has no line.
     """
-    if byte_exact:
-        files = spark.read.format("binaryFile").load(path)
-        files = files.filter(F.when(F.col("length") <= EXACT_FILE_BYTES, True).otherwise(F.raise_error(F.concat(F.lit("file too large for byte-exact reading: "), F.col("path")))))
-        # latin-1 keeps one character per byte, so splitting cannot damage other encodings
-        text = F.decode("content", "ISO-8859-1")
-        parts = files.select(F.col("path").alias("file_path"), F.posexplode(F.split(text, "\n", -1)).alias("row_id", "_t"))
-        cut = parts.withColumn("_t", F.regexp_replace("_t", "\r\\z", "")).filter(strip(F.col("_t")) != "")
-        name = F.regexp_extract("file_path", r"([^/]+)\z", 1)
-        return cut.select(F.encode("_t", "ISO-8859-1").alias("raw"), name.alias("source_id"), "file_path", F.lit(0).cast("bigint").alias("block_start"), F.col("row_id").cast("bigint"))
     df = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_name").alias("source_id"), F.col("_metadata.file_path").alias("file_path"),
-                                                     F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_id"))
-    return _lines(df)
+                                                     F.col("_metadata.file_block_start").alias("block_start"), F.col("_metadata.file_size").alias("file_size"),
+                                                     F.monotonically_increasing_id().alias("row_id"))
+    return _lines(_restore_marks(df) if byte_exact else df).select("source_id", "file_path", "block_start", "row_id", "raw")
 
 
 def stream_log_lines(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:

@@ -76,14 +76,40 @@ class CompactionResult:
         return asdict(self)
 
 
-def _fs(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
+    """A path and its file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def data_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that replaces one of its name as a whole."""
+    part, fs = folder(spark, f"{path}.{uuid.uuid4().hex}.part")
+    stream = fs.create(part, True)
+    stream.write(text.encode())
+    stream.close()
+    target, _ = folder(spark, path)
+    if not fs.rename(part, target):
+        fs.delete(target, False)
+        if not fs.rename(part, target) and not fs.exists(target):
+            raise OSError(f"{path} was not written")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file; none if there is no such file."""
+    at, fs = folder(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def data_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     """Parquet files under a folder with their sizes."""
-    path, fs = _fs(spark, folder)
+    path, fs = folder(spark, root)
     found, out = fs.listFiles(path, True), []
     while found.hasNext():
         status = found.next()
@@ -113,8 +139,8 @@ def load_files(spark: SparkSession, files: list[str], base: str | None = None) -
 def compact(spark: SparkSession, path: str, date: str, source_type: str, target_bytes: int = TARGET_BYTES, min_files: int = 2) -> CompactionResult:
     """Rewrite one partition as files of about ``target_bytes``; nothing is removed before the new
     files are complete. Fewer than ``min_files`` files are left as they are."""
-    folder = f"{path}/date={date}/source_type={source_type}"
-    files = data_files(spark, folder)
+    place = f"{path}/date={date}/source_type={source_type}"
+    files = data_files(spark, place)
     size = sum(n for _, n in files)
     if len(files) < max(min_files, 1):
         rows = spark.read.parquet(*[f for f, _ in files]).count() if files else 0
@@ -125,20 +151,20 @@ def compact(spark: SparkSession, path: str, date: str, source_type: str, target_
     df.repartition(max(1, -(-size // max(target_bytes, 1)))).write.option("compression", "zstd").parquet(staging)
     written = spark.read.parquet(staging)
     rows = written.count()
-    source, fs = _fs(spark, staging)
-    target, _ = _fs(spark, f"{folder}/run={run}")
+    source, fs = folder(spark, staging)
+    target, _ = folder(spark, f"{place}/run={run}")
     if not fs.rename(source, target):
         raise OSError(f"could not move {staging} into place")
     for name, _n in files:
-        old, _ = _fs(spark, name)
+        old, _ = folder(spark, name)
         fs.delete(old, False)
-    after = data_files(spark, f"{folder}/run={run}")
+    after = data_files(spark, f"{place}/run={run}")
     return CompactionResult(date, source_type, len(files), len(after), rows, size, sum(n for _, n in after), True)
 
 
 def partitions(spark: SparkSession, path: str, date: str | None = None) -> list[tuple[str, str]]:
     """Every (date, source_type) partition, from the folder names."""
-    root, fs = _fs(spark, path)
+    root, fs = folder(spark, path)
     out = []
     for day in fs.listStatus(root) if fs.exists(root) else []:
         name = day.getPath().getName()

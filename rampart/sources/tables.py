@@ -6,6 +6,8 @@ Each write belongs to a ``run``; a repeated run replaces exactly its own files
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rampart import schemas
 from rampart.functions.times import event_date
 from rampart.session import broadcast_if_small
-from rampart.sources.merging import data_files, load_files
+from rampart.sources.merging import data_files, folder, get_text, load_files, put_text
 
 
 def slug(c: Column) -> Column:
@@ -65,6 +67,49 @@ def read_bronze(spark: SparkSession, path: str, date: str | None = None, fmt: st
     return df.withColumn("raw", F.unbase64("raw")) if fmt == "json" else df
 
 
+def _partitions(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of the partition column ``key`` directly below ``path``."""
+    root, fs = folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n[len(key) + 1:] for n in names if n.startswith(f"{key}="))
+
+
+def mark_landed(spark: SparkSession, path: str, run: str) -> list[str]:
+    """Note that the run's bronze files are complete, with their dates; called once all of them are written."""
+    dates = []
+    for date in _partitions(spark, path, "date"):
+        at, fs = folder(spark, f"{path}/date={date}/run={run}")
+        if fs.exists(at):
+            dates.append(date)
+    put_text(spark, f"{path}/_runs/{run}.json", json.dumps(dates))
+    return dates
+
+
+def landed_dates(spark: SparkSession, path: str, run: str) -> list[str] | None:
+    """The dates of a run whose bronze files are complete; none if they are not."""
+    text = get_text(spark, f"{path}/_runs/{run}.json")
+    return None if text is None else json.loads(text)
+
+
+def read_bronze_run(spark: SparkSession, path: str, run: str, dates: list[str]) -> DataFrame:
+    """The raw events of one run, from its own folders."""
+    if not dates:
+        return spark.createDataFrame([], f"{schemas.RAW}, date string")
+    files = [f"{path}/date={date}/run={run}" for date in dates]
+    return spark.read.option("basePath", path).schema(f"{schemas.RAW}, date string, run string").parquet(*files).drop("run")
+
+
+def batch_numbers(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batches kept below ``path``."""
+    return sorted(map(int, _partitions(spark, path, "batch")))
+
+
+def drop_batches(spark: SparkSession, path: str, batches: list[int]) -> None:
+    for n in batches:
+        at, fs = folder(spark, f"{path}/batch={n}")
+        fs.delete(at, True)
+
+
 def read_bronze_located(spark: SparkSession, path: str, date: str | None = None, fmt: str = "json") -> DataFrame:
     """Raw events with ``locator`` = ``<partition>/<file>#L<n>``.
 
@@ -92,25 +137,90 @@ def bronze_by_uid(df: DataFrame, uid: str) -> DataFrame:
 # -- silver -----------------------------------------------------------------------------------
 
 
+#: Types of one class are read as the widest of them; Parquet's reader widens inside a class.
+_CLASSES = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double"}
+
+
+def _kind(simple: str) -> str:
+    return _CLASSES.get(simple, simple)
+
+
+def _stored_kinds(spark: SparkSession, path: str) -> dict[str, set[str]]:
+    """Stored columns and the classes of type they were written with, from the notes beside the table (one per schema ever written)."""
+    root, fs = folder(spark, f"{path}/_schema")
+    kinds: dict[str, set[str]] = {}
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        note = status.getPath().toString()
+        for name, kind in json.loads(get_text(spark, note) or "{}").items() if note.endswith(".json") else ():
+            kinds.setdefault(name, set()).add(kind)
+    return kinds
+
+
+def _typed_name(name: str, kind: str) -> str:
+    """The stored name of a column whose type is not the one that others of this name have."""
+    return f"{name}@@{kind if kind.isalnum() else hashlib.sha256(kind.encode()).hexdigest()[:8]}"
+
+
 def write_silver(df: DataFrame, path: str, run: str | None = None) -> None:
-    """Silver rows as ZSTD Parquet by event date (ingest date for events without a time) and source type."""
+    """Silver rows as ZSTD Parquet by event date (ingest date for events without a time) and source type.
+
+    The columns and their types are noted beside the table before the rows are written, one note per schema, so
+    readers need no footers. A column whose type is of another class than the stored one goes under a name of its own.
+    """
     ingest = F.col("ingest_time_ns") if "ingest_time_ns" in df.columns else None
-    out = df.withColumns({"date": event_date(F.col("time"), ingest), "source_type": slug(F.col("source_type"))})
-    _write(out.drop("ingest_time_ns"), path, ["date", "source_type"], "parquet", run, compression="zstd")
+    out = df.withColumns({"date": event_date(F.col("time"), ingest), "source_type": slug(F.col("source_type"))}).drop("ingest_time_ns")
+    stored, columns, note = _stored_kinds(df.sparkSession, path), [], {}
+    declared = schemas.SILVER
+    for name, simple in out.dtypes:
+        if name in ("date", "source_type"):
+            columns.append(F.col(name))
+            continue
+        kind = _kind(simple)
+        first = _kind(declared[name]) if name in declared else min(stored.get(name, {kind}))
+        as_named = name if kind == first else _typed_name(name, kind)
+        note[as_named] = kind
+        columns.append(F.col(f"`{name}`").alias(as_named))
+    text = json.dumps(note, sort_keys=True)
+    put_text(df.sparkSession, f"{path}/_schema/{hashlib.sha256(text.encode()).hexdigest()[:16]}.json", text)
+    _write(out.select(*columns), path, ["date", "source_type"], "parquet", run, compression="zstd")
+
+
+def _united(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns stored under several types as one: numbers as doubles, others as JSON text, as compaction leaves them."""
+    groups: dict[str, list[str]] = {}
+    for stored in df.columns:
+        groups.setdefault(stored.rsplit("@@", 1)[0] if stored in kinds else stored, []).append(stored)
+    columns = []
+    for name, parts in groups.items():
+        refs = [F.col(f"`{p}`") for p in parts]
+        if len(parts) == 1:
+            columns.append(refs[0].alias(name))
+        elif all(kinds.get(p) in ("bigint", "double") for p in parts):
+            columns.append(F.coalesce(*[r.cast("double") for r in refs]).alias(name))
+        else:
+            as_text = [F.when(r.isNotNull(), F.regexp_replace(F.to_json(F.array(r)), r"(?s)^\[(.*)\]\z", "$1")) for r in refs]
+            columns.append(F.coalesce(*as_text).alias(name))
+    return df.select(*columns)
 
 
 def read_silver(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
-    """Silver rows of all files, columns united by name, ``date`` as text; a typed empty frame when
-    there is no data. ``columns`` declares the schema and saves reading every footer."""
+    """Silver rows, columns united by name, ``date`` as text; a typed empty frame when there is no data.
+
+    The schema comes from the notes of the writers; no file is opened for it. Tables that were written without notes are
+    read by their footers. ``columns`` declares further columns.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], schemas.ddl(schemas.SILVER))
-    if columns is not None:
-        declared = {**schemas.SILVER, **columns, "run": "string"}
-        return spark.read.schema(schemas.ddl(declared)).parquet(path).drop("run")
-    files = [name for name, _ in data_files(spark, path)]
-    if not files:
-        return spark.createDataFrame([], schemas.ddl(schemas.SILVER))
-    return load_files(spark, files, path).drop("run")
+    stored = _stored_kinds(spark, path)
+    if not stored and columns is None:
+        files = [name for name, _ in data_files(spark, path)]
+        return load_files(spark, files, path).drop("run") if files else spark.createDataFrame([], schemas.ddl(schemas.SILVER))
+    clash = sorted(name for name, kinds in stored.items() if len(kinds) > 1)
+    if clash:  # two first writers at once
+        return load_files(spark, [name for name, _ in data_files(spark, path)], path).drop("run")
+    kinds = {name: next(iter(found)) for name, found in stored.items()}
+    declared = {**kinds, **{n: t for n, t in schemas.SILVER.items() if n in kinds or n in ("date", "source_type") or columns is not None}, **(columns or {}), "run": "string"}
+    return _united(spark.read.schema(schemas.ddl(declared)).parquet(path).drop("run"), kinds)
 
 
 # -- dead letters ---------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rampart.operators.engines import zeek_cell
-from rampart.session import broadcast_if_small
+from rampart.session import broadcast_if_small, checkpoint
 
 
 def _directive(name: str) -> Column:
@@ -38,23 +38,33 @@ def header_states(lines: DataFrame, stream: list[str], order: list[str]) -> Data
     return heads.withColumn("_bad", F.coalesce(bad, F.lit(False))).select(*stream, *order, "separator", "set_separator", "empty_field", "unset_field", "names", "list_names", "_bad")
 
 
+def with_last_header(lines: DataFrame, stream: list[str], order: list[str]) -> DataFrame:
+    """Add ``_head``: the order columns of the last directive line at or before each line of its stream, null before the first.
+
+    Lines are range-partitioned; inside a partition the last one is carried from line to line, and what earlier partitions end
+    with comes from a table of a row per stream and partition. So a stream of any length, with any number of headers, is one
+    pass of many tasks.
+    """
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    fixed = checkpoint(lines.repartitionByRange(parts, *stream, *order).withColumn("_p", F.spark_partition_id()))
+    here = F.when(F.col("line").startswith("#"), F.struct(*order))
+    ends = fixed.groupBy(*stream, "_p").agg(F.max(here).alias("_end"))
+    earlier = Window.partitionBy(*stream).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*stream, "_p", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*stream, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = fixed.withColumn("_inside", F.last(here, ignorenulls=True).over(inside)).join(broadcast_if_small(carried), [*stream, "_p"])
+    return placed.withColumn("_head", F.coalesce("_inside", "_carried")).drop("_inside", "_carried", "_p")
+
+
 def parse_zeek_tsv(lines: DataFrame, stream: list[str], order: list[str]) -> DataFrame:
     """Data rows of Zeek files in ``line`` with ``fields`` and ``parse_error``; directive rows are left out.
 
-    ``stream`` names the columns of one file, ``order`` its line order. Each data row meets the last
-    header before it: headers carry the range of lines they hold for, so a large file
-    is parsed by all its tasks.
+    ``stream`` names the columns of one file, ``order`` its line order, which is total. Each data row takes the state after the
+    last directive before it.
     """
-    heads = header_states(lines, stream, order)
-    w = Window.partitionBy(*stream).orderBy(*order)
-    at = F.struct(*order)
-    spans = heads.withColumn("_from", at).withColumn("_to", F.lead(F.struct(*order)).over(w))
-    renamed = spans.select(*[F.col(s).alias(f"_s_{s}") for s in stream], "_from", "_to", "separator", "set_separator", "empty_field", "unset_field", "names", "list_names", "_bad")
-    data = lines.filter(~F.col("line").startswith("#")).withColumn("_at", at)
-    on = (F.col("_at") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
-    for s in stream:
-        on = on & (F.col(s) == F.col(f"_s_{s}"))
-    joined = data.join(broadcast_if_small(renamed), on, "left")
+    heads = header_states(lines, stream, order).withColumn("_head", F.struct(*order)).drop(*order)
+    data = with_last_header(lines, stream, order).filter(~F.col("line").startswith("#"))
+    joined = data.join(broadcast_if_small(heads), [*stream, "_head"], "left")
     cells = F.split(F.regexp_replace("line", r"[\r\n]+\z", ""), F.concat(F.lit(r"\Q"), F.col("separator"), F.lit(r"\E")), -1)
     extra = F.transform(F.when(F.size(cells) > F.size("names"), F.sequence(F.size("names"), F.size(cells) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("_extra."), i.cast("string")))
     keys = F.slice(F.concat("names", extra), F.lit(1), F.least(F.size(cells), F.size("names") + F.size(extra)))

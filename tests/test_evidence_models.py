@@ -85,14 +85,14 @@ def test_drift_scenarios(spark):
         DriftConfig(alpha=0)
 
 
-def test_mining_in_pieces_finds_the_same_shapes(spark):
+def test_mining_finds_the_shapes_of_lines_and_of_one_bucket(spark):
     lines = [f"user u{i} logged in from 10.0.0.{i % 200} port {i}" for i in range(300)] + [f"disk usage sd{chr(97 + i % 26)} at {i} percent" for i in range(200)] + ["", "single"]
     df = spark.createDataFrame([("s", x, i) for i, x in enumerate(lines)], "source_id string, line string, time bigint")
     mined = T.mine_templates(df).cache()
     assert mined.count() == len(lines)
     assert {r["template"]: r["count"] for r in mined.groupBy("template").count().collect()} == {"user <*> logged in from <IP> port <NUM>": 300, "disk usage <*> at <NUM> percent": 200, "": 1, "single": 1}
-    pieces = T.cluster_lines(spark.createDataFrame([("b", f"user u{i} in", i) for i in range(100)], "bucket string, text string, first_ns bigint"), chunk=7)
-    assert {r["template"] for r in pieces.collect()} == {"user <*> in"} and pieces.count() == 100
+    bucket = T.cluster_lines(spark.createDataFrame([("b", f"user u{i} in", i) for i in range(100)], "bucket string, text string, first_ns bigint"))
+    assert {r["template"] for r in bucket.collect()} == {"user <*> in"} and bucket.count() == 100
     params = T.template_params(mined).filter("line like 'user u7 %'").first()["params"]
     assert params == ["u7", "10.0.0.7", "7"]
 
