@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import per_worker, quoted
+from .common import per_worker, quoted, slices, small_batches
 
 #: The states, the pieces of two generations and the pairs of tokens known to stay apart are forgotten beyond these numbers, which bounds memory and changes no result.
 MOST_STATES = 40_000
@@ -379,6 +379,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = _Vocabulary(docs.sparkSession, (ranks, pattern))
+    small_batches(docs.sparkSession)
 
     def build() -> tuple[Encoder, Decoder]:
         return Encoder(*shared.value), Decoder(shared.value[0])
@@ -386,8 +387,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = per_worker("tokenizer", shared.id, build) if keep else build()
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
+            for part in slices(batch, 200):
                 ids = [encoder(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(decoder, ids), pa.string())],

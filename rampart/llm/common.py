@@ -9,6 +9,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -114,3 +115,17 @@ def by_sizes(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
 def by_chars(texts: Sequence[str | None], most: int) -> Iterator[tuple[int, int]]:
     """The same by the characters of ``texts``."""
     return by_sizes([len(text or "") for text in texts], most)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand tasks batches of ``rows`` rows, unless the session sets its own number: texts are wide, and a batch exists on both sides at a time."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, "10000") == "10000":
+        spark.conf.set(setting, str(rows))
+
+
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, for what is made of its rows to be held a part at a time; then the memory that is free goes back."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()

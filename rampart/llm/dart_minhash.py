@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Shared, by_chars, free_name, quoted, quoted_name, text_key
+from .common import Shared, by_chars, free_name, quoted, quoted_name, slices, small_batches, text_key
 from .components import components
 
 _WORD = re.compile(r"\w+")
@@ -151,7 +151,7 @@ def sketch_texts(texts: list, params: DartParams, chars: int = 1_000_000) -> Ite
 
 def _sketches(params: DartParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, start = batch.column(2).to_pylist(), 0
             for kept, has in sketch_texts(texts, params):
                 n = len(kept)
@@ -171,7 +171,7 @@ def _sketches(params: DartParams):
 def _fine_sketches(params: DartParams):
     """One bit of each of ``fine`` coordinates, packed in 64-bit words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, start = batch.column(1).to_pylist(), 0
             for first, last in by_chars(texts, 200_000):
                 owner, element, count = shingles(texts[first:last], params.shingle)
@@ -206,7 +206,7 @@ def weighted_jaccard(a: str, b: str, span: int) -> float:
 def _verified(params: DartParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, of_hub = None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ok = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 a, b = a.as_py(), b.as_py()
@@ -227,6 +227,7 @@ def near_copies(docs: DataFrame, shared: Shared, params: DartParams = DartParams
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(quoted(docs, id_col).alias("id"), text_key(quoted(docs, text).cast("string")).alias("key"), quoted(docs, text).cast("string").alias("text")).filter("text is not null")
+    small_batches(docs.sparkSession)
     sketched = rows.mapInArrow(_sketches(params), f"id {kind}, key binary, bands array<long>")
     texts = shared.save(sketched.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")), "texts")
     members = texts.filter("bands is not null").select("key", F.posexplode("bands").alias("band", "value"))

@@ -12,11 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Shared, by_chars, free_name, quoted, quoted_name
+from .common import Shared, by_chars, free_name, quoted, slices, small_batches
 
 #: White space of the word rule; the rest of a text is words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -265,14 +264,17 @@ def _judging(refs: list, rules: QualityRules):
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the rules keep."""
-    flag = free_name(docs, "kept")
     decide = _judging(references(docs, text, lang, rules), rules)
+    small_batches(docs.sparkSession)
+    width = len(docs.columns)
 
-    @F.pandas_udf("boolean")
-    def kept(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        columns = [pa.nulls(len(texts)), pa.array(texts, pa.string(), from_pandas=True), pa.array(langs, pa.string(), from_pandas=True)]
-        batch = pa.RecordBatch.from_arrays(columns, names=["id", "text", "lang"])
-        return pd.Series([x for part in decide(iter([batch])) for x in part.column("kept").to_pylist()], dtype=bool)
-
-    return docs.withColumn(flag, kept(quoted(docs, text).cast("string"), _language(docs, lang))).filter(quoted_name(flag)).drop(flag)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                own = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows), part.column(width), part.column(width + 1)], names=["id", "text", "lang"])
+                kept = pa.concat_arrays([judged.column("kept") for judged in decide(iter([own]))])
+                yield pa.RecordBatch.from_arrays(part.columns[:width], schema=pa.schema(list(part.schema)[:width])).filter(kept)
+
+    judged_text, judged_lang = free_name(docs, "rp_judged_text"), free_name(docs, "rp_judged_lang")
+    columns = [quoted(docs, c) for c in docs.columns]
+    return docs.select(*columns, quoted(docs, text).cast("string").alias(judged_text), _language(docs, lang).alias(judged_lang)).mapInArrow(run, docs.schema)
