@@ -33,7 +33,7 @@ def search(df: DataFrame, filters: dict, limit: int | None = None, most: int = M
         elif key in SILVER:
             df = df.filter(F.col(key) == F.lit(value))
         else:
-            raise ValueError(f"unknown filter column: {key!r}")
+            raise ValueError(f"events cannot be filtered by {key!r}")
     return df if limit is None else recent_events(df, limit, most)
 
 
@@ -93,7 +93,7 @@ def silver_between(df: DataFrame, date_from: str, date_to: str, sources: list[st
     if end < start:
         raise ValueError(f"{date_to} is before {date_from}")
     if (end - start).days >= MAX_RANGE_DAYS:
-        raise ValueError(f"date range too wide: {(end - start).days + 1} days (max {MAX_RANGE_DAYS})")
+        raise ValueError(f"{(end - start).days + 1} days asked for, {MAX_RANGE_DAYS} is the most")
     df = df.filter(F.col("date").between(date_from, date_to))
     return df if sources is None else df.filter(F.col("source_type").isin(sources))
 

@@ -27,8 +27,7 @@ def root_of(leaves):
     return level[0].hex()
 
 
-def test_merkle_roots_of_many_sizes(spark, monkeypatch):
-    monkeypatch.setattr(I, "CHUNK_BITS", 2)  # several folding rounds on small batches
+def test_merkle_roots_of_many_sizes(spark):
     sizes = [1, 2, 3, 4, 5, 7, 8, 9, 16, 17, 21, 33]
     rows = [(f"b{n}", i, hashlib.sha256(f"{n}/{i}".encode()).hexdigest()) for n in sizes for i in range(n)]
     got = {r["b"]: (r["root"], r["leaf_count"]) for r in I.merkle_roots(spark.createDataFrame(rows, "b string, i bigint, raw_hash string"), ["b"], ["i"]).collect()}
