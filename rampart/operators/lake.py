@@ -81,6 +81,29 @@ def page(df: DataFrame, number: int, size: int = 50) -> tuple[DataFrame, int]:
     return df.orderBy(*_newest_first(df)).offset((number - 1) * size).limit(size), df.count()
 
 
+def page_after(df: DataFrame, cursor: tuple[int | None, str] | None = None, size: int = 50) -> DataFrame:
+    """The page that follows ``cursor``, newest first; the first one without a cursor.
+
+    A cursor is the time and the id of the last row seen (``cursor_of``). Rows up to it are filtered, not sorted, so any
+    page is a top-k of what is left, and rows that arrive in between shift nothing.
+    """
+    if not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows, not {size}")
+    order = [F.col("time").desc_nulls_last(), F.col("event_uid").asc()]
+    if cursor is not None:
+        at, uid = cursor
+        later_id = F.col("event_uid") > F.lit(uid)
+        untimed = F.col("time").isNull()
+        df = df.filter(untimed & later_id) if at is None else df.filter(untimed | (F.col("time") < F.lit(at)) | ((F.col("time") == F.lit(at)) & later_id))
+    return df.orderBy(*order).limit(size)
+
+
+def cursor_of(rows: DataFrame) -> tuple[int | None, str] | None:
+    """The cursor after a page; none after an empty one. A page is at most ``MAX_PAGE`` rows."""
+    last = rows.select("time", "event_uid").collect()[-1:]
+    return (last[0]["time"], last[0]["event_uid"]) if last else None
+
+
 def recent_per_source(df: DataFrame, n: int) -> DataFrame:
     """The ``n`` newest rows of every source; Spark prunes to ``n`` per partition before the shuffle."""
     w = Window.partitionBy("source_type").orderBy(*_newest_first(df))

@@ -89,6 +89,15 @@ def _(spark, d):
     return rows.select(*CORE_COLUMNS, F.lit(total).cast("bigint").alias("total"))
 
 
+@query("page_after", f"{FLOW_SQL} select {CORE} from flow order by \"time\" desc nulls last, event_uid limit 50 offset 100")
+def _(spark, d):
+    """The third page, by the cursors of the first two."""
+    flow, cursor = V.flow(spark, d), None
+    for _ in range(2):
+        cursor = lake.cursor_of(lake.page_after(flow, cursor, 50))
+    return lake.page_after(flow, cursor, 50).select(*CORE_COLUMNS)
+
+
 @query("recent_per_source", f"{FLOW_SQL} select {CORE} from flow qualify row_number() over (partition by source_type order by \"time\" desc nulls last, event_uid) <= 20")
 def _(spark, d):
     return lake.recent_per_source(V.flow(spark, d), 20).select(*CORE_COLUMNS)

@@ -159,3 +159,19 @@ def test_domains_walk_up_to_but_not_into_the_top_level(spark):
     hosts = ["x.A.example.com.", "b.example.com", "example.com", "other.com", "com", "localhost", None]
     rows = lookups.ioc_domain_join(spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, host string"), "host", iocs).orderBy("i").collect()
     assert [r["hit"] and r["hit"]["indicator"] for r in rows] == ["a.example.com", "example.com", "example.com", None, "com", "localhost", None]
+
+
+def test_pages_by_cursor_are_those_by_number(spark):
+    from rampart.operators import lake
+
+    rows = [(f"e{i:03d}", None if i % 7 == 0 else (i * 37) % 50) for i in range(100)]
+    df = spark.createDataFrame(rows, "event_uid string, time bigint")
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    got, cursor = [], None
+    while True:
+        rows = lake.page_after(df, cursor, 17)
+        cursor = lake.cursor_of(rows)
+        if cursor is None:
+            break
+        got += [tuple(r) for r in rows.collect()]
+    assert got == want
