@@ -48,6 +48,18 @@ def _seeds(frame: DataFrame, params: SeedParams, whole: bool) -> DataFrame:
     return at.select("*", F.explode(F.array(*hashes)).alias("seed"))
 
 
+def _goes_on(words: Column, at: Column, item: Column, item_at: Column, params: SeedParams) -> Column:
+    """Whether the windows one word earlier hit as well. They are on the same diagonal, which has its first hit to be judged by."""
+    hits = F.lit(False)
+    for mask in params.masks:
+        same = (at > 0) & (item_at > 0) & (at - 1 + len(mask) <= F.size(words)) & (item_at - 1 + len(mask) <= F.size(item))
+        for i, c in enumerate(mask):
+            if c == "1":
+                same = same & (F.get(words, at - 1 + i) == F.get(item, item_at - 1 + i))
+        hits = hits | same
+    return hits
+
+
 def _overlap(words: Column, item: Column, shift: Column) -> Column:
     """Best stretch of the diagonal where item word i stands at document word i + shift: score, start in the document and in the item, words, equal words."""
     doc_from, item_from = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
@@ -86,6 +98,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedPar
         own = _seeds(part.select("item", F.col("item_words").alias("words")), params, whole=True).filter("seed is not null").select("item", F.xxhash64("words").alias("which"), F.col("at").alias("item_at"), "seed")
         texts = part.select(F.xxhash64("item_words").alias("which"), "item_words").distinct()
         hits = doc_seeds.join(F.broadcast(own), "seed").join(F.broadcast(texts), "which")
+        hits = hits.filter(~_goes_on(F.col("words"), F.col("at"), F.col("item_words"), F.col("item_at"), params))  # a long copy is compared once, not at every word
         best = hits.select("id", "text", "item", _overlap(F.col("words"), F.col("item_words"), F.col("at") - F.col("item_at")).alias("o")).filter(F.col("o.score") >= params.min_score)
         one = best.select("id", text_key(F.col("text")).alias("key"), "item", "o").groupBy("id", "key", "item").agg(F.max("o").alias("o"))
         found = one if found is None else found.unionByName(one)

@@ -197,3 +197,22 @@ def test_registered_overlaps_against_brute_force(spark):
     docs, items = (db.execute(f"select * from '{FOLDER}/{t}.parquet'").fetchall() for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in queries.QUERIES["op9_decontaminate"](spark, FOLDER).collect()}
     assert got == overlaps_by_hand([r[:2] for r in docs], items)
+
+
+def test_a_long_copy_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        rng = random.Random(n)
+        item = words(rng, n)
+        copy = list(item)
+        copy[n // 2] = "other"
+        docs = spark.createDataFrame([(1, " ".join(words(rng, 50) + copy)), (2, " ".join(item[:7]))], "doc_id long, text string")
+        bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+        began = time.time()
+        got = [(r["doc_id"], r["score"], r["n_words"], r["n_equal"]) for r in decontaminate.overlaps(docs, bench).collect()]
+        assert got == [(1, n - 2, n, n - 1)]
+        return time.time() - began
+
+    seconds(200)
+    assert seconds(8_000) < 8 * max(seconds(2_000), 1.0)
