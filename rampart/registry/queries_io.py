@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rampart.catalog import bundled
 from rampart.functions.times import NS
 from rampart.operators import integrity as I
+from rampart.operators.drift import DriftConfig
 from rampart.plans.normalize import dead_letters, normalize
 from rampart.plans.reprocess import Lake
 from rampart.registry import query, views as V
-from rampart.registry.queries_jobs import BRONZE_SQL, E
+from rampart.registry.queries_jobs import BRONZE_SQL, E, drift_sql, templated
 from rampart.registry.queries_parse import NORMAL_SQL, raw_lines
 from rampart.registry.views import FLOW_SQL
 from rampart.schemas import RAW
@@ -206,3 +207,19 @@ def _(spark, d):
     out.trigger(availableNow=True).start().awaitTermination()
     kept = spark.read.parquet(f"{path}/out")
     return kept.select("src_ip", "window_start", "connection_count", F.col("distinct_dst_ips").cast("bigint"), F.col("distinct_dst_ports").cast("bigint"), F.col("total_bytes_out").cast("bigint"))
+
+
+@query("stream_template_drift", drift_sql("(max(us) // 1000 - 3 * 86400000) // 43200000 - 1", "e"))
+def _(spark, d):
+    """Two micro-batches whose times overlap by up to two days, with a watermark of three: the signals of all windows it has closed."""
+    path = scratch_folder(spark, "drift")
+    mined = templated(spark, d).select("source_id", "template_id", "time")
+    ends = mined.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()
+    if ends["low"] is None:
+        return spark.createDataFrame([], "source_id string, template_id string, window_index bigint, observed bigint, z_score double, direction string")
+    about = F.col("time") + (F.crc32(F.col("time").cast("string")) % 172_800 - 86_400) * NS
+    stream = _in_two(mined, f"{path}/in", about < (ends["low"] + ends["high"]) // 2)
+    signals = jobs.stream_template_drift(stream, DriftConfig(z_threshold=2.0, window_minutes=720.0), "3 days")
+    out = signals.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(signals.schema).parquet(f"{path}/out").select("source_id", "template_id", "window_index", "observed", "z_score", "direction")

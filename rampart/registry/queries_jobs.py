@@ -211,12 +211,17 @@ def _(spark, d):
     return out.select("source_id", "template_id", *[F.round(F.get("rates_per_minute", F.lit(i)), 6).alias(f"p{i}") for i in range(5)])
 
 
-@query("template_drift_ewma", f"""with recursive {EVENT_SQL}, m as (select 'dev' || (user_id % 3) as source_id, cast(event_id % 4 as varchar) as template_id, us * 1000 // {43200 * NS} as w from e), c as (select source_id, template_id, w, count(*) as n from m group by all),
- b as (select max(w) as last from c), g as (select source_id, template_id, min(w) as first from c group by 1, 2), z as (select g.source_id, g.template_id, w.w, coalesce(c.n, 0) as n, w.w - g.first as i from g, b, lateral (select unnest(range(g.first, b.last + 1)) as w) w left join c on c.source_id = g.source_id and c.template_id = g.template_id and c.w = w.w),
+def drift_sql(last: str, rows: str) -> str:
+    """The drift of 12-hour windows up to window ``last``, an expression over ``rows``."""
+    return f"""with recursive {EVENT_SQL}, m as (select 'dev' || (user_id % 3) as source_id, cast(event_id % 4 as varchar) as template_id, us * 1000 // {43200 * NS} as w from e), c as (select source_id, template_id, w, count(*) as n from m group by all),
+ b as (select {last} as last from {rows}), g as (select source_id, template_id, min(w) as first from c group by 1, 2), z as (select g.source_id, g.template_id, w.w, coalesce(c.n, 0) as n, w.w - g.first as i from g, b, lateral (select unnest(range(g.first, b.last + 1)) as w) w left join c on c.source_id = g.source_id and c.template_id = g.template_id and c.w = w.w),
  r(source_id, template_id, i, w, n, before, seen, after, z) as (select source_id, template_id, i, w, n, cast(null as double), 0, n / 720.0, cast(null as double) from z where i = 0 union all
  select z.source_id, z.template_id, z.i, z.w, z.n, r.after, r.seen + 1, case when r.seen + 1 >= 3 and r.after > 0 and abs((z.n - r.after * 720) / sqrt(r.after * 720)) >= 2 then r.after else 0.3 * (z.n / 720.0) + 0.7 * r.after end, case when r.seen + 1 >= 3 and r.after > 0 then (z.n - r.after * 720) / sqrt(r.after * 720) end
  from z join r on z.source_id = r.source_id and z.template_id = r.template_id and z.i = r.i + 1)
- select source_id, template_id, w as window_index, n as observed, round(z, 4) as z_score, case when z > 0 then 'spike' else 'drop' end as direction from r where abs(z) >= 2""")
+ select source_id, template_id, w as window_index, n as observed, round(z, 4) as z_score, case when z > 0 then 'spike' else 'drop' end as direction from r where abs(z) >= 2"""
+
+
+@query("template_drift_ewma", drift_sql("max(w)", "c"))
 def _(spark, d):
     cfg = DriftConfig(z_threshold=2.0, window_minutes=720.0)
     out = template_drift_ewma(window_counts(templated(spark, d), 720.0), cfg)

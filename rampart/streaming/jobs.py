@@ -72,16 +72,33 @@ def dedup_stream(df: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def stream_window_features(events: DataFrame, window: str = "5 minutes", watermark: str = "10 minutes", exact: bool = False) -> DataFrame:
-    """Window aggregates per source address on a stream; distinct counts are estimates unless ``exact``
-    (which keeps the sets in state)."""
-    distinct = (lambda c: F.size(F.collect_set(c))) if exact else F.approx_count_distinct
+    """Window aggregates per source address on a stream; distinct counts are estimates unless ``exact``.
+
+    Exact counts chain two aggregations: the first keeps a state row per window, address and different value, the second adds
+    them up when the watermark closes the window. So no buffer grows with a hot address, and its values spread over all tasks.
+    """
     amount = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
-    stamped = events.withColumn("event_ts", to_timestamp(F.col("time"))).withColumn("_proto", protocol_number(events))
-    grouped = stamped.filter(F.col("src_ip").isNotNull()).withWatermark("event_ts", watermark).groupBy(F.window("event_ts", window), "src_ip")
+    stamped = events.filter(F.col("src_ip").isNotNull()).select(
+        to_timestamp(F.col("time")).alias("event_ts"), "src_ip", "dst_ip", "dst_port", protocol_number(events).alias("protocol_num"),
+        F.coalesce((F.col("action_id") == 2).cast("int"), F.lit(0)).alias("deny"), amount("bytes_out").alias("bytes_out"), (amount("bytes_in") + amount("bytes_out")).alias("volume"),
+    ).withWatermark("event_ts", watermark)
+    counted = ("dst_ip", "dst_port", "protocol_num")
+    if exact:
+        fact = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+        facts = stamped.withColumn("fact", F.explode(F.array(fact("", F.lit(None)), *[fact(c, F.col(c)) for c in counted]))).select("*", "fact.kind", "fact.value")
+        values = facts.filter((F.col("kind") == "") | F.col("value").isNotNull()).groupBy(F.window("event_ts", window), "src_ip", "kind", "value").agg(
+            F.count("*").alias("n"), F.sum("deny").alias("deny"), F.sum("bytes_out").alias("bytes_out"), F.sum("volume").alias("volume"))
+        whole = lambda c: F.sum(F.when(F.col("kind") == "", F.col(c)))
+        grouped, n = values.groupBy(F.window(F.window_time("window"), window), "src_ip"), whole("n")
+        distinct = lambda c: F.count_if(F.col("kind") == c)
+        deny, out, volume = whole("deny") / n, whole("bytes_out"), whole("volume") / n
+    else:
+        grouped, n, distinct = stamped.groupBy(F.window("event_ts", window), "src_ip"), F.count("*"), F.approx_count_distinct
+        deny, out, volume = F.avg("deny"), F.sum("bytes_out"), F.avg("volume")
+    names = ("distinct_dst_ips", "distinct_dst_ports", "distinct_protocols")
+    ips, ports, protocols = (distinct(c).alias(name) for c, name in zip(counted, names))
     return grouped.agg(
-        F.count("*").alias("connection_count"), distinct("dst_ip").alias("distinct_dst_ips"), distinct("dst_port").alias("distinct_dst_ports"),
-        F.avg(F.coalesce((F.col("action_id") == 2).cast("int"), F.lit(0))).alias("deny_ratio"), F.sum(amount("bytes_out")).alias("total_bytes_out"),
-        F.avg(amount("bytes_in") + amount("bytes_out")).alias("mean_bytes_per_conn"), distinct("_proto").alias("distinct_protocols"),
+        n.alias("connection_count"), ips, ports, deny.alias("deny_ratio"), out.alias("total_bytes_out"), volume.alias("mean_bytes_per_conn"), protocols,
     ).select(F.unix_micros("window.start").alias("_us"), "*").withColumn("window_start", F.col("_us") * 1000).drop("_us", "window")
 
 
@@ -98,48 +115,41 @@ def stream_scoring(ticks: DataFrame, model: IsolationForest, lake: Lake, minutes
     return ticks.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
 
 
-def stream_template_drift(mined: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
+def stream_template_drift(mined: DataFrame, cfg: DriftConfig = DriftConfig(), watermark: str = "10 minutes") -> DataFrame:
     """Drift signals per template on a stream of mined lines (``source_id, template_id, time``).
 
-    State per template: baseline, windows folded, the open window and its count; it survives
-    restarts with the query checkpoint. A processing-time timer closes windows of templates that
-    have fallen silent.
+    State per template: baseline, windows folded, the first open window and the counts of the open ones. A window closes when the
+    watermark passes its end, so rows may come in any order within the watermark and the signals are those of
+    ``template_drift_ewma`` over the closed windows; a timer on event time closes the empty windows of silent templates.
+    Rows of closed windows are late and left out, and so are rows without a time.
     """
-    width_ns = int(cfg.window_minutes * 60) * 1_000_000_000
+    width_ms = int(cfg.window_minutes * 60) * 1000
     names = [c.split()[0] for c in SIGNAL_SCHEMA.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        baseline, seen, window, count = state.get if state.exists else (0.0, 0, None, 0)
-        folded = (baseline, seen) if seen else None
+        kept = json.loads(state.get[0]) if state.exists else {"baseline": None, "first": None, "open": {}}
+        counts = {int(w): n for w, n in kept["open"].items()}
+        folded, first = kept["baseline"] and tuple(kept["baseline"]), kept["first"]
+        if not state.hasTimedOut:
+            for pdf in frames:
+                for w, n in (pdf["time"] // (width_ms * 1_000_000)).value_counts().items():
+                    if first is None or w >= first:
+                        counts[int(w)] = counts.get(int(w), 0) + int(n)
+        begin = min(counts, default=0) if first is None else first
+        end = state.getCurrentWatermarkMs() // width_ms  # windows before this one have ended
         out = []
-
-        def close() -> None:
-            nonlocal folded
-            folded, signal = advance(folded, count, cfg)
+        for w in range(begin, end):
+            folded, signal = advance(folded, counts.pop(w, 0), cfg)
             if signal is not None:
-                out.append((*key, window, *signal))
-
-        if state.hasTimedOut:
-            close()
-            window, count = window + 1, 0
-        else:
-            counts: dict[int, int] = {}
-            for pdf in frames:
-                for w, n in (pdf["time"] // width_ns).value_counts().items():
-                    counts[int(w)] = counts.get(int(w), 0) + int(n)
-            for w in sorted(counts):
-                if window is None:
-                    window = w
-                while window < w:
-                    close()
-                    window, count = window + 1, 0
-                count += counts[w]  # late rows count into the open window
-        state.update((folded[0] if folded else 0.0, folded[1] if folded else 0, window, count))
-        state.setTimeoutDuration(int(cfg.window_minutes * 60_000))
+                out.append((*key, w, *signal))
+        first = end if end > begin else first
+        state.update((json.dumps({"baseline": folded, "first": first, "open": counts}),))
+        state.setTimeoutTimestamp((max(begin, end) + 1) * width_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return mined.select("source_id", "template_id", "time").groupBy("source_id", "template_id").applyInPandasWithState(
-        run, SIGNAL_SCHEMA, "baseline double, seen bigint, window bigint, count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = mined.filter(F.col("time").isNotNull()).select("source_id", "template_id", "time", to_timestamp(F.col("time")).alias("event_ts"))
+    return timed.withWatermark("event_ts", watermark).groupBy("source_id", "template_id").applyInPandasWithState(
+        run, SIGNAL_SCHEMA, "drift string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def seal_batch(raw: DataFrame, batch_id: int, lake: Lake, batch_size: int = 1000) -> None:

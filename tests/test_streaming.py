@@ -1,10 +1,8 @@
-import time
-
 from pyspark.sql import functions as F
 
 from lines import INGEST, NS, SAMPLES, raw_events
 from rampart.catalog import bundled
-from rampart.operators.drift import DriftConfig
+from rampart.operators.drift import DriftConfig, template_drift_ewma, window_counts
 from rampart.plans.reprocess import Lake
 from rampart.schemas import RAW
 from rampart.sources import tables as tb
@@ -56,22 +54,36 @@ def test_windows_dedup_and_seal(spark, tmp_path):
     assert spark.read.parquet(lake.ledger).agg(F.sum("leaf_count")).first()[0] == 6
 
 
-def test_drift_state_carries_over_batches(spark, tmp_path):
+def drift_signals(spark, folder, parts, watermark, cfg):
+    """Signals of a stream that takes one part for each run; state is kept between runs."""
     schema = "source_id string, template_id string, time bigint"
-    cfg = DriftConfig(window_minutes=5)
-    path, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for first, counts in ((0, [20, 20, 20]), (3, [20, 200, 20])):
-        rows = [("s", "t", ((first + w) * 300 + i) * NS) for w, n in enumerate(counts) for i in range(n)]
+    path, out = str(folder / "in"), str(folder / "out")
+    for rows in parts:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(schema).parquet(path)
-        writer = jobs.stream_template_drift(stream, cfg).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "ck"))
-        q = writer.trigger(processingTime="200 milliseconds").outputMode("append").start()  # timers keep such a query running
-        limit = time.time() + 60
-        while time.time() < limit and sum(p["numInputRows"] for p in q.recentProgress) < len(rows):
-            time.sleep(0.2)
-        q.stop()
-    rows = spark.read.json(out).collect()
-    assert [(r["window_index"], r["observed"], r["direction"]) for r in rows] == [(4, 200, "spike")]
+        signals = jobs.stream_template_drift(spark.readStream.schema(schema).parquet(path), cfg, watermark)
+        writer = signals.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(folder / "ck"))
+        writer.trigger(availableNow=True).start().awaitTermination(90)
+    rows = spark.read.schema(signals.schema).parquet(out).orderBy("template_id", "window_index").collect()
+    return [(r["template_id"], r["window_index"], r["observed"], r["direction"]) for r in rows]
+
+
+def test_drift_state_carries_over_batches(spark, tmp_path):
+    parts = [[("s", "t", ((first + w) * 300 + i) * NS) for w, n in enumerate(counts) for i in range(n)] for first, counts in ((0, [20, 20, 20]), (3, [20, 200, 20]))]
+    assert drift_signals(spark, tmp_path, parts, "0 seconds", DriftConfig(window_minutes=5)) == [("t", 4, 200, "spike")]
+
+
+def test_drift_by_event_time(spark, tmp_path):
+    """Shuffled rows, a template that falls silent, one without a time and one late: as the batch finds it over the closed windows."""
+    cfg = DriftConfig(window_minutes=5)
+    shape = {"steady": [20] * 12, "silent": [30] * 5 + [0] * 7, "spiky": [10] * 6 + [150] + [10] * 5}
+    rows = [("s", t, (w * 300 + i) * NS) for t, counts in shape.items() for w, n in enumerate(counts) for i in range(n)]
+    halves = [sorted((r for r in rows if (r[2] // NS // 300 < 6) == early), key=lambda r: hash(r[2] * 31 + len(r[1])) % 1009) for early in (True, False)]
+    swapped = [halves[0][:-40] + halves[1][:40], halves[0][-40:] + halves[1][40:] + [("s", "steady", None)]]
+    got = drift_signals(spark, tmp_path, [*swapped, [("s", "spiky", 7 * NS), ("s", "steady", 13 * 3600 * NS)]], "1 hour", cfg)
+    times = spark.createDataFrame(rows + [("s", "steady", 13 * 3600 * NS)], "source_id string, template_id string, time bigint")
+    batch = template_drift_ewma(window_counts(times, 5), cfg, last_window=12 * 12 - 1).orderBy("template_id", "window_index").collect()
+    assert got == [(r["template_id"], r["window_index"], r["observed"], r["direction"]) for r in batch]
+    assert ("spiky", 6, 150, "spike") in got and ("silent", 5, 0, "drop") in got
 
 
 def test_templates_are_carried_between_batches(spark, tmp_path):
