@@ -271,10 +271,15 @@ def verify_events(bronze: DataFrame, index: DataFrame, ledger: DataFrame, prev:
 
 
 def event_proof(bronze: DataFrame, index: DataFrame, ledger: DataFrame, event_uid: str, prev: DataFrame | None = None) -> DataFrame:
-    """The proof of one event: only its own batch is read."""
-    spot = index.filter(F.col("event_uid") == event_uid).select("ledger", "ledger_seq")
-    mine = index.join(F.broadcast(spot), ["ledger", "ledger_seq"], "left_semi")
-    siblings = bronze.join(broadcast_if_small(mine.select("event_uid")), "event_uid", "left_semi")
+    """The proof of one event. A ledger is named by its ingest date, so of a bronze table with dates only that
+    partition is read; of it, the events of the batch."""
+    spot = index.filter(F.col("event_uid") == event_uid).select("ledger", "ledger_seq").first()
+    if spot is None:  # not sealed: the event alone
+        mine, siblings = index.limit(0), bronze.filter(F.col("event_uid") == event_uid)
+    else:
+        mine = index.filter((F.col("ledger") == spot["ledger"]) & (F.col("ledger_seq") == spot["ledger_seq"]))
+        day = bronze.filter(F.col("date") == spot["ledger"].split("/")[0]) if "date" in bronze.columns else bronze
+        siblings = day.join(broadcast_if_small(mine.select("event_uid")), "event_uid", "left_semi")
     return verify_events(siblings, mine, ledger, prev).filter(F.col("event_uid") == event_uid)
 
 

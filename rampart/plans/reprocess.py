@@ -18,7 +18,7 @@ from rampart.operators.flatten import to_silver
 from rampart.operators.normalize import match_source, prepare
 from rampart.plans.normalize import accepted, dead_letters, normalize
 from rampart.schemas import SILVER_CORE
-from rampart.sources.tables import read_bronze, read_dead_letters, read_resolutions, read_silver, write_dead_letters, write_resolutions, write_silver
+from rampart.sources.tables import bronze_on, read_bronze, read_dead_letters, read_resolutions, read_silver, uid_dates, write_dead_letters, write_resolutions, write_silver
 
 
 @dataclass(frozen=True)
@@ -114,10 +114,14 @@ def reprocess(spark: SparkSession, lake: Lake, defs: list[Definition], date: str
 
 def replay_dead_letters(spark: SparkSession, lake: Lake, defs: list[Definition], reason: str | None = None, since_ns: int | None = None,
                         dry_run: bool = False, enrich: Callable[[DataFrame], DataFrame] | None = None) -> dict:
-    """Run unresolved dead letters again; successes land in silver and are marked resolved, the letters stay."""
+    """Run unresolved dead letters again; successes land in silver and are marked resolved, the letters stay.
+
+    Bronze is read for the days named in the letters' ids only; where one of them names none, all of it.
+    """
     dead, done = read_dead_letters(spark, lake.dead_letters), read_resolutions(spark, lake.resolutions)
     letters = filter_dead_letters(dead, done, reason=reason, since_ns=since_ns, unresolved_only=True).dropDuplicates(["event_uid"])
-    candidates = replay_source(letters, read_bronze(spark, lake.bronze))
+    letters = letters.persist(StorageLevel.DISK_ONLY)
+    candidates = replay_source(letters, bronze_on(read_bronze(spark, lake.bronze), uid_dates(letters)))
     outcomes = normalize(candidates, defs, enrich).persist(StorageLevel.DISK_ONLY)
     try:
         counts = outcomes.agg(F.count("*").alias("candidates"), F.count_if(F.col("status") != "dead").alias("succeeded")).first()
@@ -134,6 +138,7 @@ def replay_dead_letters(spark: SparkSession, lake: Lake, defs: list[Definition],
         return report
     finally:
         outcomes.unpersist()
+        letters.unpersist()
 
 
 # -- reproducibility ------------------------------------------------------------------------

@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rampart.catalog import bundled
+from rampart.definitions import Definition
 from rampart.functions.times import NS
 from rampart.operators import integrity as I
 from rampart.operators.drift import DriftConfig
-from rampart.plans.normalize import dead_letters, normalize
-from rampart.plans.reprocess import Lake
+from rampart.operators.flatten import to_silver
+from rampart.plans.normalize import accepted, dead_letters, normalize
+from rampart.plans.reprocess import Lake, replay_dead_letters, reprocess
 from rampart.registry import query, views as V
-from rampart.registry.queries_jobs import BRONZE_SQL, E, drift_sql, templated
+from rampart.registry.queries_jobs import BRONZE_SQL, E, T0, drift_sql, templated
 from rampart.registry.queries_parse import NORMAL_SQL, raw_lines
 from rampart.registry.views import FLOW_SQL
 from rampart.schemas import RAW
 from rampart.session import scratch_folder
 from rampart.sources import tables as tb
-from rampart.sources.lines import read_log_lines
+from rampart.sources.lines import event_uid, read_log_lines
 from rampart.sources.merging import compact_all
 from rampart.streaming import jobs
 
 _DAY = "strftime(make_timestamp(1704067200000000 + doc_id * 1000), '%Y-%m-%d')"
 
 
+def _flow_defs() -> list[Definition]:
+    return [x for x in bundled() if x.name == "aws_vpc_flow"]
+
+
 def _lake(spark: SparkSession, name: str) -> Lake:
     return Lake(scratch_folder(spark, name))
 
@@ -76,6 +82,48 @@ def _(spark, d):
     return tb.bronze_by_uid(tb.read_bronze(spark, path), raw.agg(F.max("event_uid")).first()[0]).select("event_uid", "raw_hash")
 
 
+def _minted(spark: SparkSession, d: str) -> DataFrame:
+    """Raw lines of some thirty days with ids in the library's own layout, and the ``number`` of each."""
+    raw = raw_lines(spark, d).withColumnRenamed("event_uid", "number")
+    return raw.withColumn("event_uid", event_uid(F.col("ingest_time_ns"), F.col("number")))
+
+
+@query("bronze_by_minted_uid", f"{E} select event_id from e where event_id = (select max(event_id) from events)")
+def _(spark, d):
+    """The id names its day, so three partitions are read at most."""
+    path = _lake(spark, "minted").bronze
+    raw = _minted(spark, d)
+    tb.write_bronze(raw.drop("number"), path, run="first")
+    last = raw.agg(F.max_by("event_uid", F.col("number").cast("bigint"))).first()[0]
+    found = tb.bronze_by_uid(tb.read_bronze(spark, path), last or "").select("event_uid")
+    return found.join(raw.select("event_uid", "number"), "event_uid").select(F.col("number").cast("bigint").alias("event_id"))
+
+
+@query("reprocess_day", f"{NORMAL_SQL}, day as (select n.status from n join e using (event_id) where strftime(make_timestamp(e.us + 5000000), '%Y-%m-%d') = '2024-01-02') select count(*) as in_scope, count(*) filter (status <> 'dead') as normalized, count(*) filter (status = 'dead') as dead_lettered, count(*) filter (status <> 'dead') as unchanged from day")
+def _(spark, d):
+    """One ingest date again by the same definition: every event has its previous row, and no row differs."""
+    lake, defs, raw = _lake(spark, "again"), _flow_defs(), _minted(spark, d).drop("number")
+    tb.write_bronze(raw, lake.bronze, run="first")
+    tb.write_silver(to_silver(accepted(normalize(raw, defs))), lake.silver, run="first")
+    report = reprocess(spark, lake, defs, "2024-01-02", compare=True)
+    counts = [report["in_scope"], report["normalized"], report["dead_lettered"], report["compare"]["unchanged"]]
+    return spark.createDataFrame([tuple(counts)], "in_scope bigint, normalized bigint, dead_lettered bigint, unchanged bigint")
+
+
+@query("replay_dead_letters", f"{NORMAL_SQL} select event_id, 'unknown' as source_type, 'invalid_ip' as reason from n where status = 'dead'")
+def _(spark, d):
+    """Letters of one definition replayed without it, from bronze; a second replay finds none unresolved."""
+    lake, raw = _lake(spark, "replayed"), _minted(spark, d)
+    tb.write_bronze(raw.drop("number"), lake.bronze, run="first")
+    tb.write_dead_letters(dead_letters(normalize(raw.drop("number"), _flow_defs()), T0 + 40 * 86_400 * NS), lake.dead_letters, run="first")
+    others = [x for x in bundled() if x.name == "iptables"]
+    for _ in range(2):
+        replay_dead_letters(spark, lake, others)
+    reasons = tb.read_resolutions(spark, lake.resolutions).select("event_uid", F.get_json_object("detail", "$.original_reason").alias("reason"))
+    silver = tb.read_silver(spark, lake.silver).select("event_uid", "source_type")
+    return silver.join(reasons, "event_uid").join(raw.select("event_uid", F.col("number").cast("bigint").alias("event_id")), "event_uid").drop("event_uid")
+
+
 # -- silver -------------------------------------------------------------------------------------
 
 
@@ -113,7 +161,7 @@ def _(spark, d):
 @query("dead_letter_table", f"{NORMAL_SQL} select event_uid, 'invalid_ip' as reason, 'normalize' as stage, '2024-01-02' as date from n where status = 'dead'")
 def _(spark, d):
     lake = _lake(spark, "dead")
-    tb.write_dead_letters(dead_letters(normalize(raw_lines(spark, d), [x for x in bundled() if x.name == "aws_vpc_flow"]), 1_704_153_600 * NS), lake.dead_letters, run="a")
+    tb.write_dead_letters(dead_letters(normalize(raw_lines(spark, d), _flow_defs()), 1_704_153_600 * NS), lake.dead_letters, run="a")
     return tb.read_dead_letters(spark, lake.dead_letters).select("event_uid", "reason", "stage", "date")
 
 
@@ -147,7 +195,7 @@ def _in_two(df: DataFrame, path: str, half) -> DataFrame:
 @query("stream_to_lake", f"""{NORMAL_SQL} select event_uid, case when source_type = 'aws_vpc_flow' then source_type else 'unknown' end as source_type from n where status <> 'dead'""")
 def _(spark, d):
     """Raw events in two micro-batches, the second of which is repeated, by one of the definitions."""
-    lake, defs = _lake(spark, "landed"), [x for x in bundled() if x.name == "aws_vpc_flow"]
+    lake, defs = _lake(spark, "landed"), _flow_defs()
     raw = raw_lines(spark, d)
     stream = _in_two(raw, f"{lake.root}/in", F.crc32("event_uid") % 2 == 0)
     jobs.run_stream(stream, lake, defs, f"{lake.root}/checkpoint").start().awaitTermination()

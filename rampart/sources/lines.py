@@ -69,6 +69,13 @@ def event_uid(ingest_ns: Column, *origin: Column) -> Column:
     return F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), part(1, 3), F.lit("-8"), part(4, 3), F.lit("-"), part(7, 12))
 
 
+def uid_date(uid: Column) -> Column:
+    """The UTC date an id of :func:`event_uid` was minted on; null for ids in another layout."""
+    text = F.lower(uid)
+    ms = F.conv(F.concat(F.substring(text, 1, 8), F.substring(text, 10, 4)), 16, 10).cast("bigint")
+    return F.when(text.rlike(r"\A[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}\z"), F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"))
+
+
 def to_raw_events(df: DataFrame, source_id: str | None = None, transport: str = "file", ingest_time_ns: int | None = None) -> DataFrame:
     """Admit raw bytes: id, SHA-256 over the untouched bytes, length and ingest time.
 

@@ -6,6 +6,7 @@ Each write belongs to a ``run``; a repeated run replaces exactly its own files
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rampart import schemas
 from rampart.functions.times import event_date
 from rampart.session import broadcast_if_small
+from rampart.sources.lines import uid_date
 from rampart.sources.merging import data_files, folder, get_text, load_files, put_text
 
 
@@ -50,13 +52,14 @@ def _day(ns: str) -> Column:
 
 
 def write_bronze(df: DataFrame, path: str, fmt: str = "parquet", run: str | None = None) -> None:
-    """Append raw events by ingest date, as Parquet or as gzipped JSON lines with base64 bytes."""
+    """Append raw events by ingest date, as Parquet (with Bloom filters of the ids) or as gzipped JSON lines with base64 bytes."""
     out = df.withColumn("date", _day("ingest_time_ns"))
     if fmt == "json":
         out = out.withColumn("raw", F.regexp_replace(F.base64("raw"), "[\r\n]", ""))
         _write(out, path, ["date"], "json", run, compression="gzip", ignoreNullFields="false")
     else:
-        _write(out, path, ["date"], "parquet", run, compression="zstd")
+        bloom = {"parquet.bloom.filter.enabled#event_uid": "true", "parquet.bloom.filter.adaptive.enabled#event_uid": "true"}
+        _write(out, path, ["date"], "parquet", run, compression="zstd", **bloom)
 
 
 def read_bronze(spark: SparkSession, path: str, date: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -130,8 +133,30 @@ def read_bronze_located(spark: SparkSession, path: str, date: str | None = None,
     return out.drop("_f", "_b", "_id", "_first", "_before", "run")
 
 
+def around(date: str) -> list[str]:
+    """A date with its neighbours: an id minted at midnight may be stored on the next day."""
+    day = dt.date.fromisoformat(date)
+    return [str(day + dt.timedelta(days=n)) for n in (-1, 0, 1)]
+
+
+def bronze_on(df: DataFrame, dates: list[str] | None) -> DataFrame:
+    """The partitions of bronze around ``dates``; all of them for none."""
+    if dates is None:
+        return df
+    return df.filter(F.col("date").isin(sorted({d for date in dates for d in around(date)})))
+
+
+def uid_dates(df: DataFrame) -> list[str] | None:
+    """The dates in the ids of ``df``, one per day to the driver; none where an id has no date in it."""
+    dates = [r[0] for r in df.select(uid_date(F.col("event_uid")).alias("d")).distinct().collect()]
+    return None if None in dates else dates
+
+
 def bronze_by_uid(df: DataFrame, uid: str) -> DataFrame:
-    return df.filter(F.col("event_uid") == uid)
+    """The raw event of an id. The id names its day, so only that partition and its neighbours are read,
+    and of their files those whose Bloom filters hold the id; ids in another layout are sought in all."""
+    date = df.sparkSession.range(1).select(uid_date(F.lit(uid))).first()[0]
+    return bronze_on(df, None if date is None or "date" not in df.columns else [date]).filter(F.col("event_uid") == uid)
 
 
 # -- silver -----------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from rampart.plans.reprocess import Lake, replay_dead_letters, reprocess
 from rampart.sources import tables as tb
 from rampart.sources.fanout import Sink, write_all
 from rampart.sources.iocs import read_iocs
-from rampart.sources.lines import read_log_lines, to_raw_events
+from rampart.sources.lines import event_uid, read_log_lines, to_raw_events, uid_date
 from rampart.sources.merging import compact, compact_all, partitions, reconcile_types, union_frames
 
 
@@ -43,6 +43,32 @@ def test_bronze(spark, tmp_path, fmt):
     assert all(r["locator"].startswith(f"date={day}/") for r in located) and len({r["locator"] for r in located}) == 3 and numbers[0] == "1"
 
 
+def test_lookups_read_only_the_days_of_the_ids(spark, tmp_path):
+    path = str(tmp_path / "bronze")
+    raw = to_raw_events(spark.range(600).select(F.concat(F.lit("line "), F.col("id").cast("string")).cast("binary").alias("raw"), F.col("id").alias("row_id")), "s", ingest_time_ns=INGEST)
+    days = raw.withColumn("ingest_time_ns", F.col("ingest_time_ns") + F.substring(F.decode("raw", "UTF-8"), 6, 9).cast("bigint") % 6 * 86_400 * NS)
+    days = days.withColumn("event_uid", event_uid(F.col("ingest_time_ns"), F.col("raw_hash")))
+    tb.write_bronze(days, path, run="a")
+    table = tb.read_bronze(spark, path)
+    dates = sorted(r[0] for r in table.select("date").distinct().collect())
+    one = table.filter(F.col("date") == dates[3]).first()
+    found = tb.bronze_by_uid(table, one["event_uid"])
+    scan = next(line for line in found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).splitlines() if "PartitionFilters" in line)
+    limits = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert found.count() == 1 and [d in limits for d in dates] == [False, False, True, True, True, False] and f"EqualTo(event_uid,{one['event_uid'][:8]}" in scan
+    assert table.filter(uid_date(F.col("event_uid")) != F.col("date")).count() == 0
+    assert tb.uid_dates(table.filter(F.col("date") == dates[0])) == [dates[0]]
+    assert tb.uid_dates(spark.createDataFrame([("u1",), (one["event_uid"],), (None,)], "event_uid string")) is None
+    assert tb.bronze_on(table, []).count() == 0 and tb.bronze_on(table, None).count() == 600
+    for name in found.inputFiles()[:1]:  # the id column has a Bloom filter
+        jvm = spark._jvm.org.apache
+        at = jvm.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.hadoop.fs.Path(name), spark._jsc.hadoopConfiguration())
+        reader = jvm.parquet.hadoop.ParquetFileReader.open(at)
+        columns = reader.getFooter().getBlocks().get(0).getColumns()
+        assert columns.get(0).getPath().toDotString() == "event_uid" and columns.get(0).getBloomFilterOffset() > 0 > columns.get(1).getBloomFilterOffset()
+        reader.close()
+
+
 def test_silver_and_dead_letters(spark, tmp_path):
     lake = Lake(str(tmp_path))
     assert tb.read_silver(spark, lake.silver).columns[:3] == ["event_uid", "raw_hash", "time"]
