@@ -23,6 +23,7 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
 _SIZE = len(ALPHABET) + 1  # and the start of a string
+_BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -37,17 +38,53 @@ class SecretParams:
     smoothing: float = 20.0
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """start, end (code points, end exclusive) and text of every match."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("match"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)").alias("out")),
+_NO_MATCHES = "cast(array() as array<struct<start: int, end: int, match: string>>)"
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """What precedes each match, with the match, in order."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("match")))
+
+
+def _placed(pieces: Column) -> Column:
+    """The matches of some pieces in a row and where the last of them ends, counted from where the first piece begins."""
+    return F.aggregate(
+        pieces, F.struct(F.lit(0).alias("at"), F.expr(_NO_MATCHES).alias("out")),
         lambda s, x: F.struct((s["at"] + x["skip"] + F.length(x["match"])).alias("at"), F.concat(s["out"], F.array(F.struct(
-            (s["at"] + x["skip"]).alias("start"), (s["at"] + x["skip"] + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("out")),
-        lambda s: s["out"],
-    )
-    return F.when(text.rlike(pattern), ends).otherwise(F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)"))
+            (s["at"] + x["skip"]).alias("start"), (s["at"] + x["skip"] + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("out")))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """start, end (code points, end exclusive) and text of every match.
+
+    Positions are added up inside blocks of ``_BLOCK`` matches, then over the blocks, so that no array grows with
+    all matches of a text one by one.
+    """
+
+    def located(pieces: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int")), lambda i: _placed(F.slice(pieces, i * _BLOCK + 1, F.lit(_BLOCK))))
+        begins = lambda done: F.aggregate(done, F.expr("array(0)"), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["at"])))
+        moved = lambda done, at: F.flatten(F.transform(done, lambda x, i: F.transform(x["out"], lambda m: F.struct(
+            (m["start"] + F.get(at, i)).alias("start"), (m["end"] + F.get(at, i)).alias("end"), m["match"].alias("match")))))
+        return _bound(blocks, lambda done: _bound(begins(done), lambda at: moved(done, at)))
+
+    return F.when(text.rlike(pattern), _bound(_pieces(text, pattern), located)).otherwise(F.expr(_NO_MATCHES))
+
+
+def _blanked(text: Column, pattern: str, is_span=lambda match: F.lit(True)) -> Column:
+    """The text with blanks, as many as it has characters, for every match that ``is_span`` holds for."""
+
+    def blank(found: Column) -> Column:
+        instead = F.transform(found, lambda m: F.when(is_span(m), F.repeat(F.lit(" "), F.length(m))).otherwise(m))
+        return F.array_join(F.flatten(F.zip_with(F.split(text, pattern, -1), instead, lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), "")
+
+    return F.when(text.rlike(pattern), _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), blank)).otherwise(text)
 
 
 def _of_kind(matches: Column, kind: int) -> Column:
@@ -58,9 +95,13 @@ def _assign_value(match: Column) -> Column:
     return F.regexp_extract(match, ASSIGN, 2)
 
 
+def _is_assign(match: Column) -> Column:
+    return F.length(_assign_value(match)) >= ASSIGN_LEAST
+
+
 def base_spans(text: Column) -> Column:
     """Array of (start, kind, end) of the base patterns, by start, then kind."""
-    assign = F.filter(_matches(text, ASSIGN), lambda m: F.length(_assign_value(m["match"])) >= ASSIGN_LEAST)
+    assign = F.filter(_matches(text, ASSIGN), lambda m: _is_assign(m["match"]))
     return F.sort_array(F.concat(_of_kind(assign, 0), _of_kind(_matches(text, ACCESS), 1), _of_kind(_matches(text, HEX), 2)))
 
 
@@ -77,7 +118,7 @@ def model(docs: DataFrame, text: str = "text", params: SecretParams = SecretPara
     pairs = letters_of.select("kind", F.explode(F.transform("chars", lambda c, i: F.concat(F.coalesce(F.get("chars", i - 1), F.lit("^")), c))).alias("pair"))
     counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
     letters = set(ALPHABET)
-    for r in pairs.filter(F.col("pair").rlike(f"^[{RUN[1:-1].replace('-', '')}^-]{RUN}$")).groupBy("kind", "pair").count().collect():
+    for r in pairs.filter(F.col("pair").rlike(f"^(?:{RUN}|\\^){RUN}$")).groupBy("kind", "pair").count().collect():
         if r["pair"][1] in letters:
             counts[r["kind"]][r["pair"]] = r["count"]
     alone = []  # a context seen rarely falls back on how often characters occur at all
@@ -106,10 +147,16 @@ def _score(s: Column, table: list[float]) -> Column:
     return summed
 
 
-def added_spans(text: Column, base: Column, table: list[float], params: SecretParams = SecretParams()) -> Column:
-    """Array of (start, kind, end) of the strings that the models call random and that meet no base span."""
-    free = F.filter(_matches(text, f"{RUN}{{{params.least},}}"), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    return _of_kind(F.filter(free, lambda m: _score(m["match"], table) >= params.threshold), 3)
+def added_spans(text: Column, table: list[float], params: SecretParams = SecretParams()) -> Column:
+    """Array of (start, kind, end) of the strings that the models call random.
+
+    Base spans are blanked first, so what stands beside one in the same run is scored for itself. Only where base
+    spans of two kinds overlap may an added span lie in what is left of one of them.
+    """
+    has_base = text.rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
+    rest = _bound(_blanked(text, ASSIGN, _is_assign), lambda t: _bound(_blanked(t, ACCESS), lambda u: _blanked(u, HEX)))
+    found = _bound(F.when(has_base, rest).otherwise(text), lambda t: _matches(t, f"{RUN}{{{params.least},}}"))
+    return _of_kind(F.filter(found, lambda m: _score(m["match"], table) >= params.threshold), 3)
 
 
 def _joined(spans: Column) -> Column:
@@ -121,7 +168,7 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text: str
     """id, ``base`` and ``spans`` of every row: arrays of (start, kind number, end), by start, then kind; a null text has none."""
     rows = docs.select(quoted(docs, id_col).alias("id"), F.coalesce(quoted(docs, text).cast("string"), F.lit("")).alias("text"))
     based = rows.select("id", "text", base_spans(F.col("text")).alias("base"))
-    return based.select(F.col("id").alias(id_col), "base", F.sort_array(F.concat("base", added_spans(F.col("text"), F.col("base"), table, params))).alias("spans"))
+    return based.select(F.col("id").alias(id_col), "base", F.sort_array(F.concat("base", added_spans(F.col("text"), table, params))).alias("spans"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -137,7 +184,7 @@ def redact(docs: DataFrame, table: list[float], text: str = "text", mark: str =
     """
     value = quoted(docs, text).cast("string")
     base = base_spans(value)
-    spans = F.sort_array(F.concat(base, added_spans(value, base, table, params)))
+    spans = F.sort_array(F.concat(base, added_spans(value, table, params)))
     made = F.aggregate(
         spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.when(x["start"] >= s["at"], F.concat(F.substring(value, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(F.lit(""))).alias("out")),
