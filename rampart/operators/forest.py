@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rampart.operators.features import MODEL_COLUMNS
-from rampart.operators.ordering import exact_quantile, order_statistics
+from rampart.operators.ordering import exact_quantile, middle_values, order_statistics
 from rampart.session import checkpoint
 
 # Points kept of a feature's distribution; percentiles of ``explain`` are read off this grid, all other statistics are exact.
@@ -94,7 +94,8 @@ class IsolationForest:
         self.trees = self._trees(filled)
         self.trained_at = dt.datetime.now(dt.UTC).isoformat()
         if self.contamination != "auto":
-            self.threshold = exact_quantile(self._scored(filled), "anomaly_score", 1.0 - float(self.contamination))
+            scores = checkpoint(self._scored(filled).select("anomaly_score"))  # read by several passes
+            self.threshold = exact_quantile(scores, "anomaly_score", 1.0 - float(self.contamination))
         return self
 
     def _trees(self, filled: DataFrame) -> pd.DataFrame:
@@ -247,13 +248,9 @@ def distributions(df: DataFrame, columns: list[str], grid: int = GRID) -> dict[s
 
 def feature_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians of the present values; 0 for a column without any."""
-    values = distributions(df, columns, GRID)
+    found = middle_values(df, columns)
     out = {}
     for c in columns:
-        if c not in values:
-            out[c] = 0.0
-        elif len(values[c]) < GRID:
-            out[c] = float(np.median(values[c]))
-        else:
-            out[c] = exact_quantile(df, c, 0.5)
+        n, low, high = found.get(c, (0, 0.0, 0.0))
+        out[c] = float(np.median([low, high])) if n < GRID else low + (high - low) * 0.5
     return out

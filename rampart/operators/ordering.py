@@ -28,9 +28,9 @@ def global_position(df: DataFrame, group: list[str], order: list[str], name: str
     return joined.withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first")).drop("_p", "_first", "_offset", "_id")
 
 
-def order_statistics(df: DataFrame, columns: list[str], grid: int = 20_000) -> DataFrame:
-    """``feature, k, value``: the sorted values of each column, thinned to ``grid`` evenly spaced
-    order statistics; nulls and NaN are left out.
+def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``feature, value, n, _start, _end, _total``: each different value of each column with the ranks ``_start`` to before ``_end``
+    that it takes; nulls and NaN are left out.
 
     Equal values are counted first, then ranked by range partition, so the work is a distributed sort
     of distinct values and no column passes through one task.
@@ -46,7 +46,13 @@ def order_statistics(df: DataFrame, columns: list[str], grid: int = 20_000) -> D
     offsets = per_part.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_total": F.sum("_n").over(whole)})
     inside = Window.partitionBy("feature", "_p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = fixed.join(broadcast_if_small(offsets.drop("_n")), ["feature", "_p"]).withColumn("_end", F.sum("n").over(inside) + F.col("_before"))
-    ranked = ranked.withColumns({"_start": F.col("_end") - F.col("n"), "_points": F.least(F.lit(grid).cast("bigint"), F.col("_total"))})
+    return ranked.withColumn("_start", F.col("_end") - F.col("n"))
+
+
+def order_statistics(df: DataFrame, columns: list[str], grid: int = 20_000) -> DataFrame:
+    """``feature, k, value``: the sorted values of each column, thinned to ``grid`` evenly spaced
+    order statistics; nulls and NaN are left out."""
+    ranked = _ranked(df, columns).withColumn("_points", F.least(F.lit(grid).cast("bigint"), F.col("_total")))
     # grid point k sits at rank round(k * (total - 1) / (points - 1)); keep those inside [start, end)
     step = F.when(F.col("_points") > 1, (F.col("_total") - 1) / (F.col("_points") - 1)).otherwise(F.lit(1.0))
     low = F.greatest(F.floor((F.col("_start") - 1) / step), F.lit(0))
@@ -56,6 +62,16 @@ def order_statistics(df: DataFrame, columns: list[str], grid: int = 20_000) -> D
     return spread.filter((rank >= F.col("_start")) & (rank < F.col("_end"))).select("feature", "k", "value")
 
 
+def middle_values(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
+    """Per column with values, how many there are and the two of them (or one twice) around the middle rank, all columns in one pass."""
+    ranked = _ranked(df, columns)
+    holds = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_end"))
+    low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
+    found = ranked.filter(holds(low) | holds(high)).groupBy("feature").agg(
+        F.max("_total").alias("n"), F.max(F.when(holds(low), F.col("value"))).alias("low"), F.max(F.when(holds(high), F.col("value"))).alias("high"))
+    return {r["feature"]: (r["n"], r["low"], r["high"]) for r in found.collect()}  # a row per column
+
+
 def exact_quantile(df: DataFrame, column: str, q: float, bins: int = 4096, small: int = 20_000) -> float | None:
     """The linearly interpolated quantile of a column, exactly.
 

@@ -1,9 +1,12 @@
 """Work is dealt over tasks by rows, not by the splits of the files it comes from."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rampart.functions.times import _OTHER_LAYOUTS, parse_ts_ns
+from rampart.operators import forest
 from rampart.registry import queries_io
 from rampart.registry.views import events
 from rampart.session import spread
@@ -51,3 +54,17 @@ def test_layouts_are_tried_where_they_can_fit(spark, text, want):
 def test_junk_meets_no_layout(spark):
     begins = [begin for _, begin in _OTHER_LAYOUTS]
     assert spark.range(1).select(*[F.lit("x2024-01-05 10:11:12").rlike(b).alias(f"b{i}") for i, b in enumerate(begins)]).first() == (False,) * len(begins)
+
+
+def test_medians_take_one_pass_and_scores_are_made_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    table = pd.DataFrame({"event_uid": [str(i) for i in range(601)], "a": rng.normal(size=601), "b": rng.integers(0, 9, 601).astype(float), "c": [None] * 601})
+    table.loc[0, "a"] = None
+    df = spark.createDataFrame(table, "event_uid string, a double, b double, c double")
+    monkeypatch.setattr(forest, "GRID", 100)  # as for a table beyond the grid
+    monkeypatch.setattr(forest, "exact_quantile", lambda *_: pytest.fail("a pass for each column"))
+    assert forest.feature_medians(df, ["a", "b", "c"]) == {"a": pytest.approx(np.median(table["a"][1:])), "b": np.median(table["b"]), "c": 0.0}
+    scored = []
+    monkeypatch.setattr(forest, "exact_quantile", lambda df, *rest: scored.append(df._jdf.queryExecution().optimizedPlan().toString()) or 0.5)
+    forest.IsolationForest(contamination=0.1, n_estimators=3).fit(df, ["a", "b"])
+    assert len(scored) == 1 and "ArrowEvalPython" not in scored[0]
