@@ -22,6 +22,11 @@ def test_rows_of_one_split_among_many_are_spread(spark):
     assert max(rows_by_task(spread(one_full, rows=4))) <= 8
 
 
+def test_tasks_by_key_are_not_joined_again(spark):
+    tasks = rows_by_task(spread(spark.range(0, 1000, 1, 2), "id", rows=10))  # of a few bytes, which adaptive execution would join
+    assert len(tasks) > 50 and max(tasks) < 40
+
+
 def test_events_of_one_row_group_are_spread(spark, tmp_path):
     made = spark.range(0, 80, 1, 1).selectExpr("id as event_id", "timestamp_micros(id) as ts", "id as user_id", "'view' as event_type", "1.0d as value", "'{\"k\": 1}' as props")
     made.write.parquet(f"{tmp_path}/events.parquet")
