@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rampart.functions.ip import is_private
 from rampart.functions.ocsf import lookup, optional
@@ -26,6 +26,8 @@ PROTOCOL_NUMBERS = {"icmp": 1, "igmp": 2, "ipv4": 4, "tcp": 6, "udp": 17, "gre":
                     "ipv6-icmp": 58, "eigrp": 88, "ospf": 89, "sctp": 132}
 WELL_KNOWN_MAX, EPHEMERAL_MIN = 1023, 49152
 INBOUND, OUTBOUND, LATERAL, UNKNOWN = 1, 2, 3, 0
+# Windows are counted by hash bucket; those of a bucket of more rows are counted by all tasks. Heavy buckets are broadcast, so there are few.
+BUCKETS, HOT_ROWS = 1 << 17, 1_000_000
 
 
 def load_feature_columns(df: DataFrame, date: str | None = None, source_type: str | None = None) -> DataFrame:
@@ -87,23 +89,34 @@ def windowed_source_features(df: DataFrame, window: str = "5min", keys: list[str
     """Seven aggregates per (``keys``, src_ip, floored window); rows without address or time are left out.
 
     ``keys`` names the partition columns (event date, source type) that windows do not cross.
-    Distinct counts aggregate in two steps on (group, value), so a hot address spreads over tasks.
+    Rows move once, by group, and the first row of each value in a sorted group counts as distinct. Groups in hash
+    buckets of more than ``HOT_ROWS`` rows aggregate in two steps on (group, value), so a hot address spreads over tasks.
     """
-    keys = keys or []
+    group = ["window_start", *(keys or []), "src_ip"]  # the number first: it decides most comparisons of a sort
     volume = _amount(df, "bytes_in") + _amount(df, "bytes_out")
     base = df.filter(F.col("src_ip").isNotNull() & F.col("time").isNotNull()).select(
-        *keys, "src_ip", floor_ns(F.col("time"), seconds(window)).alias("window_start"),
+        *(keys or []), "src_ip", floor_ns(F.col("time"), seconds(window)).alias("window_start"),
         optional(df, "dst_ip").alias("dst_ip"), optional(df, "dst_port", "bigint").alias("dst_port"),
         protocol_number(df).alias("protocol_num"),
         F.coalesce((optional(df, "action_id", "bigint") == 2).cast("int"), F.lit(0)).alias("is_deny"),
         _amount(df, "bytes_out").alias("bytes_out"), volume.alias("total_bytes"),
-    )
-    return base.groupBy(*keys, "src_ip", "window_start").agg(
-        F.count("*").alias("connection_count"),
-        F.countDistinct("dst_ip").alias("distinct_dst_ips"), F.countDistinct("dst_port").alias("distinct_dst_ports"),
-        F.avg("is_deny").alias("deny_ratio"), F.sum("bytes_out").alias("total_bytes_out"),
-        F.avg("total_bytes").alias("mean_bytes_per_conn"), F.countDistinct("protocol_num").alias("distinct_protocols"),
-    )
+    ).withColumn("_bucket", F.pmod(F.xxhash64(*group), F.lit(BUCKETS)))
+    heavy = F.broadcast(base.groupBy("_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS).select("_bucket"))
+    sorted_once = base.join(heavy, "_bucket", "left_anti").drop("_bucket").repartition(*group)
+    for value in ("dst_ip", "dst_port", "protocol_num"):
+        before = F.lag(value).over(Window.partitionBy(*group).orderBy(value))
+        sorted_once = sorted_once.withColumn(f"_{value}", (F.col(value).isNotNull() & ~before.eqNullSafe(F.col(value))).cast("int"))
+
+    def aggregated(rows: DataFrame, distinct) -> DataFrame:
+        return rows.groupBy(*(keys or []), "src_ip", "window_start").agg(
+            F.count("*").alias("connection_count"),
+            distinct("dst_ip").alias("distinct_dst_ips"), distinct("dst_port").alias("distinct_dst_ports"),
+            F.avg("is_deny").alias("deny_ratio"), F.sum("bytes_out").alias("total_bytes_out"),
+            F.avg("total_bytes").alias("mean_bytes_per_conn"), distinct("protocol_num").alias("distinct_protocols"),
+        )
+
+    hot = aggregated(base.join(heavy, "_bucket", "left_semi"), F.countDistinct)
+    return aggregated(sorted_once, lambda value: F.sum(f"_{value}")).union(hot)
 
 
 def add_window_features(features: DataFrame, windows: DataFrame, window: str = "5min", keys: list[str] | None = None) -> DataFrame:
