@@ -216,3 +216,62 @@ def test_a_long_copy_takes_linear_time(spark):
 
     seconds(200)
     assert seconds(8_000) < 8 * max(seconds(2_000), 1.0)
+
+
+def test_pieces_of_documents_change_nothing(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, rng.choice([8, 9, 20, 60])))) for i in range(12)] + [(50, "of the and to in a of the and to in a")]
+    items += [(20 + i, t) for i, t in items[:3]] + [(0, items[1][1]), (51, "too short to hit"), (52, None)]
+    rows = [(i, " ".join(words(rng, n))) for i, n in enumerate([0, 7, 8, 9, 59, 60, 61, 62, 120, 200])] + [(30, "of the and to in a " * 90), (31, None), (None, items[3][1])]
+    for i in range(40):
+        w = words(rng, rng.choice([0, 1, 55, 130, 300]))
+        for _ in range(3):
+            part = rng.choice(items[:12])[1].split()
+            part = [x if rng.random() > 0.1 * (i % 3) else "changed" for x in part]
+            at = rng.randint(0, len(w))
+            w[at:at] = part[rng.choice([0, 0, 2]):]
+        rows.append((100 + i, " ".join(w)))
+    frame, bench = awkward(spark, rows, ("doc_id", "text")), spark.createDataFrame(items, "item_id long, text string")
+
+    def found(params):
+        return sorted(tuple(r) for r in decontaminate.overlaps(frame.filter("doc_id is not null or text is not null"), bench, params).drop("key").fillna(-1, "doc_id").collect())
+
+    whole = found(decontaminate.SeedParams())
+    assert len(whole) > 40 and whole == found(decontaminate.SeedParams(piece_words=1)) == found(decontaminate.SeedParams(piece_words=77, block_seeds=700))
+    assert {r[:2]: r[2] for r in whole} == {(-1 if i is None else i, k): v for (i, k), v in overlaps_by_hand(rows, items).items()}
+
+
+MANY_HITS = """
+import random, sys
+sys.path[:0] = [{repo!r}, {tests!r}]
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.driver.memory", "1g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.shuffle.partitions", "2").config("spark.driver.host", "127.0.0.1").getOrCreate())
+from rampart.llm import decontaminate
+rng = random.Random(3)
+word = lambda: "".join(rng.choice("aeinorst") for _ in range(7))
+passage = [word() for _ in range(40)]
+text = []
+for _ in range(20):
+    text += [word() for _ in range(960)] + passage
+docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:960]))], "doc_id long, text string")
+bench = spark.createDataFrame([(i, " ".join(passage + [f"tail{{i}}"])) for i in range(40)], "item_id long, text string")
+got = sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).drop("key").collect())
+assert got == [(1, i, 40, 19_960, 0, 40, 40) for i in range(40)], got
+print("whole", flush=True)
+import os
+os._exit(0)
+"""
+
+
+def test_many_hits_in_a_long_text_need_little_memory(tmp_path):
+    """20 copies of a passage that 40 items hold: 74,400 hits, each of which held the document's 20,000 words."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    tests = Path(__file__).resolve().parent
+    script = tmp_path / "many_hits.py"
+    script.write_text(MANY_HITS.format(repo=str(tests.parents[1]), tests=str(tests)))
+    run = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    assert run.stdout.split()[-1:] == ["whole"], run.stderr[-3000:]
